@@ -15,6 +15,7 @@ partition, number within it), so a retried task gives the same rows.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,30 +40,69 @@ class WordEncoder:
     """Ids as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so ids of a text are those of
-    its words; words are kept in a bounded cache.
+    its words; words are kept in a bounded cache, which the first and so most frequent ones
+    fill.  A word of letters with one mark behind it is encoded as the two, which the
+    tokenizer parts as well.  Words of letters end in exactly one token with a word end, so
+    many are encoded in one call and parted there.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {"": b""}, cache_words
+        self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
+        self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self.plain(m) for m in self.MARKS}
+
+    def plain(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stop) != len(words):  # a letter whose lower case is more than letters
+            return [self.plain(w) for w in words]
+        raw, at, out = ids.tobytes(), 0, []
+        for e in stop.tolist():
+            out.append(raw[at:e])
+            at = e
+        return out
 
     def __call__(self, text: str) -> bytes:
         words = BREAKS.sub(" ", text).split(" ")
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        out = b"".join([cache[w] if w in cache else got[w] for w in words])
-        if len(cache) + len(got) > self.most:
-            cache.clear()
-            cache[""] = b""
-        if len(got) <= self.most:
+        parts = list(map(cache.get, words))
+        if None not in parts:
+            return b"".join(parts)
+        missing = [i for i, ids in enumerate(parts) if ids is None]
+        got: dict[str, bytes] = {}
+        new, marked = {}, {}
+        for w in dict.fromkeys([words[i] for i in missing]):
+            if w.isalpha():
+                new[w] = None
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                marked[w] = cache.get(w[:-1])
+                if marked[w] is None:
+                    new[w[:-1]] = None
+            else:
+                got[w] = self.plain(w)
+        if new:
+            new = list(new)
+            for at in range(0, len(new), 1000):
+                got.update(zip(new[at : at + 1000], self.letters(new[at : at + 1000])))
+        for w, stem in marked.items():
+            got[w] = (got[w[:-1]] if stem is None else stem) + self.marks[w[-1]]
+        for i in missing:
+            parts[i] = got[words[i]]
+        if len(cache) < self.most:
             cache.update(got)
-        return out
+        return b"".join(parts)
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
