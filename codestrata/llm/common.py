@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of two or three numbers that a join may broadcast; with more it shuffles.
+BROADCAST_ROWS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,11 +45,15 @@ def tiled(rows: DataFrame, key: str, member: Column, limit: int) -> DataFrame:
     of tiles that contains its own: rows meet in exactly one (tile_a, tile_b), those of one
     tile where tile_a = tile_b.
     """
-    hot = (
+    hot = checkpoint(
         rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
         .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_tiles"))
     )
-    out = rows.join(hot, key, "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.withColumns({"tile": F.lit(0), "tile_a": F.lit(0), "tile_b": F.lit(0)})
+    out = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, key, "left")
+    out = out.withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
     out = out.withColumn("tile", F.pmod(member, F.col("_tiles")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return out.withColumns({

@@ -91,13 +91,43 @@ def unit(vector) -> np.ndarray | None:
     return None if not top else (v / top) / np.linalg.norm(v / top)
 
 
+def stored(vector) -> bytes:
+    """A vector as it came, in single precision where that loses nothing."""
+    v = np.asarray(vector, np.float64)
+    with np.errstate(over="ignore"):
+        single = v.astype("<f4")
+    return b"s" + single.tobytes() if (single == v).all() else b"d" + v.tobytes()
+
+
+def restored(raw: list[bytes]) -> np.ndarray:
+    """Stored vectors of one kind and dimension, scaled to length 1."""
+    kind = "<f4" if raw[0][:1] == b"s" else "<f8"
+    x = np.frombuffer(b"".join([r[1:] for r in raw]), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def dims(raw) -> np.ndarray:
+    return np.array([(len(r) - 1) // (4 if r[:1] == b"s" else 8) for r in raw])
+
+
+def of_dim(raw, at: np.ndarray) -> np.ndarray:
+    """Vectors of one dimension, whichever way each is stored."""
+    single = np.array([raw[i][:1] == b"s" for i in at])
+    parts = [restored([raw[i] for i in at[k]]) for k in (single, ~single) if k.any()]
+    out = np.empty((len(at), parts[0].shape[1]))
+    out[np.flatnonzero(single)] = parts[0] if single.any() else np.empty((0, out.shape[1]))
+    out[np.flatnonzero(~single)] = parts[-1] if not single.all() else np.empty((0, out.shape[1]))
+    return out
+
+
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, key, v): key is null where the vector links with nothing."""
     for part in batches:
         keys, out = [], []
         for vec_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             v = None if vec_id is None else unit(x)
-            out.append(None if v is None else v.tobytes())
+            out.append(None if v is None else stored(x))
             keys.append(None if v is None else hashlib.md5(v.tobytes()).digest())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "key", "v"])
 
@@ -107,10 +137,10 @@ def _cells(plan: Plan):
         """A row for each table of a vector: its cell there, and the cells of all tables."""
         for part in batches:
             ids, weight, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw])
+            sizes = dims(raw)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                x = np.stack([np.frombuffer(raw[i], np.float64) for i in at])
+                x = of_dim(raw, at)
                 _, grid, shift = plan.lines(dim)
                 mix = np.random.default_rng([SEED, 1]).integers(1, 2**63, (plan.tables, plan.k + 1), dtype=np.int64).astype(np.uint64) | np.uint64(1)
                 cell = np.floor((x @ grid + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(at), plan.tables, plan.k)
@@ -135,12 +165,12 @@ def _bucket(plan: Plan):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rep, weight, t, cell, tile, ta, tb = (part[c].to_numpy(np.int64) for c in ("rep", "weight", "t", "cell", "tile", "tile_a", "tile_b"))
         raw, cells = part["v"].to_numpy(), part["cells"].to_numpy()
-        sizes = np.array([len(x) for x in raw])
+        sizes = dims(raw)
         links = np.zeros(len(part), np.int64)
         forest: list[tuple[np.ndarray, np.ndarray]] = []
         for size in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == size)
-            x = np.frombuffer(b"".join(raw[at]), np.float64).reshape(len(at), -1)
+            x = of_dim(raw, at)
             every = np.frombuffer(b"".join(cells[at]), np.int64).reshape(len(at), -1)
             p = x @ plan.lines(x.shape[1])[0]
             order = np.lexsort((p[:, 0], tb[at], ta[at], cell[at], t[at]))
