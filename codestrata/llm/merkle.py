@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_ROWS, table
 
 PIECE = r"[^.!?]{1,64}[.!?]*|[.!?]+"
 BUCKET_ROWS = 2_000
@@ -84,7 +84,10 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     links = heads.withColumn("_all", F.lit(0))
     down = Window.partitionBy("_all").orderBy(F.col("_bucket").desc())  # one row a bucket
     links = links.select("_bucket", F.coalesce(F.lead("_id").over(down), F.first("_id").over(down)).alias("_head")).withColumnRenamed("_bucket", "_b")
-    texts = docs.join(links.select(F.col("_head").alias("_id")).distinct(), "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("_head_text"))
+    ids = links.select(F.col("_head").alias("_id")).distinct()
+    if want <= BROADCAST_ROWS:  # an id a bucket
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("_head_text"))
     heads = links.join(texts, links._head == texts._id).select("_b", "_head_text")
     # rows are dealt by bucket already: only the few heads move here
     rows = rows.join(heads, rows._bucket == heads._b, "left")
