@@ -235,9 +235,17 @@ def _shard(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"__dedup_id": d, "__dedup_th": t, "start": s.astype(np.int32), "stop": e.astype(np.int32)})
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker holds little; memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, n, docs) once for each anchor of a batch; docs packs (doc_id, th) pairs."""
-    for part in batches:
+    for part in slices(batches, 5000):
         ids, ths = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         found, owner = [], []
         for k, text in enumerate(part.column(2).to_pylist()):
@@ -278,11 +286,11 @@ def _segments(n_shards: int, text_at: int, width: int):
     names = ["shard", "doc_id", "th", "start", "stop", "words"]
 
     def lists(column: pa.Array) -> list[np.ndarray]:
-        values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()  # of a slice too
         return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             first: dict[tuple, tuple] = {}
             rows, ids, ths = [], part.column(0).to_pylist(), part.column(1).to_pylist()
             texts, wanted, hot = part.column(text_at).to_pylist(), lists(part.column(width)), lists(part.column(width + 1))
@@ -326,7 +334,7 @@ def _segments(n_shards: int, text_at: int, width: int):
 def _apply(text_at: int, schema: pa.Schema, rejoin: bool):
     """Remove the covered words of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             width = part.num_columns - 2
             texts, starts, stops = (part.column(i).to_pylist() for i in (text_at, width, width + 1))
             kept, told = [], []
