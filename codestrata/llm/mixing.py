@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK_ROWS = 64
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 FRAME = 1024
 
 
