@@ -29,7 +29,7 @@ from .common import table
 
 SEQUENCE, END_ID = 4096, 2
 BATCH_PIECES = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 650_000
 #: White space of every definition; other kinds are left to the tokenizer.
 BREAKS = re.compile("[\t\n\r]")
 
