@@ -1,7 +1,7 @@
 r"""Document fingerprints: Merkle trees over sections, paragraphs and pieces of sentences.
 
 Sections are parted by empty lines, paragraphs by line ends, and a paragraph is cut into
-sentences, long ones after 64 characters.  A leaf is the MD5 of its piece, a paragraph that
+sentences, long ones after 64 characters (8 in texts of up to 256, 4 in those of up to 64).  A leaf is the MD5 of its piece, a paragraph that
 of its leaves, a section that of its paragraphs, the root the SHA-256 of the sections.  The
 fingerprint is ``root:leaves``, the leaves with 8 hex digits each, ``,`` between paragraphs
 and ``;`` between sections.  Equal texts have equal fingerprints and roots tell them apart;
@@ -19,14 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, table
 
-PIECE = r"[^.!?]{1,64}[.!?]*|[.!?]+"
+#: Longest texts and longest pieces in them: short texts need fine pieces to show what they share.
+SIZES = ((64, 4), (256, 8), (None, 64))
 BUCKET_ROWS = 2_000
 SEGMENTS = 128
 
 
 def fingerprint(text: Column) -> Column:
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.md5(x.cast("binary")))
-    tree = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
+    def tree_of(size: int) -> Column:
+        piece = F.lit(r"[^.!?]{1,%d}[.!?]*|[.!?]+" % size)
+        leaves = lambda p: F.transform(F.regexp_extract_all(p, piece, F.lit(0)), lambda x: F.md5(x.cast("binary")))
+        return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
+
+    n = F.length(text)
+    tree = F.when(n <= SIZES[0][0], tree_of(SIZES[0][1])).when(n <= SIZES[1][0], tree_of(SIZES[1][1])).otherwise(tree_of(SIZES[2][1]))
     node = lambda xs: F.md5(F.array_join(xs, "").cast("binary"))
 
     def parts(t: Column) -> Column:
@@ -129,7 +135,8 @@ WITH d AS (
 ), tree AS (
   SELECT doc_id, n_chars, edited_sha256, which,
     list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
-      lambda p: list_transform(regexp_extract_all(p, '[^.!?]{1,64}[.!?]*|[.!?]+'), lambda x: md5(x)))) AS l
+      lambda p: list_transform(CASE WHEN length(t) <= 64 THEN regexp_extract_all(p, '[^.!?]{1,4}[.!?]*|[.!?]+')
+        WHEN length(t) <= 256 THEN regexp_extract_all(p, '[^.!?]{1,8}[.!?]*|[.!?]+') ELSE regexp_extract_all(p, '[^.!?]{1,64}[.!?]*|[.!?]+') END, lambda x: md5(x)))) AS l
   FROM k
 ), f AS (
   SELECT doc_id, n_chars, edited_sha256, which,

@@ -407,10 +407,11 @@ def test_merkle_neighbours_over_buckets(spark):
 
 
 def test_merkle_locates_edits(spark):
-    a, b = "one. two.\nthree\n\nfour", "one. two.\nTHREE\n\nfour"
+    pad = "x" * 300
+    a, b = f"one. two.\nthree\n\n{pad}. four", f"one. two.\nTHREE\n\n{pad}. four"
     r = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y"))
     r = r.select(merkle.changed_paragraphs(F.col("x"), F.col("y")).alias("at"), merkle.likeness(F.col("x"), F.col("y")).alias("near")).first()
-    assert r["at"] == [1] and r.near == 0.75
+    assert r["at"] == [1] and 0.8 < r.near < 1
 
 
 # the shared pieces and the pipeline
