@@ -3,7 +3,8 @@
 The rules label URLs; trees learn from a bounded sample of those (``LABELLED_ROWS``, by a
 hash of the URL) and judge the URLs that no rule fits.  Features: length, depth, share of
 digits, entropy, number of parameters, and the share of blocked sample rows for the host's
-last label and last two labels (smoothed).  Features are binned at sample quantiles and the
+last label and last two labels (smoothed; both classes weigh the same, so a suffix that the
+sample lacks counts a half).  Features are binned at sample quantiles and the
 sample is aggregated to distinct bins, so each tree level is one small group-by; only
 histograms of (node, feature, bin) and at most LABELLED_ROWS suffix rows are ever gathered.
 
@@ -14,7 +15,6 @@ and the prior decides (no rows: allow); repeated rows get a row each; extra colu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -123,14 +123,15 @@ def train(labelled: DataFrame, bound: int = LABELLED_ROWS, trees: int = TREES, d
     prior = hits / n if n else 0.0
     if not n or hits in (0, n):
         return UrlModel({}, prior, None, 10.0 if n and hits else -10.0, [])
+    even = F.when(F.col("blocked") == 1, n / (2 * hits)).otherwise(n / (2 * (n - hits)))  # both classes weigh the same
     limits = {f: sorted(set(c)) for f, c in zip(NUMERIC, cuts)}
     limits |= {f"{s}_blocked": [k / BINS for k in range(1, BINS)] for s in ("tld", "domain")}
     suffixes = {}
     for s in ("tld", "domain"):
-        seen = rows.groupBy(s).agg(((F.sum("blocked") + 10 * prior) / (F.count("*") + 10)).alias(f"{s}_blocked"))
+        seen = rows.groupBy(s).agg(((F.sum(even * F.col("blocked")) + 5) / (F.sum(even) + 10)).alias(f"{s}_blocked"))
         suffixes[s] = checkpoint(seen)
-    model = UrlModel(limits, prior, suffixes, math.log(prior / (1 - prior)), [])
-    cells = model.bins(rows).groupBy("blocked", *[f"b_{f}" for f in FEATURES]).agg(F.count("*").alias("weight"))
+    model = UrlModel(limits, 0.5, suffixes, 0.0, [])
+    cells = model.bins(rows).groupBy("blocked", *[f"b_{f}" for f in FEATURES]).agg(F.sum(even).alias("weight"))
     cells = checkpoint(cells.coalesce(2))
     for _ in range(trees):
         p = 1 / (1 + F.exp(-model.margin()))
@@ -149,11 +150,12 @@ def train(labelled: DataFrame, bound: int = LABELLED_ROWS, trees: int = TREES, d
                 best = (1e-6, None, None)
                 for f in FEATURES if level < depth else ():
                     gl = hl = 0.0
-                    for b in sorted(by[f])[:-1]:
+                    seen = sorted(by[f])
+                    for b, after in zip(seen, seen[1:]):
                         gl, hl = gl + by[f][b][0], hl + by[f][b][1]
                         gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
                         if gain > best[0] + 1e-9:
-                            best = (gain, f, b)
+                            best = (gain, f, (b + after) // 2)  # halfway to the next bin with rows
                 if best[1]:
                     tree, split = _put(tree, node, (best[1], best[2], 0.0, 0.0)), True
                 else:
