@@ -30,6 +30,8 @@ from .common import table
 BLOCK_ROWS = 64
 BUCKET_ROWS = 1_000
 FRAME = 1024
+#: Sources (a row each) that the join broadcasts; with more it shuffles.
+MAX_BROADCAST = 10_000
 
 
 def frame_shares(weights: Mapping, frame: int = FRAME) -> dict:
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK
     sums = sums.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id", F.lit("place")), "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(within))
-    rows = rows.join(sums, ["key", "bucket"]).join(F.broadcast(frames), "key")  # frames: one row a source
+    rows = rows.join(sums, ["key", "bucket"]).join(F.broadcast(frames) if len(shares) <= MAX_BROADCAST else frames, "key")
     at = F.col("before") + F.col("nth") - 1
     rows = rows.withColumns({"block": F.floor(at / block_rows), "place": (at % block_rows).cast("int")})
     block, q = F.col("block"), F.col("q")
