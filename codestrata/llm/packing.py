@@ -29,7 +29,7 @@ from .common import table
 
 SEQUENCE, END_ID = 4096, 2
 BATCH_PIECES = 2048
-CACHE_WORDS = 650_000
+CACHE_WORDS = 250_000
 #: White space of every definition; other kinds are left to the tokenizer.
 BREAKS = re.compile("[\t\n\r]")
 
@@ -64,7 +64,8 @@ class WordEncoder:
 
     def letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        # the fast call keeps no offsets, which are most of the cost of a new word
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stop) != len(words):  # a letter whose lower case is more than letters
             return [self.plain(w) for w in words]
