@@ -29,9 +29,11 @@ from .common import table
 
 SEQUENCE, END_ID = 4096, 2
 BATCH_PIECES = 2048
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: White space of every definition; other kinds are left to the tokenizer.
 BREAKS = re.compile("[\t\n\r]")
+#: The marks that compose with letters A-Z.
+COMBINING = re.compile("[\u0300-\u036f]")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,12 +43,15 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so ids of a text are those of
     its words; words are kept in a bounded cache, which the first and so most frequent ones
-    fill.  A word of letters with one mark behind it is encoded as the two, which the
-    tokenizer parts as well.  Words of letters end in exactly one token with a word end, so
-    many are encoded in one call and parted there.
+    fill.  It lowers case, so texts are looked up with A-Z lowered (not those with combining
+    marks, which it composes first).  A word of letters with ``TAIL`` characters behind it is
+    encoded as the two, which the tokenizer parts as well; such words share the cache entry of
+    their letters, and only half of the cache takes them too.  Words of letters end in exactly
+    one token with a word end, so many are encoded in one call and parted there.
     """
 
-    MARKS = ".,;:!?"
+    #: Characters that stay one run with each other and apart from letters.
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -57,15 +62,17 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self.plain(m) for m in self.MARKS}
+
+    def ids(self, text: str) -> np.ndarray:
+        # the fast call keeps no offsets
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def plain(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids(word).tobytes()
 
     def letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters."""
-        # the fast call keeps no offsets, which are most of the cost of a new word
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = self.ids(" ".join(words))
         stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stop) != len(words):  # a letter whose lower case is more than letters
             return [self.plain(w) for w in words]
@@ -76,33 +83,51 @@ class WordEncoder:
         return out
 
     def __call__(self, text: str) -> bytes:
+        if text.isascii():
+            text = text.lower()
+        elif not COMBINING.search(text):
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         words = BREAKS.sub(" ", text).split(" ")
         cache = self.cache
         parts = list(map(cache.get, words))
         if None not in parts:
             return b"".join(parts)
-        missing = [i for i, ids in enumerate(parts) if ids is None]
-        got: dict[str, bytes] = {}
-        new, marked = {}, {}
-        for w in dict.fromkeys([words[i] for i in missing]):
-            if w.isalpha():
-                new[w] = None
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                marked[w] = cache.get(w[:-1])
-                if marked[w] is None:
-                    new[w[:-1]] = None
+        missing = []
+        for i, ids in enumerate(parts):
+            if ids is None:
+                w = words[i]
+                stem = w.rstrip(self.TAIL)
+                ids, tail = cache.get(stem), cache.get(w[len(stem) :])
+                if ids is None or tail is None or not stem.isalpha() or "\u0130" in stem:
+                    missing.append(i)
+                else:
+                    parts[i] = ids + tail
+        new: dict[str, bytes] = {}  # words of letters, tails and others, each once
+        pairs: dict[str, tuple[str, str]] = {}
+        for w in {words[i] for i in missing}:
+            stem = w.rstrip(self.TAIL)
+            tail = w[len(stem) :]
+            if stem.isalpha() and "\u0130" not in stem:  # its lower case ends in a mark, which joins a tail
+                pairs[w] = stem, tail
+                if stem not in cache:
+                    new[stem] = b""
+                if tail not in cache and tail not in new:
+                    new[tail] = self.plain(tail)
             else:
-                got[w] = self.plain(w)
-        if new:
-            new = list(new)
-            for at in range(0, len(new), 1000):
-                got.update(zip(new[at : at + 1000], self.letters(new[at : at + 1000])))
-        for w, stem in marked.items():
-            got[w] = (got[w[:-1]] if stem is None else stem) + self.marks[w[-1]]
+                new[w] = self.plain(w)
+        stems = [w for w, ids in new.items() if not ids and w.isalpha()]
+        for at in range(0, len(stems), 1000):
+            new.update(zip(stems[at : at + 1000], self.letters(stems[at : at + 1000])))
+        known = lambda w: new[w] if w in new else cache[w]
+        whole = {w: known(stem) + known(tail) for w, (stem, tail) in pairs.items()}
         for i in missing:
-            parts[i] = got[words[i]]
+            w = words[i]
+            parts[i] = whole[w] if w in whole else new[w]
         if len(cache) < self.most:
-            cache.update(got)
+            cache.update({w: new[w] for w in stems})
+            if len(cache) < self.most // 2:
+                cache.update(new)
+                cache.update(whole)
         return b"".join(parts)
 
 
@@ -158,7 +183,8 @@ def windows(sizes: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
         most = max(sum(sizes[i] for i in s) for s in sets)
         if most <= capacity:
             return [s for s in sets if s]
-        k += max(1, int(k * (most - capacity) / capacity / 4))
+        # as many as would do at this spread, but in small steps: the spread changes with k
+        k += max(1, min(k // 64, int((most - capacity) * k / capacity / 2)))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID, batch: int = BATCH_PIECES) -> DataFrame:

@@ -450,3 +450,18 @@ def test_pipeline(spark):
         seen = out
     pieces = p.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in seen.collect()}
+
+
+def test_word_encoder_equals_the_tokenizer():
+    import random
+
+    import numpy as np
+
+    from codestrata.llm.packing import WordEncoder, tokenizer_path
+
+    encode, rng = WordEncoder(tokenizer_path(), 500), random.Random(7)
+    letters = "abJIZ\u00c9\u00e9\u00df\u03a3\u03c3\u0130\u0131\u030c\u0301\u0307.,;:!?%*-'\"<|>_~\u00b2\u2167 1 \t\n\r\u65e5\u0434]"
+    for _ in range(5000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) + rng.choice(["", " <|endoftext|>", "'RE", "J\u030c", "..."])
+        want = np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode(text) == want, text
