@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, components, size_of, tiled
 
@@ -68,6 +69,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and the fingerprint of its text as ``fp``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            fps = np.fromiter(map(fingerprint, part.column(at).to_pylist()), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
 def gray_rank(fps: np.ndarray) -> np.ndarray:
     """Position of each word in the reflected Gray sequence."""
     out = fps.copy()

@@ -465,3 +465,19 @@ def test_word_encoder_equals_the_tokenizer():
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) + rng.choice(["", " <|endoftext|>", "'RE", "J\u030c", "..."])
         want = np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert encode(text) == want, text
+
+
+def test_pipeline_near_duplicates_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = "one two three four five six seven", "a green house by the sea", "blue sky over hills and far away"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "y"), (7, c, "z"), (7, c, "z"), (8, c, "z"), (None, a, "n"), (None, None, None), (9, None, "e"), (10, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from codestrata.llm.simhash import fingerprint
+
+    assert min((fingerprint(x) ^ fingerprint(y)).bit_count() for x, y in ((a, b), (a, c), (b, c), (a, ""), (b, ""), (c, ""))) > 3
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, a, "x"), (5, b, "y"), (7, c, "z"), (None, a, "n"), (None, None, None), (9, None, "e")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
