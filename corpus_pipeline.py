@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import checkpoint
 from codestrata.llm.langid import keep_known
 from codestrata.llm.mixing import mixed_documents
 from codestrata.llm.packing import pack, tokenizer_path
-from codestrata.llm.simhash import simhash_dedup
+from codestrata.llm.simhash import simhash_dedup, with_fingerprint
 from codestrata.llm.substring import dedup_texts
 
 ORACLE_SQL = None  # hashes, tokens and the classifier are not SQL; see tests/llm
@@ -22,10 +23,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest id; null ids stay.
+
+    Where several rows have one id, each counts with its own text: one of those in the group
+    of that id stays, and the others go like any member of their group.
+    """
     groups = simhash_dedup(docs)
-    losers = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    ids = checkpoint(
+        groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+        .filter("n > 1 OR c < doc_id").select("doc_id", (F.col("n") > 1).alias("again"))
+    )
+    out = docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    if ids.filter("again").isEmpty():
+        return out
+    rows = docs.join(ids.filter("again"), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    own = groups.filter("component_id = doc_id").select("doc_id", "fp").distinct()
+    kept = with_fingerprint(rows).join(own, ["doc_id", "fp"]).groupBy("doc_id").agg(F.min_by("row", F.struct("fp", F.xxhash64("text"))).alias("row"))
+    return out.unionByName(kept.select("row.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
