@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 DIM = 2048
 CLUSTERS = 3
@@ -143,7 +143,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Each row's doc_id with lang_pred, score and rejected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, 512):
             lang, score, rejected = model.predict(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -156,7 +156,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, 512):
             yield part.filter(pa.array(~model.predict(part.column(at).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)

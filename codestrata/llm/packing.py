@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SEQUENCE, END_ID = 4096, 2
 BATCH_PIECES = 2048
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END
         encode = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         part, serial, whole, rest = TaskContext.get().partitionId(), 0, [], []
-        for rows in batches:
+        for rows in slices(batches, 512):
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 ids = (encode(text) if text else b"") + end
                 n = len(ids) // 4

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, components, size_of, tiled
+from .common import checkpoint, components, slices, tiled
 
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 DISTANCE = 3
@@ -62,7 +62,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; one narrow pass over whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             fps = np.fromiter(map(fingerprint, part.column(1).to_pylist()), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -74,7 +74,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             fps = np.fromiter(map(fingerprint, part.column(at).to_pylist()), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "fp"])
 

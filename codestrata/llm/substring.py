@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import give_back, slices, table
 
 WINDOW = 20
 LAST_ID = 2**63 - 1
@@ -188,6 +188,7 @@ SEGMENT = "shard long, doc_id long, th long, start int, stop int, words binary"
 
 
 def _shard(part: pd.DataFrame) -> pd.DataFrame:
+    give_back()  # what the shard before held
     known = part["words"].isna().to_numpy()
     doc, th, start, stop = (part[c].to_numpy(np.int64) for c in ("doc_id", "th", "start", "stop"))
     out = [(doc[known], th[known], start[known], stop[known])]
@@ -235,14 +236,6 @@ def _shard(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"__dedup_id": d, "__dedup_th": t, "start": s.astype(np.int32), "stop": e.astype(np.int32)})
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds little; memory goes back at the end."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, n, docs) once for each anchor of a batch; docs packs (doc_id, th) pairs."""
     for part in slices(batches, 5000):
