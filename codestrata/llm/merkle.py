@@ -1,8 +1,9 @@
 r"""Document fingerprints: Merkle trees over sections, paragraphs and pieces of sentences.
 
 Sections are parted by empty lines, paragraphs by line ends, and a paragraph is cut into
-sentences, long ones after 64 characters (8 in texts of up to 256, 4 in those of up to 64).  A leaf is the MD5 of its piece, a paragraph that
-of its leaves, a section that of its paragraphs, the root the SHA-256 of the sections.  The
+sentences, long ones after 8 characters, whatever the length of the text: texts are only
+alike if all are cut by one rule.  A leaf is the MD5 of its piece, a paragraph that of its
+leaves, a section that of its paragraphs, the root the SHA-256 of the sections.  The
 fingerprint is ``root:leaves``, the leaves with 8 hex digits each, ``,`` between paragraphs
 and ``;`` between sections.  Equal texts have equal fingerprints and roots tell them apart;
 differing branches locate an edit (``changed_paragraphs``), shared leaves give the likeness.
@@ -19,20 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, table
 
-#: Longest texts and longest pieces in them: short texts need fine pieces to show what they share.
-SIZES = ((64, 4), (256, 8), (None, 64))
+#: Longest pieces, in texts of every length: finer ones recur in unrelated texts, coarser ones leave short texts nothing to share.
+PIECE = 8
 BUCKET_ROWS = 2_000
 SEGMENTS = 128
 
 
 def fingerprint(text: Column) -> Column:
-    def tree_of(size: int) -> Column:
-        piece = F.lit(r"[^.!?]{1,%d}[.!?]*|[.!?]+" % size)
-        leaves = lambda p: F.transform(F.regexp_extract_all(p, piece, F.lit(0)), lambda x: F.md5(x.cast("binary")))
-        return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
-
-    n = F.length(text)
-    tree = F.when(n <= SIZES[0][0], tree_of(SIZES[0][1])).when(n <= SIZES[1][0], tree_of(SIZES[1][1])).otherwise(tree_of(SIZES[2][1]))
+    piece = F.lit(r"[^.!?]{1,%d}[.!?]*|[.!?]+" % PIECE)
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, piece, F.lit(0)), lambda x: F.md5(x.cast("binary")))
+    tree = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
     node = lambda xs: F.md5(F.array_join(xs, "").cast("binary"))
 
     def parts(t: Column) -> Column:

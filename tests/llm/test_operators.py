@@ -414,6 +414,14 @@ def test_merkle_locates_edits(spark):
     assert r["at"] == [1] and 0.8 < r.near < 1
 
 
+@pytest.mark.parametrize("n", [64, 256])
+def test_merkle_likeness_over_old_limits(spark, n):
+    base = " ".join(f"w{i}x{i * 7919 % 1000}" for i in range(80))
+    rows = [(base[:n], base[: n + 1]), (base[:416], base[:n]), (base[: n + 40], base[: n - 10] + "Q" * 50)]
+    near = [r.near for r in spark.createDataFrame(rows, "a string, b string").select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("near")).collect()]
+    assert near[0] > 0.85 and near[1] > 0.2 and near[2] > 0.4
+
+
 # the shared pieces and the pipeline
 
 
