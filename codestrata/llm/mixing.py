@@ -3,25 +3,29 @@
 The rows of a source are cut into blocks.  With weight w, block j has release time
 floor(j / w) and deadline ceil((j + 1) / w); in each slot the released block of earliest
 deadline runs, so that at any time every source is less than one block from its share.
-Weights are rounded to parts of a frame of Q slots, in which source i has q_i blocks; the
-schedule repeats each frame, so one bounded table (Q slots) made on the driver serves any
-number of rows: block j runs at frame j // q_i in the slot of its j % q_i.  When a source has
-no blocks left its slots stay empty.  All rows are kept, each once.
+Release and deadline come from the exact weights over the whole schedule, in whole numbers,
+so that no rounding adds up.  One task makes the schedule, a row a block, and holds one row a
+source; slots that no released block wants (a source has run out) stay empty.  All rows are
+kept, each once.
 
 Blocks number the rows of a source by a hash of doc_id: rows are counted in small buckets of
 a source and block numbers run on across the buckets, so no task holds a source.
 
 Defined cases: null sources are a source of their own; null doc_id and text are kept;
-repeated rows count each; without given weights a source's target is its share of rows; at
-least one slot a frame goes to each source; weights of sources that are not there are left
-out; extra columns are kept.
+repeated rows count each; without given weights a source's target is its share of rows; a
+source of no weight gets the share of one slot in a frame; weights of sources that are not
+there are left out; extra columns are kept.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +34,6 @@ from .common import table
 BLOCK_ROWS = 64
 BUCKET_ROWS = 1_000
 FRAME = 1024
-#: Sources (a row each) that the join broadcasts; with more it shuffles.
-MAX_BROADCAST = 10_000
 
 
 def frame_shares(weights: Mapping, frame: int = FRAME) -> dict:
@@ -69,6 +71,37 @@ def pfair_slots(shares: Mapping) -> dict:
     return slots
 
 
+def exact_weights(targets: Mapping, frame: int = FRAME) -> dict:
+    """Weights as whole numbers, in proportion; without weight a source gets one part of a frame."""
+    names = sorted(targets, key=lambda n: (n is not None, n))
+    frame = max(frame, 1 << (4 * len(names) - 1).bit_length()) if names else frame
+    exact = {n: Fraction(targets[n]) for n in names}
+    total, idle = sum(exact.values()), sum(not w for w in exact.values())
+    exact = {n: w * (frame - idle) if w else total for n, w in exact.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    return {n: int(w * scale) for n, w in exact.items()}
+
+
+def schedule(weights: Mapping, blocks: Mapping) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot) of every block, by earliest deadline among released ones."""
+    total = sum(weights.values())
+    order = list(weights)
+    release = lambda k, j: j * total // weights[order[k]]
+    waiting = [(0, k, 0) for k, n in enumerate(order) if blocks[n]]
+    ready, t = [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            at, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[order[k]]), k, j, at))
+        deadline, k, j, at = heapq.heappop(ready)
+        yield order[k], j, at, deadline, t
+        t += 1
+        if j + 1 < blocks[order[k]]:
+            heapq.heappush(waiting, (release(k, j + 1), k, j + 1))
+
+
 def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place (within the block) and ``row`` (all columns)."""
     base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
@@ -78,29 +111,35 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK
     targets = {n: float(weights.get(n, 0)) for n in counts}
     if targets and not sum(targets.values()):
         targets = dict.fromkeys(targets, 1.0)
-    shares = frame_shares(targets, frame) if targets else {}
-    length = sum(shares.values())
-    slots = pfair_slots(shares)
+    exact = exact_weights(targets, frame)
+    blocks = {n: -(-counts[n] // block_rows) for n in exact}
     n_buckets = max(1, -(-sum(counts.values()) // bucket_rows))
     key = lambda n: "n" if n is None else f"s{n}"
-    frames = docs.sparkSession.createDataFrame([(key(n), shares[n], slots[n]) for n in shares], "key string, q long, slots array<int>")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            made = ((key(n), *rest) for n, *rest in schedule(exact, blocks))
+            while part := list(itertools.islice(made, 10_000)):
+                yield pd.DataFrame(part, columns=["key", "block", "release", "deadline", "slot"])
+
+    plan = docs.sparkSession.range(1, numPartitions=1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
     rows = base.withColumns({
         "key": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")),
         "bucket": F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(n_buckets)),
     })
     sums = rows.groupBy("key", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sums = sums.select("key", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # the blocks of each bucket meet their slots here, so that no row moves for it
+    spans = sums.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("n") - 1) / block_rows))))
+    sums = spans.join(plan, ["key", "block"]).groupBy("key", "bucket", "before").agg(F.array_sort(F.collect_list(F.struct("block", "release", "deadline", "slot"))).alias("slots"))
     within = Window.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id", F.lit("place")), "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(within))
-    rows = rows.join(sums, ["key", "bucket"]).join(F.broadcast(frames) if len(shares) <= MAX_BROADCAST else frames, "key")
+    rows = rows.join(sums, ["key", "bucket"])
     at = F.col("before") + F.col("nth") - 1
     rows = rows.withColumns({"block": F.floor(at / block_rows), "place": (at % block_rows).cast("int")})
-    block, q = F.col("block"), F.col("q")
-    return rows.withColumns({
-        "release": F.floor(block * length / q), "deadline": F.ceil((block + 1) * length / q),
-        "slot": F.floor(block / q) * length + F.get("slots", (block % q).cast("int")),
-    }).select("doc_id", "source", "block", "release", "deadline", "slot", "place", "row")
+    rows = rows.withColumn("of", F.get("slots", (F.col("block") - F.floor(F.col("before") / block_rows)).cast("int")))
+    return rows.select("doc_id", "source", "block", "of.release", "of.deadline", "of.slot", "place", "row")
 
 
 #: Share of a source in the mix: its rows to this power, so that large sources do not drown small ones.

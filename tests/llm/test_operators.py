@@ -271,6 +271,23 @@ def test_mixing(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_pfair_deviation_over_frames(spark):
+    counts = {f"s{i}": 20_000 if i == 20 else 2_000 for i in range(21)}
+    targets = {n: c**0.7 for n, c in counts.items()}
+    total, runs = sum(targets.values()), list(mixing.schedule(mixing.exact_weights(targets), counts))
+    assert Counter(r[0] for r in runs) == counts and len({r[4] for r in runs}) == len(runs)
+    done = dict.fromkeys(counts, 0)
+    for name, j, release, deadline, slot in runs:
+        assert j == done[name] and release <= slot < deadline
+        done[name] += 1
+        if all(done[n] < c for n, c in counts.items()):
+            assert slot == sum(done.values()) - 1 and all(abs(done[n] - w * (slot + 1) / total) < 1 + 1e-9 for n, w in targets.items())
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 100 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.mix(docs, {"a": 1.0, "b": 9999.0}, block_rows=1).collect()
+    assert all((r.release, r.deadline) == (r.block * 10_000, (r.block + 1) * 10_000) for r in rows if r.source == "a" and r.block < 3)
+    assert all(r.release <= r.slot < r.deadline for r in rows) and len({r.slot for r in rows}) == 6_000
+
+
 # 6
 
 
