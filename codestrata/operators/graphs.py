@@ -75,11 +75,11 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.select(F.col("source").alias("path"), F.col("target").alias("related")).distinct()
 
 
-def cycles(edges: DataFrame, max_length: int = 12, prune: int = 8) -> DataFrame:
-    """All elementary cycles of 2 to ``max_length`` files, as arrays that begin at their least file.
+def cycles(edges: DataFrame, max_length: int | None = None, prune: int = 8) -> DataFrame:
+    """All elementary cycles of 2 files or more (to ``max_length`` if given), as arrays that begin at their least file.
 
     Files without an edge in or out are dropped, over and over; then paths grow from each
-    file through greater ones only, so that each cycle is found once.
+    file through greater ones only, so that each cycle is found once, until no path is left.
     """
     e = internal(edges).filter("source <> target").select("source", "target").distinct()
     e = settle(e)
@@ -91,15 +91,18 @@ def cycles(edges: DataFrame, max_length: int = 12, prune: int = 8) -> DataFrame:
             break
     step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
     paths = e.filter("target > source").select(F.array("source", "target").alias("files"))
-    found = None
-    for _ in range(max_length - 1):
+    found, length = None, 2
+    while max_length is None or length <= max_length:
         paths = settle(paths)
         if paths.isEmpty():
             break
         grown = paths.withColumn("last", F.element_at("files", -1)).join(step, "last")
         closed = grown.filter(F.col("next") == F.col("files")[0]).select("files")
         found = closed if found is None else found.unionByName(closed)
+        if length % 16 == 0:  # else the plan grows with the length
+            found = settle(found)
         paths = grown.filter((F.col("next") > F.col("files")[0]) & ~F.array_contains("files", F.col("next"))).select(F.concat("files", F.array("next")).alias("files"))
+        length += 1
     return found if found is not None else paths.limit(0)
 
 

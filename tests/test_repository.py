@@ -143,6 +143,13 @@ def test_retrieval(spark, tmp_path):
         r.retrieve("  ")
 
 
+def test_cycles_of_any_length(spark):
+    ring = [f"r{i:02d}" for i in range(14)]
+    edges = spark.createDataFrame([*zip(ring, ring[1:] + ring[:1]), ("r03", "r01"), ("x1", "r00")], "source string, target string")
+    assert sorted(x.files for x in graphs.cycles(edges).collect()) == [ring, ring[1:4]]
+
+
+
 def test_debt(spark):
     wide = "class Wide:\n" + "".join(f"    def m{i}(self): pass\n" for i in range(15))
     r = Repository.of(spark, [("wide.py", wide), ("long.py", "x\n" * 1000), *DEPS[2:]])
