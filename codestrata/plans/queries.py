@@ -311,7 +311,7 @@ a AS (SELECT 'large_file' AS category, CASE WHEN n >= 1000 THEN 'high' ELSE 'med
 
 
 def _debt(spark, d) -> DataFrame:
-    loops = spark.createDataFrame([], "files array<string>")
+    loops = graphs.cycles(view(spark, d, "rings"))
     return findings.debt_findings(view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges"), loops)
 
 

@@ -159,6 +159,15 @@ def test_debt(spark):
     assert stats.first()["debt_score"] == 100 - 24 - 6
 
 
+def test_debt_query_has_cycles(spark):
+    from codestrata.plans.queries import QUERIES
+    from codestrata.plans.virtual import view
+
+    sf = "/root/testdata/sf0.001"
+    n = graphs.cycles(view(spark, sf, "rings")).count()
+    assert n and QUERIES["debt_findings"](spark, sf).filter("category = 'dependency_cycle' AND severity = 'high'").count() == n
+
+
 def test_dead_code(spark):
     r = Repository.of(spark, [("app.py", "from util import used\n\n\ndef start():\n    used()"), ("util.py", "def used():\n    pass\n\ndef unused_helper():\n    pass"), ("orphan.py", ""), ("tests/test_util.py", "def test_x():\n    pass")])
     got = pairs(r.dead_code(), "kind", "path")
