@@ -1,22 +1,32 @@
 """Language identification by nearest centroids of TF-IDF character n-grams.
 
-A text is lower-cased, everything but letters becomes a space, and its 1- to 3-grams are
-hashed to ``DIM`` counts; square roots of counts times IDF, scaled to length 1, are its
-vector.  Each language has up to ``CLUSTERS`` centroids (spherical k-means), and a text gets
-the language of the centroid of largest cosine, which is its score.  A text is rejected if it
-has no letter or its cosine is below half the lowest thousandth of the sample's own.
-
-The classifier learns from a bounded sample: about ``SAMPLE_ROWS`` labelled rows per
-language at most, chosen by a hash of doc_id, at most ``MAX_LANGS`` languages (the most
-frequent ones).  Predictions use the text only.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; no labelled row
-at all makes every text ``und``; null labels teach nothing; repeated rows get a row each;
-very long texts are read whole, in pieces; extra columns are kept by ``keep_known``.
+A text is lower-cased, each run of anything but letters becomes a space, and its 1- to
+3-grams are hashed to ``DIM`` signed counts, so that chance collisions cancel; signed square
+roots of counts times IDF, scaled to length 1, are its vector.  Each language has up to
+``CLUSTERS`` centroids (spherical k-means), and a text gets the language of the centroid of
+largest cosine, which is its score.
+
+Rejection is by distance: a text is rejected if it has no letter, or if its cosine is below
+the floor of its language for its number of n-grams.  The floors are ``MARGIN`` times the
+lowest thousandth of the cosines of the sample itself: of whole texts and of passages of
+``PASSAGES`` characters out of their middle, since short texts have small cosines.
+
+The classifier learns from a bounded sample: ``SAMPLE_ROWS`` labelled rows over all languages,
+as many of each, ``MOST_ROWS`` at most and ``LEAST_ROWS`` at least (so the bound is LEAST_ROWS
+a language where there are very many), chosen by a hash of doc_id and text; repeated rows
+count once.  Predictions
+use the text only.
+
+Defined cases: a letter is what Unicode calls one (categories L*; not digits, numerals or
+marks); a null text or one without a letter is ``und`` with score 0; no labelled row at all
+makes every text ``und``; null labels teach nothing; null doc_ids teach like others; repeated
+rows get a row each; very long texts are read whole, in pieces; extra columns are kept by
+``keep_known``.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -26,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import BROADCAST_ROWS, checkpoint, slices, table
 
-DIM = 2048
+DIM = 4096
 CLUSTERS = 3
-SAMPLE_ROWS = 800
-MAX_LANGS = 256
+SAMPLE_ROWS, LEAST_ROWS, MOST_ROWS = 6_400, 16, 800
+PASSAGES = (32, 256)
+MARGIN, LOWEST = 0.8, 0.001
+STEPS = 24
 PIECE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE = re.compile(r"[^\W\d_]+")
 
 _LETTERS: list[np.ndarray] = []
 
@@ -44,35 +56,45 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; ``\\w`` takes numerals too."""
+    return bool(text) and any(any(map(str.isalpha, m.group())) for m in MAYBE.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
-    """Hashed 1- to 3-gram counts of a whole text."""
-    out = np.zeros(DIM, np.int64)
+    """Hashed signed 1- to 3-gram counts of a whole text."""
+    out = np.zeros(DIM)
+    tail = np.array([32], np.uint64)  # the last two characters before; n-grams within them were counted
     for at in range(0, len(text), PIECE):
-        # two characters of overlap; n-grams that lie in it wholly were counted before
-        back = 2 if at else 0
-        part = text[at - back : at + PIECE].lower()
-        c = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
+        c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
         c = np.where(_letters()[np.minimum(c, 0x10FFFF)], c, 32).astype(np.uint64)
-        if not at:
-            c = np.concatenate(([np.uint64(32)], c))
-        last = at + PIECE >= len(text)
-        if last:
-            c = np.concatenate((c, [np.uint64(32)]))
+        c = np.concatenate((tail, c, np.full(int(at + PIECE >= len(text)), 32, np.uint64)))
+        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+        back = len(tail)
         two = c[:-1] * np.uint64(0x9E3779B1) + c[1:]
         three = two[:-1] * np.uint64(0x85EBCA77) + c[2:]
-        for n, h in ((1, c[back:]), (2, two[max(0, back - 1) :]), (3, three)):
+        one = c[back:]
+        for n, h in ((1, one[one != 32]), (2, two[back - 1 :]), (3, three[max(0, back - 2) :])):
             h = (h + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            out += np.bincount((h >> np.uint64(40)).astype(np.int64) & (DIM - 1), minlength=DIM)
+            both = np.bincount((h >> np.uint64(40)).astype(np.int64) & (2 * DIM - 1), minlength=2 * DIM)
+            out += both[:DIM] - both[DIM:]
+        tail = c[-2:]
     return out
 
 
-def vectors(texts: list[str], idf: np.ndarray | None = None) -> np.ndarray:
-    m = np.stack([counts(t) for t in texts]) if texts else np.zeros((0, DIM), np.int64)
-    m = np.sqrt(m.astype(np.float32))
-    if idf is not None:
-        m *= idf
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    return m
+def roots(text: str) -> np.ndarray:
+    m = counts(text)
+    return (np.sign(m) * np.sqrt(np.abs(m))).astype(np.float32)
+
+
+def n_grams(m: np.ndarray) -> np.ndarray:
+    """About the number of n-grams of each row of signed square roots."""
+    return (m * m).sum(1)
+
+
+def scaled(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    m = m * idf
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -90,54 +112,118 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def step(n: np.ndarray) -> np.ndarray:
+    """Class of a number of n-grams: its power of 2."""
+    return np.clip(np.log2(np.maximum(n, 1)).astype(int), 0, STEPS - 1)
+
+
 class LanguageModel:
-    def __init__(self, langs: list[str], owner: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floor: float):
-        self.langs, self.owner, self.centroids, self.idf, self.floor = langs, owner, centroids, idf, floor
+    """Languages, the language of each centroid, centroids, IDF and floors (language, step)."""
+
+    def __init__(self, langs: list[str], owner: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floors: np.ndarray):
+        self.langs, self.owner, self.centroids, self.idf, self.floors = langs, owner, centroids, idf, floors
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected."""
         lang, score, rejected = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
-        good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        good = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
         for at in range(0, len(good), 256):
             rows = good[at : at + 256]
-            cos = vectors([texts[i] for i in rows], self.idf) @ self.centroids.T
+            m = np.stack([roots(texts[i]) for i in rows])
+            cos = scaled(m, self.idf) @ self.centroids.T
             best = cos.argmax(1)
             top = np.clip(cos[np.arange(len(rows)), best], 0.0, 1.0)
-            lang[rows] = [self.langs[self.owner[b]] for b in best]
-            score[rows], rejected[rows] = top, top < self.floor
+            mine = self.owner[best]
+            lang[rows] = [self.langs[k] for k in mine]
+            score[rows], rejected[rows] = top, top < self.floors[mine, step(n_grams(m))]
         return lang, score, rejected
 
 
+NOTHING = LanguageModel([], np.zeros(0, int), np.zeros((0, DIM)), np.ones(DIM), np.zeros((0, STEPS)))
+
+
+def floors_of(cos: np.ndarray, owner: np.ndarray, at: np.ndarray, n_langs: int) -> np.ndarray:
+    """Floors by language and step, from the own cosines of texts and passages.
+
+    A step with few of them has the floor of a smaller one, and none falls with the length;
+    languages with few rows have the least floor of all languages with enough, or none.
+    """
+    out = np.full((n_langs, STEPS), np.nan)
+    for k in range(n_langs):
+        c, s = cos[owner == k], at[owner == k]
+        for i in np.unique(s).tolist():
+            if (s == i).sum() >= 50:
+                out[k, i] = np.quantile(c[s == i], LOWEST)
+    out = np.fmax.accumulate(out, axis=1)  # nothing falls with the length
+    filled = np.isfinite(out)
+    least = np.array([np.nanmin(out[:, i]) if filled[:, i].any() else 0.0 for i in range(STEPS)])
+    return MARGIN * np.where(filled.any(1)[:, None], np.nan_to_num(out), np.maximum(least, 0.0)[None, :])
+
+
+def fit(got: pd.DataFrame) -> LanguageModel:
+    """From rows of lang, whole (or a passage) and v (signed square roots)."""
+    langs = sorted(got["lang"].unique())
+    if not langs:
+        return NOTHING
+    y, whole, raw = np.searchsorted(langs, got["lang"].to_numpy()), got["whole"].to_numpy(bool), got["v"].to_numpy()
+    x = np.stack([unpacked(v) for v in raw[whole]])
+    idf = (np.log((1 + len(x)) / (1 + (x != 0).sum(0))) + 1).astype(np.float32)
+    x = scaled(x, idf)
+    parts = [k_means(x[y[whole] == k], CLUSTERS) for k in range(len(langs))]
+    del x
+    owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    centroids = np.concatenate(parts).astype(np.float32)
+    own, at = np.zeros(len(raw)), np.zeros(len(raw), int)
+    for lo in range(0, len(raw), 1024):
+        few = slice(lo, lo + 1024)
+        m = np.stack([unpacked(v) for v in raw[few]])
+        own[few] = np.where(owner[None, :] == y[few, None], scaled(m, idf) @ centroids.T, -1).max(1)
+        at[few] = step(n_grams(m))
+    return LanguageModel(langs, owner, centroids, idf, floors_of(own, y, at, len(langs)))
+
+
+def packed(v: np.ndarray) -> bytes:
+    """A vector, as places and values where most are zero."""
+    at = np.flatnonzero(v)
+    return v.tobytes() if len(at) * 6 >= 4 * DIM else at.astype(np.uint16).tobytes() + v[at].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) == 4 * DIM:
+        return np.frombuffer(raw, np.float32)
+    n, out = len(raw) // 6, np.zeros(DIM, np.float32)
+    out[np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw, np.float32, offset=2 * n)
+    return out
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on (doc_id, text, lang)."""
     labelled = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIM)), np.ones(DIM), 0.0)
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11).cast("double") / float(1 << 53)
-    keep = F.lit(False)
-    for r in sizes:
-        keep = keep | ((F.col("lang") == r[0]) & (unit < sample_rows / r[1]))
+    labelled = labelled.withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    sizes = checkpoint(labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")))
+    n_langs = sizes.count()
+    if not n_langs:
+        return NOTHING
+    each = max(LEAST_ROWS, min(MOST_ROWS, sample_rows // n_langs))
+    unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    rows = labelled.join(F.broadcast(sizes) if n_langs <= BROADCAST_ROWS else sizes, "lang").filter(unit < F.lit(float(each)) / F.col("n"))
+    rows = rows.groupBy("lang", "h").agg(F.first("text").alias("text"))  # equal rows once
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = part[[bool(LETTER.search(t)) for t in part["text"]]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"], "v": [v.astype(np.float32).tobytes() for v in map(np.sqrt, map(counts, rows["text"]))]})
-
-    got = labelled.filter(keep).mapInPandas(run, "doc_id long, lang string, v binary").toPandas().sort_values(["lang", "doc_id", "v"])
-    langs = sorted(got["lang"].unique())
-    if not langs:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIM)), np.ones(DIM), 0.0)
-    x = np.stack([np.frombuffer(v, np.float32) for v in got["v"]])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = x * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    y = got["lang"].to_numpy()
-    parts = [k_means(x[y == lang], CLUSTERS) for lang in langs]
-    owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    centroids = np.concatenate(parts)
-    own = np.where(owner[None, :] == np.searchsorted(langs, y)[:, None], x @ centroids.T, -1).max(1)
-    return LanguageModel(langs, owner, centroids, idf, 0.5 * float(np.quantile(own, 0.001)))
+            out = []
+            for lang, h, text in zip(part["lang"], part["h"], part["text"]):
+                if not has_letter(text):
+                    continue
+                out.append((lang, h, True, packed(roots(text))))
+                for n in PASSAGES:
+                    passage = text[(len(text) - n) // 2 :][:n] if len(text) > 2 * n else ""
+                    if has_letter(passage):
+                        out.append((lang, h, False, packed(roots(passage))))
+            yield pd.DataFrame(out, columns=["lang", "h", "whole", "v"])
+
+    got = rows.mapInPandas(run, "lang string, h long, whole boolean, v binary").toPandas()
+    return fit(got.sort_values(["lang", "h", "whole", "v"]))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

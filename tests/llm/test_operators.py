@@ -357,6 +357,58 @@ def test_counts_by_piece(monkeypatch, n):
     assert (langid.counts(text) == whole).all()
 
 
+def test_language_letters_and_ids(spark):
+    sentence = {"en": "the quick brown fox jumps over the lazy dog and runs", "fr": "le renard brun saute par dessus le chien qui dort ici", "de": "der schnelle braune fuchs springt \u00fcber den faulen hund", "es": "el r\u00e1pido zorro marr\u00f3n salta sobre el perro dormido"}
+    rows = [(None, f"{t} {i}", k) for i in range(40) for k, t in sentence.items()] + [(1, "solo uno", "xx")] * 300
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "es", "fr", "xx"]
+    texts = ["\u00b2", "12 \u00bd \u2461", "\u2167 \u0301_", None, "", "\u00aa", *sentence.values()]
+    lang, score, rejected = model.predict(texts)
+    assert lang[:5].tolist() == ["und"] * 5 and not score[:5].any() and rejected[:5].all() and lang[5] != "und"
+    assert lang[6:].tolist() == list(sentence)
+
+
+def test_language_many_labels(spark):
+    rows = [(i, f"w{'abcdefghijklmnop'[i % 16]} " * 5, f"l{i:03d}") for i in range(300)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 300
+
+
+def test_language_against_slow_vectors(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    lang, score, _ = model.predict(texts)
+    u64 = (1 << 64) - 1
+    for text, got, cos in zip(texts, lang, score):
+        if got == "und":
+            continue
+        c = [ord(x) for x in re.sub(r"[^a-z\u00df-\u00f6\u00f8-\u00ff]+", " ", f" {text.lower()} ")]
+        v = np.zeros(langid.DIM)
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for k, x in enumerate(c[i : i + n]):
+                    h = (h * {0: 0, 1: 0x9E3779B1, 2: 0x85EBCA77}[k] + x) & u64
+                if c[i : i + n] != [32]:
+                    h = ((h + n) * 0xC2B2AE3D27D4EB4F & u64) >> 40
+                    v[h % langid.DIM] += -1 if h & langid.DIM else 1
+        v = np.sign(v) * np.sqrt(np.abs(v)) * model.idf
+        cosines = model.centroids @ v / np.linalg.norm(v)
+        assert model.langs[model.owner[cosines.argmax()]] == got and abs(max(0, cosines.max()) - cos) < 1e-4
+
+
+def test_language_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.filter("doc_id % 5 <> 0"))
+    clean = [r.text for r in docs.filter("doc_id % 5 = 0").collect()]
+    assert model.predict(clean)[2].mean() < 0.02
+    rng = np.random.default_rng(4)
+    for low, high in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x4E00, 0x5200), (0xAC00, 0xB000)):
+        unseen = ["".join(chr(x) if rng.random() > 0.15 else " " for x in rng.integers(low, high, n)) for n in (100, 1000, 5000) for _ in range(20)]
+        assert model.predict(unseen)[2].mean() > 0.95
+    assert langid.keep_known(spark.createDataFrame([(i, t, None) for i, t in enumerate(clean)], "doc_id long, text string, lang string")).count() == 0
+
+
 # 8
 
 
