@@ -5,20 +5,28 @@ that covers it also starts earlier (smaller doc_id, or earlier in the same docum
 
 Routing: each window has an anchor, its least hashed word triple, so equal windows have equal
 anchors, and neighbouring windows with one anchor form a segment.  Anchors are counted over
-the corpus, and only segments whose anchor occurs again are sent on, to the shard of their
-anchor: any two equal windows meet in one shard.  In a batch of rows a segment that occurs
-again is sent once, with its earliest place; the later ones are known to be covered.
-
-Shard: an FM-index over the distinct segments: suffixes sorted by their first WINDOW words,
-the Burrows-Wheeler transform in a wavelet matrix of packed bits with block ranks.  Every
-segment is streamed through it from its end by backward search; past WINDOW words the match
-drops its last word (parent interval) and goes on, which gives the matching statistics at
-the threshold, and the earliest place in each interval tells which windows are repeats.
+the corpus, and only segments whose anchor occurs again are sent on, with their words, to the
+shard of their anchor: any two equal windows meet in one shard.  Hashes only route; windows
+are equal if their words are.  In a batch of rows a segment that occurs again is sent once,
+with its earliest place; the later ones are known to be covered.
+
+Hot anchors: an anchor that a batch holds ``SPLIT_DOCS`` times or more is known to occur
+again, so its documents are dealt by batch and only its count goes to the task of the anchor.
+Anchors of over ``HOT_ANCHOR`` places have their windows dealt out one by one.
+
+Shard: an FM-index over the distinct segments.  Words are numbered by a dictionary of the
+shard, suffixes are sorted by their first WINDOW words, and what is kept is the
+Burrows-Wheeler transform in a wavelet matrix of packed bits with block ranks, and one bit a
+suffix that marks the intervals of WINDOW - 1 words.  Every segment is streamed through it
+from its end by backward search; past WINDOW words the match drops its last word (parent
+interval) and goes on, which gives the matching statistics at the threshold: the interval of
+the window at each position.  Windows in one interval of more than one suffix are equal, and
+all but the earliest of them are repeats.
 
 Defined cases: a null text has no words; fewer than WINDOW words are never removed; rows of
 one doc_id and start are not earlier than each other; a null doc_id is after all others (rows
-with it are tied); repeated rows get a row each; extra columns are kept by ``dedup_texts``.
-Windows are compared by 32-bit word hashes (640 bits a window).
+with it are tied); repeated rows get a row each; extra columns are kept by ``dedup_texts``,
+whose own column takes another name if that of ``told`` is there.
 """
 
 from __future__ import annotations
@@ -30,12 +38,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import give_back, slices, table
+from .common import BROADCAST_ROWS, checkpoint, give_back, slices, table
 
 WINDOW = 20
 LAST_ID = 2**63 - 1
@@ -43,6 +52,10 @@ LAST_ID = 2**63 - 1
 SHARD_BYTES = 1_750_000
 #: An anchor with more places than this has its windows dealt out one by one.
 HOT_ANCHOR = 4096
+#: Places of an anchor in one batch from which on its documents are dealt by batch.
+SPLIT_DOCS = 4
+#: Windows of hot anchors that a task remembers, so that it sends each once (beyond them, once a batch).
+KNOWN_WINDOWS = 100_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -63,16 +76,66 @@ def segments(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     return g[at[begin]].view(np.int64), begin, end
 
 
+class Bits:
+    """A packed bit vector with ranks by blocks of 64 bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        self.words = np.zeros(self.n // 64 + 1, np.uint64)
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        ones = np.bitwise_count(self.words)
+        self.ranks = np.concatenate(([0], np.cumsum(ones[:-1], dtype=np.int32))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        block = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ranks[block] + np.bitwise_count(self.words[block] & mask).astype(np.int64)
+
+
+class Marks(Bits):
+    """Marked positions, 0 among them: the run of positions around each one."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__(bits)
+        some = np.flatnonzero(self.words)
+        block = np.arange(len(self.words))
+        self.back = some[np.searchsorted(some, block, "right") - 1].astype(np.int32)  # the last block up to here with a mark
+        after = np.searchsorted(some, block, "right")
+        self.ahead = np.append(some, len(self.words))[after].astype(np.int32)  # the first one behind
+
+    def run(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last mark up to each position and first one behind it (or the end)."""
+        block, bit = at >> 6, (at & 63).astype(np.uint64)
+        upto = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - bit)
+        low, high = self.words[block] & upto, self.words[block] & ~upto
+        inside = low != 0
+        left = np.where(inside, block, self.back[np.maximum(block - 1, 0)])
+        x = np.where(inside, low, self.words[left])
+        for k in (1, 2, 4, 8, 16, 32):
+            x |= x >> np.uint64(k)
+        first = left * 64 + np.bitwise_count(x) - 1
+        inside = high != 0
+        right = np.where(inside, block, self.ahead[block])
+        end = right == len(self.words)
+        x = np.where(inside, high, self.words[np.where(end, 0, right)])
+        last = right * 64 + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
+        return first.astype(np.int64), np.where(end, self.n, last).astype(np.int64)
+
+
 class FMIndex:
-    """Backward search over words (small ints, 0 parts segments) for patterns of up to ``depth`` words."""
+    """Backward search for patterns of up to ``depth`` words over a text of numbers 0 to sigma - 1, all of which occur.
+
+    0 parts segments and ends the text.  Kept are the levels of the wavelet matrix, a count and
+    a start a word, and the marks of the intervals of ``depth`` - 1 words; no suffix is.
+    """
 
     def __init__(self, text: np.ndarray, depth: int = WINDOW):
         n = len(text)
-        _, rank = np.unique(text, return_inverse=True)
-        self.sigma = int(rank.max()) + 1
-        self.symbols = rank.astype(np.int64)
-        rank, have = self.symbols, 1
-        shorter = None
+        rank, have = text.astype(np.int64), 1
+        self.n, self.sigma = n, int(rank.max()) + 1
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=self.sigma))))[:-1]
         for want in (2, 4, 8, 16, 32, 64):
             want = min(want, depth)
             for target in ((depth - 1, depth) if want == depth else (want,)):
@@ -83,39 +146,26 @@ class FMIndex:
                 sorted_ = key[order]
                 new = np.empty(n, np.int64)
                 new[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-                if target == depth - 1:
+                if target < want:
                     shorter = new
                 else:
-                    rank_next, self.order = new, order
+                    rank_next = new
             rank, have = rank_next, want
             if want == depth:
                 break
-        self.classes = rank[self.order]  # by suffix: class of the first ``depth`` words
-        lower = shorter[self.order]
-        first = np.flatnonzero(np.concatenate(([True], lower[1:] != lower[:-1])))
-        nth = np.cumsum(np.concatenate(([0], (lower[1:] != lower[:-1]).astype(np.int64))))
-        bounds = np.concatenate((first, [n]))
-        self.parent_lo, self.parent_hi = bounds[nth], bounds[nth + 1]
-        bwt = self.symbols[self.order - 1]  # the text ends in 0, so position -1 is a 0
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(self.symbols, minlength=self.sigma))))[:-1]
-        self.n, self.levels = n, []
+        lower = shorter[order]
+        self.shorter = Marks(np.concatenate(([True], lower[1:] != lower[:-1])))
+        bwt = text[order - 1].astype(np.int64)  # the text ends in 0, so position -1 is a 0
+        self.levels = []
         for bit in range(max(1, int(self.sigma - 1).bit_length()) - 1, -1, -1):
             b = (bwt >> bit) & 1
-            packed = np.packbits(b.astype(np.uint8), bitorder="little")
-            words = np.zeros(n // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))[:-1]
-            zeros = n - int(b.sum())
-            self.levels.append((bit, words, ranks, zeros))
+            self.levels.append((bit, Bits(b), n - int(b.sum())))
             bwt = np.concatenate((bwt[b == 0], bwt[b == 1]))
-        every = np.arange(self.sigma)
-        self.start = self._down(np.zeros(self.sigma, np.int64), every)
+        self.start = self._down(np.zeros(self.sigma, np.int64), np.arange(self.sigma))
 
     def _down(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
-        for bit, words, ranks, zeros in self.levels:
-            block = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = ranks[block] + np.bitwise_count(words[block] & mask)
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where((c >> bit) & 1, zeros + ones, at - ones)
         return at
 
@@ -124,52 +174,60 @@ class FMIndex:
         both = self._down(np.concatenate((lo, hi)), np.concatenate((c, c))) + np.tile(self.before[c] - self.start[c], 2)
         return both[: len(lo)], both[len(lo) :]
 
+    def parent(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the first ``depth`` - 1 words of those that begin at ``lo``."""
+        return self.shorter.run(lo)
+
+
+def statistics(fm: FMIndex, text: np.ndarray, first: np.ndarray, size: np.ndarray, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(stream, position, lo, hi) of the windows of streams text[first:first + size], from their ends.
+
+    [lo, hi) is the interval of the suffixes that begin with the window.
+    """
+    by = np.argsort(-size, kind="stable")  # longest first
+    rest, first = size[by], first[by]
+    lo, hi = np.zeros(len(by), np.int64), np.full(len(by), fm.n, np.int64)
+    for step in range(int(rest[0]) if len(by) else 0):
+        n = int(np.searchsorted(-rest, -step, "left"))  # streams of more than ``step`` words
+        lo, hi = lo[:n], hi[:n]
+        if step >= window:
+            lo, hi = fm.parent(lo)
+        position = rest[:n] - 1 - step
+        lo, hi = fm.step(lo, hi, text[first[:n] + position])
+        if step >= window - 1:
+            yield by[:n], position, lo, hi
+
+
+def numbered(words: list[bytes]) -> np.ndarray:
+    """A number from 1 for each different word."""
+    code = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+    return np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+
 
 def repeats(words: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(segment, position) of each window of distinct segments that starts earlier elsewhere.
 
-    Segment s is words[offsets[s]:offsets[s + 1]], and its earliest place is (doc, start).
+    Segment s is words[offsets[s]:offsets[s + 1]] (numbers from 1), and its earliest place is (doc, start).
     """
     k = len(offsets) - 1
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(k), size)
     text = np.zeros(len(words) + k, np.int64)
-    at = np.arange(len(words)) + owner
-    _, dense = np.unique(words, return_inverse=True)
-    text[at] = dense + 1
+    text[np.arange(len(words)) + np.repeat(np.arange(k), size)] = words
     fm = FMIndex(text, window)
-    # earliest place of each class of windows
-    place = np.full(len(text), LAST_ID, np.int64)
     ranks = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    inside = np.arange(len(words)) - offsets[owner]
-    own = (ranks[owner] << 32) + start[owner] + inside
-    full = inside + window <= size[owner]
-    place[at[full]] = own[full]
-    heads = np.flatnonzero(np.concatenate(([True], fm.classes[1:] != fm.classes[:-1])))
-    least = np.minimum.reduceat(place[fm.order], heads)
-    # stream all segments from their ends, longest first
-    by = np.argsort(-size, kind="stable")
-    rest = size[by]
-    first = offsets[by] + by
-    lo, hi = np.zeros(k, np.int64), np.full(k, fm.n, np.int64)
-    out_seg, out_at = [], []
-    for step in range(int(rest[0]) if k else 0):
-        n = int(np.searchsorted(-rest, -step, "left"))  # segments of more than ``step`` words
-        lo, hi = lo[:n], hi[:n]
-        if step >= window:
-            hi = fm.parent_hi[lo]
-            lo = fm.parent_lo[lo]
-        at_ = first[:n] + rest[:n] - 1 - step
-        lo, hi = fm.step(lo, hi, fm.symbols[at_])
-        if step >= window - 1:
-            position = rest[:n] - 1 - step
-            mine = (ranks[by[:n]] << 32) + start[by[:n]] + position
-            late = mine > least[fm.classes[lo]]
-            out_seg.append(by[:n][late])
-            out_at.append(position[late])
-    if not out_seg:
+    found = []
+    for seg, at, lo, hi in statistics(fm, text, offsets[:-1] + np.arange(k), size, window):
+        again = hi - lo > 1
+        found.append((seg[again], at[again], lo[again]))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_seg), np.concatenate(out_at)
+    seg, at, lo = (np.concatenate(x) for x in zip(*found))
+    place = (ranks[seg] << 32) + start[seg] + at
+    which, n = np.unique(lo, return_inverse=True)
+    least = np.full(len(which), LAST_ID, np.int64)
+    np.minimum.at(least, n, place)
+    late = place > least[n]
+    return seg[late], at[late]
 
 
 def _runs(seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +263,8 @@ def _shard(part: pd.DataFrame) -> pd.DataFrame:
             elif (doc[first], start[first]) < (doc[i], start[i]):
                 again.append(i)
         at = np.array(distinct)
-        words = np.frombuffer(b"".join(texts[i] for i in distinct), np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(texts[i]) // 4 for i in distinct])))
+        words = numbered(b" ".join(texts[i] for i in distinct).split(b" "))
+        offsets = np.concatenate(([0], np.cumsum([texts[i].count(b" ") + 1 for i in distinct])))
         seg, pos = repeats(words, offsets, doc[at], start[at])
         seg, a, b = _runs(seg, pos)
         out.append((doc[at[seg]], th[at[seg]], start[at[seg]] + a, start[at[seg]] + b + WINDOW))
@@ -237,8 +295,14 @@ def _shard(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, n, docs) once for each anchor of a batch; docs packs (doc_id, th) pairs."""
+    """(key, anchor, n, docs) for each anchor of a batch; docs packs (doc_id, th) pairs.
+
+    Usually key is the anchor.  With SPLIT_DOCS places there are two rows: one with the count
+    and no docs, and one of n = 0 with the docs, whose key is of this batch alone.
+    """
+    part_id, batch = TaskContext.get().partitionId(), 0
     for part in slices(batches, 5000):
+        batch += 1
         ids, ths = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         found, owner = [], []
         for k, text in enumerate(part.column(2).to_pylist()):
@@ -257,8 +321,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.concatenate((head, [len(a)])))
         kept = np.concatenate(([0], np.cumsum(once)))
         bounds = np.concatenate((kept[head], [kept[-1]])) * 16
-        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(pair[once]))])
-        yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(n.astype(np.int64)), packed.cast(pa.binary())], names=["anchor", "n", "docs"])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(pair[once]))]).cast(pa.binary())
+        a = a[head]
+        many = n >= SPLIT_DOCS
+        salt = np.uint64(xxhash.xxh64_intdigest(f"{part_id} {batch}"))
+        key = np.where(many, (a.view(np.uint64) ^ salt).view(np.int64), a)
+        names = ["key", "anchor", "n", "docs"]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(np.where(many, 0, n)), packed], names=names)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[many]), pa.array(a[many]), pa.array(n[many]), pa.array([b""] * int(many.sum()), pa.binary())], names=names)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +354,7 @@ def _segments(n_shards: int, text_at: int, width: int):
         return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}  # windows of hot anchors
         for part in slices(batches):
             first: dict[tuple, tuple] = {}
             rows, ids, ths = [], part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -290,9 +362,10 @@ def _segments(n_shards: int, text_at: int, width: int):
             for k in sorted(range(len(ids)), key=lambda k: (ids[k], ths[k])):
                 if not len(wanted[k]):
                     continue
-                h = hashes(texts[k].encode().split())
-                a, begin, end = segments(h)
-                small = h.astype(np.uint32).tobytes()
+                all_words = texts[k].encode().split()
+                a, begin, end = segments(hashes(all_words))
+                line = b" ".join(all_words)
+                stops = np.cumsum(np.fromiter(map(len, all_words), np.int64, len(all_words)) + 1) - 1
                 hit = np.isin(a, wanted[k])
                 frequent = set(hot[k].tolist())
                 doc, th = ids[k], ths[k]
@@ -302,9 +375,17 @@ def _segments(n_shards: int, text_at: int, width: int):
                     split = anchor in frequent
                     pieces = ((i, i + WINDOW) for i in range(b, e - WINDOW + 1)) if split else ((b, e),)
                     for s, t in pieces:
-                        words = small[4 * s : 4 * t]
-                        key = xxhash.xxh64_intdigest(words) if split else anchor
-                        place = first.setdefault((key, words), (doc, s))
+                        words = line[stops[s - 1] + 1 if s else 0 : stops[t - 1]]
+                        if split:
+                            key = xxhash.xxh64_intdigest(words)
+                            place = known.get(words)
+                            if (place is None or place > (doc, s)) and (place is not None or len(known) < KNOWN_WINDOWS):
+                                known[words] = doc, s
+                        else:
+                            key = anchor
+                            place = None
+                        if place is None:
+                            place = first.setdefault((key, words), (doc, s))
                         if place >= (doc, s):
                             rows.append((key % n_shards, doc, th, s, t, words))
                         elif covered and s <= covered[1]:
@@ -351,14 +432,12 @@ def _apply(text_at: int, schema: pa.Schema, rejoin: bool):
     return run
 
 
-def dedup_texts(docs: DataFrame, rejoin: bool = False, hot: int = HOT_ANCHOR) -> DataFrame:
-    """``docs`` with the repeated words taken out of text, and ``dedup`` (n_words, n_removed, spans).
+def dedup_texts(docs: DataFrame, rejoin: bool = False, hot: int = HOT_ANCHOR, told: str = "dedup") -> DataFrame:
+    """``docs`` with the repeated words taken out of text, and ``told`` (n_words, n_removed, spans).
 
     A text that loses nothing stays as it is, unless ``rejoin`` asks for its words joined by
     one space; the others are so joined.
     """
-    if "dedup" in docs.columns:
-        raise ValueError("the column dedup is made here: rename it first")
     key = ["__dedup_id", "__dedup_th"]
     names = docs.columns
     text = F.col("text").cast("string")
@@ -367,16 +446,23 @@ def dedup_texts(docs: DataFrame, rejoin: bool = False, hot: int = HOT_ANCHOR) ->
         *[text.alias("text") if c == "text" else F.col(c) for c in names],
     )
     n_shards = max(8, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES))
-    anchors = rows.select(*key, "text").mapInArrow(_anchors, "anchor long, n long, docs binary")
-    anchors = anchors.withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).filter("total > 1")
-    wanted = anchors.select("anchor", "docs", (F.col("total") > hot).alias("hot")).mapInArrow(_unpack, f"{key[0]} long, {key[1]} long, anchor long, hot boolean")
+    anchors = rows.select(*key, "text").mapInArrow(_anchors, "key long, anchor long, n long, docs binary")
+    anchors = anchors.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).filter("n = 0 OR total > 1")
+    is_hot = F.col("total") > hot
+    anchors = checkpoint(anchors.filter((F.octet_length("docs") > 0) | is_hot).select("anchor", "docs", "n", is_hot.alias("hot")))
+    # the count of an anchor is known in its own task: documents dealt by batch look it up
+    frequent = anchors.filter("n > 0 AND hot").select("anchor").distinct().withColumn("_hot", F.lit(True))
+    dealt = anchors.filter("n = 0").join(F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent, "anchor", "left")
+    dealt = dealt.select("anchor", "docs", F.coalesce("_hot", F.lit(False)).alias("hot"))
+    wanted = dealt.unionByName(anchors.filter("n > 0 AND octet_length(docs) > 0").select("anchor", "docs", "hot"))
+    wanted = wanted.mapInArrow(_unpack, f"{key[0]} long, {key[1]} long, anchor long, hot boolean")
     wanted = wanted.groupBy(*key).agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("frequent"))
     # both joins read the same exchange of the texts: left joins, and all columns each time
     found = rows.join(wanted, key, "left").mapInArrow(_segments(n_shards, 2 + names.index("text"), 2 + len(names)), SEGMENT)
     spans = found.groupBy("shard").applyInPandas(_shard, f"{key[0]} long, {key[1]} long, start int, stop int")
     spans = spans.groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    told = "struct<n_words: long, n_removed: long, spans: array<struct<start: int, stop: int>>>"
-    out = T.StructType([*rows.select(*names).schema.fields, T.StructField("dedup", T._parse_datatype_string(told))])
+    kind = "struct<n_words: long, n_removed: long, spans: array<struct<start: int, stop: int>>>"
+    out = T.StructType([*rows.select(*names).schema.fields, T.StructField(told, T._parse_datatype_string(kind))])
     return rows.join(spans, key, "left").mapInArrow(_apply(2 + names.index("text"), to_arrow_schema(out), rejoin), out)
 
 

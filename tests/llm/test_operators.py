@@ -223,6 +223,47 @@ def test_substrings_odd_rows(spark):
     assert substring.dedup_texts(df.limit(0)).count() == 0
 
 
+def test_substrings_compare_words_not_hashes(spark):
+    tail = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"n91119 {tail}"), (2, f"n112395 {tail}"), (3, f"{tail} n91119"), (4, f"n112395 {tail}")], "doc_id long, text string")
+    assert xxhash.xxh3_64_intdigest(b"n91119") & 0xFFFFFFFF == xxhash.xxh3_64_intdigest(b"n112395") & 0xFFFFFFFF
+    assert {r.doc_id: r.dedup.n_removed for r in substring.dedup_texts(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 20}
+
+
+def test_substrings_of_a_common_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(45))
+    docs = [(d, f"a{d} b{d} {passage} c{d}" if d % 2 else f"{passage} d{d}") for d in range(400)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, dedup int").repartition(9)
+    words, want = brute_removed(docs)
+    for hot in (4096, 30):
+        out = substring.dedup_texts(df, rejoin=True, hot=hot, told="told")
+        assert out.columns == ["doc_id", "text", "dedup", "told"]
+        assert all(r.text == " ".join(want[r.doc_id]) and r.told.n_removed == len(words[r.doc_id]) - len(want[r.doc_id]) for r in out.collect())
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(6)
+    segs = [rng.integers(1, 4, int(n)) for n in rng.integers(5, 60, 30)]
+    size = np.array([len(x) for x in segs])
+    text = np.concatenate([np.append(x, 0) for x in segs])
+    first = np.cumsum(size + 1) - size - 1
+    fm = substring.FMIndex(text, 5)
+    seen = 0
+    for seg, at, lo, hi in substring.statistics(fm, text, first, size, 5):
+        for s, p, a, b in zip(seg, at, lo, hi):
+            window = segs[s][p : p + 5]
+            assert b - a == sum((x[i : i + 5] == window).all() for x in segs for i in range(len(x) - 4))
+            seen += 1
+    assert seen == sum(max(0, n - 4) for n in size)
+    marks = rng.random(700) < 0.01
+    marks[0] = True
+    at = np.arange(700)
+    ones = np.flatnonzero(marks)
+    left, right = substring.Marks(marks).run(at)
+    k = np.searchsorted(ones, at, "right")
+    assert (left == ones[k - 1]).all() and (right == np.append(ones, 700)[k]).all()
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(1, 5, 50), 0) for _ in range(10)])
