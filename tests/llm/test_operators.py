@@ -1,9 +1,11 @@
 """The ten operators against brute force, round trips and held-out accuracy, with the defined odd cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -284,16 +286,57 @@ def test_fm_index_counts():
 
 
 def test_pfair_deviation():
-    shares = mixing.frame_shares({"a": 5.0, "b": 3.0, "c": 1.0, None: 0.01})
-    frame = sum(shares.values())
-    slots = mixing.pfair_slots(shares)
-    assert sorted(s for x in slots.values() for s in x) == list(range(frame))
-    for n, q in shares.items():
-        assert len(slots[n]) == q
-        done, mine = 0, set(slots[n])
-        for t in range(frame):
-            done += t in mine
-            assert abs(done - q * (t + 1) / frame) < 1
+    for targets in ({"a": 5.0, "b": 3.0, "c": 1.0, None: 0.01}, {f"s{i:02d}": 0.8**i for i in range(20)}):
+        blocks = {n: 65_536 for n in targets}
+        total, done = sum(targets.values()), dict.fromkeys(targets, 0)
+        for t, (n, j, release, deadline, slot) in zip(range(65_536), mixing.schedule(mixing.exact_weights(targets), blocks)):
+            assert slot == t and j == done[n] and release <= slot < deadline
+            done[n] += 1
+            if t % 7 == 0 or t > 65_000:
+                assert all(abs(done[n] - w * (t + 1) / total) < 1 + 1e-9 for n, w in targets.items())
+
+
+def test_sources_without_weight_come_last():
+    rows = list(mixing.schedule(mixing.exact_weights({"a": 1.0, "b": 0.0, None: 0.0}), {"a": 3, "b": 2, None: 1}))
+    assert [r[0] for r in rows] == ["a", "a", "a", None, "b", "b"] and [r[4] for r in rows] == list(range(6))
+    with pytest.raises(ValueError, match="negative"):
+        mixing.exact_weights({"a": -1.0})
+
+
+def test_mixing_against_a_slow_schedule(spark):
+    docs = spark.range(900).select("id", F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.element_at(F.array(*[F.lit(x) for x in "aaaaabbc"]), (F.col("id") % 8 + 1).cast("int")).alias("source"))
+    weights = {"a": 3.0, "b": 2.0, "c": 0.7}
+    rows = mixing.mix(docs, weights, block_rows=5, bucket_rows=30).collect()
+    counts = Counter(r.source for r in rows)
+    left = {n: -(-c // 5) for n, c in counts.items()}
+    share = {n: Fraction(w) / sum(map(Fraction, weights.values())) for n, w in weights.items()}
+    done, t, want = dict.fromkeys(left, 0), 0, {}
+    while any(done[n] < left[n] for n in left):
+        ready = [(math.ceil((done[n] + 1) / share[n]), n) for n in sorted(left) if done[n] < left[n] and math.floor(done[n] / share[n]) <= t]
+        if ready:
+            deadline, n = min(ready)
+            want[n, done[n]] = (math.floor(done[n] / share[n]), deadline, t)
+            done[n] += 1
+        t += 1
+    assert {(r.source, r.block): (r.release, r.deadline, r.slot) for r in rows} == want
+
+
+def test_hot_ids_spread_over_buckets(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix(docs, block_rows=10, bucket_rows=100).collect()
+    assert sorted((r.block, r.place) for r in rows) == [(i // 10, i % 10) for i in range(4000)]
+    by = defaultdict(list)
+    for r in sharding.shard(docs, [1.0] * 4, bucket_rows=100).collect():
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and sum(map(len, by.values())) == 4000
+
+
+def test_running_sums(spark):
+    from codestrata.llm.common import running
+
+    rows = [(k, i, (i * 7) % 5) for k in ("x", "y") for i in range(0, 90, 1 + (k == "y"))]
+    got = {(r.k, r.at): r.before for r in running(spark.createDataFrame(rows, "k string, at long, n long"), "k", "at", "n", span=8).collect()}
+    assert got == {(k, i): sum(n for kk, j, n in rows if kk == k and j < i) for k, i, _ in rows}
 
 
 def test_mixing(spark):
@@ -464,6 +507,12 @@ def test_sharding(spark):
     assert set(by) == set(range(16))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) < 1.5 * len(rows) / 16
+    def spark_hash(doc, k):  # XXH64 of the id, then of the number of the shard
+        return xxhash.xxh64_intdigest(int(k).to_bytes(4, "little"), 42 if doc is None else xxhash.xxh64_intdigest(int(doc).to_bytes(8, "little", signed=True), 42))
+
+    for r in rows:
+        score = [(-1 / math.log(((spark_hash(r.doc_id, k) >> 11) + 0.5) / 2**53), k) for k in range(17)]
+        assert (r.shard, r.grown_shard) == (max(score[:16])[1], max(score)[1])
     heavy = Counter(r.shard for r in sharding.shard(docs, [3.0, 1.0]).collect())
     assert 0.7 < heavy[0] / len(rows) < 0.8
     assert sharding.shard(docs.limit(0), [1.0]).count() == 0
@@ -524,6 +573,28 @@ def test_merkle_locates_edits(spark):
     assert r["at"] == [1] and 0.8 < r.near < 1
 
 
+def test_merkle_locates_insertions(spark):
+    old = "first one here\nsecond is this\nthird\n\nsection two\nends here\n\nlast section"
+    new = {
+        f"put in front\n{old}": ([], [0]), old.replace("third", "third\nand a fourth"): ([], [3]), old.replace("second is this\n", ""): ([1], []),
+        old.replace("ends here", "ends there"): ([4], [4]), f"a\n\n{old}": ([], [0]), old: ([], []), old.replace("third", "third\nthird"): ([], [3]),
+    }
+    rows = spark.createDataFrame([(old, x) for x in new], "a string, b string").select("b", merkle.edits(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("e")).collect()
+    assert {r.b: (r.e.removed, r.e.added) for r in rows} == new
+
+
+@pytest.mark.parametrize("kind", ["null", "one", "clustered"])
+def test_merkle_neighbours_with_hot_ids(spark, kind):
+    def doc_id(i):
+        return {"null": None if i % 3 else i, "one": 7 if i % 3 else i, "clustered": i if i < 990 else i * 10**15}[kind]
+
+    rows = [(doc_id(i), f"t{i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.text: r.next_text for r in merkle.with_next(docs, bucket_rows=9).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), hashlib.md5(r[1].encode()).hexdigest()))
+    assert got == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+
+
 @pytest.mark.parametrize("n", [64, 256])
 def test_merkle_likeness_over_old_limits(spark, n):
     base = " ".join(f"w{i}x{i * 7919 % 1000}" for i in range(80))
@@ -585,6 +656,39 @@ def test_word_encoder_equals_the_tokenizer():
         assert encode(text) == want, text
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = mixing.source_counts(docs)
+    slot = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs, mixing.tempered(counts)).collect()}
+    mixing.mixed_documents(docs, file_rows=90).write.parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    out = mixing.in_written_order(again, part_rows=150)
+    assert out.columns == docs.columns and out.rdd.getNumPartitions() > 3
+    assert [r.doc_id for r in out.collect()] == sorted(slot, key=slot.get)
+    pieces = packing.pack(mixing.in_written_order(again, part_rows=150), packing.tokenizer_path(), batch=20).collect()
+    by_sequence = list(dict.fromkeys(r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))))
+    by_slot = {d: i for i, d in enumerate(sorted(slot, key=slot.get))}
+    assert max(abs(by_slot[d] - i) for i, d in enumerate(by_sequence)) < 100
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from codestrata.llm import common
+
+    monkeypatch.setattr(p, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    odd = documents(spark).withColumnsRenamed({"bucket": "dedup", "shard": "dedup_"})
+    for name, df in (("empty", odd.limit(0)), ("odd", odd)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = p.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in rows} <= {r[0] for r in ODD} and (name == "odd") == bool(rows)
+    left = [x for x in (tmp_path / "shared").glob("*/*")]
+    assert sorted(x.name for x in left) == ["packing", "packing"]
+    with common.passing(spark):
+        common.checkpoint(spark.range(3))
+        (file,) = common._SCOPES[-1]
+    assert not __import__("os").path.exists(file.removeprefix("file:"))
+
+
 def test_pipeline_near_duplicates_with_repeated_ids(spark):
     import corpus_pipeline
 
