@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of two or three numbers that a join may broadcast; with more it shuffles.
@@ -18,21 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder of spark.checkpoint.dir, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session of one process that lacks the setting gets a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codestrata-")
+    return folder
+
+
+_SCOPES: list[list[str]] = []
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, so that lost executors cost nothing."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint()
+    if _SCOPES:
+        file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            _SCOPES[-1].append(file.get())
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside are deleted at the end: what they led to must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            remove(spark, folder)
 
 
 def give_back() -> None:
@@ -56,6 +87,20 @@ def size_of(df: DataFrame, rows_each: int, least: int = 1) -> int:
     return max(least, -(-df.count() // rows_each))
 
 
+def running(counts: DataFrame, key: str, at: str, n: str, span: int = 1024) -> DataFrame:
+    """Adds ``before``: the sum of ``n`` over the smaller ``at`` of a key.
+
+    In two levels, so that no task holds all rows of a key: sums within spans of ``at``, and of
+    whole spans before.
+    """
+    counts = counts.withColumn("_span", F.floor(F.col(at) / span))
+    upto = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy(key, "_span").agg(F.sum(n).alias("_n"))
+    spans = spans.select(key, "_span", F.coalesce(F.sum("_n").over(upto(Window.partitionBy(key), "_span")), F.lit(0)).alias("_outside"))
+    counts = counts.withColumn("_inside", F.coalesce(F.sum(n).over(upto(Window.partitionBy(key, "_span"), at)), F.lit(0)))
+    return counts.join(spans, [key, "_span"]).withColumn("before", F.col("_inside") + F.col("_outside")).drop("_span", "_inside", "_outside")
+
+
 def tiled(rows: DataFrame, key: str, member: Column, limit: int) -> DataFrame:
     """Split hot keys into tiles, so that no task gets an unbounded group.
 

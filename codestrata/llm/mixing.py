@@ -8,13 +8,14 @@ so that no rounding adds up.  One task makes the schedule, a row a block, and ho
 source; slots that no released block wants (a source has run out) stay empty.  All rows are
 kept, each once.
 
-Blocks number the rows of a source by a hash of doc_id: rows are counted in small buckets of
-a source and block numbers run on across the buckets, so no task holds a source.
+Blocks number the rows of a source by a hash of doc_id and text: rows are counted in small
+buckets of a source and block numbers run on across the buckets, in two levels, so no task
+holds a source, nor all rows of an id.
 
 Defined cases: null sources are a source of their own; null doc_id and text are kept;
-repeated rows count each; without given weights a source's target is its share of rows; a
-source of no weight gets the share of one slot in a frame; weights of sources that are not
-there are left out; extra columns are kept.
+repeated rows count each; without given weights a source's target is its share of rows; the
+blocks of a source of no weight come after all others, so that no row is lost; weights of
+sources that are not there are left out; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -29,63 +30,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import running, table
 
 BLOCK_ROWS = 64
 BUCKET_ROWS = 1_000
-FRAME = 1024
-
-
-def frame_shares(weights: Mapping, frame: int = FRAME) -> dict:
-    """Whole slots for each source: largest remainders, one at least; they sum to the frame."""
-    names = sorted(weights, key=lambda n: (n is not None, n))
-    frame = max(frame, 1 << (4 * len(names) - 1).bit_length()) if names else frame
-    total = sum(weights[n] for n in names) or 1
-    exact = {n: weights[n] / total * frame for n in names}
-    q = {n: max(1, math.floor(exact[n])) for n in names}
-    while (left := frame - sum(q.values())) > 0:
-        for n in sorted(names, key=lambda n: (q[n] - exact[n], names.index(n)))[:left]:
-            q[n] += 1
-    while (over := sum(q.values()) - frame) > 0:
-        for n in sorted((n for n in names if q[n] > 1), key=lambda n: (exact[n] - q[n], names.index(n)))[:over]:
-            q[n] -= 1
-    return q
-
-
-def pfair_slots(shares: Mapping) -> dict:
-    """Slots of each source within a frame, by earliest deadline among released blocks."""
-    frame = sum(shares.values())
-    done, slots = dict.fromkeys(shares, 0), {n: [] for n in shares}
-    order = list(shares)
-    for t in range(frame):
-        best = None
-        for rank, n in enumerate(order):
-            j, q = done[n], shares[n]
-            if j < q and j * frame // q <= t:
-                key = (-((-(j + 1) * frame) // q), rank)
-                if best is None or key < best[0]:
-                    best = (key, n)
-        if best is not None:
-            slots[best[1]].append(t)
-            done[best[1]] += 1
-    return slots
-
-
-def exact_weights(targets: Mapping, frame: int = FRAME) -> dict:
-    """Weights as whole numbers, in proportion; without weight a source gets one part of a frame."""
-    names = sorted(targets, key=lambda n: (n is not None, n))
-    frame = max(frame, 1 << (4 * len(names) - 1).bit_length()) if names else frame
-    exact = {n: Fraction(targets[n]) for n in names}
-    total, idle = sum(exact.values()), sum(not w for w in exact.values())
-    exact = {n: w * (frame - idle) if w else total for n, w in exact.items()}
+FILE_ROWS = 20_000
+
+
+def exact_weights(targets: Mapping) -> dict:
+    """Weights as whole numbers, in proportion."""
+    exact = {n: Fraction(targets[n]) for n in sorted(targets, key=lambda n: (n is not None, n))}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights must not be negative")
     scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
     return {n: int(w * scale) for n, w in exact.items()}
 
 
 def schedule(weights: Mapping, blocks: Mapping) -> Iterator[tuple]:
-    """(source, block, release, deadline, slot) of every block, by earliest deadline among released ones."""
+    """(source, block, release, deadline, slot) of every block, by earliest deadline among released ones.
+
+    Sources of weight 0 follow when no other block is left, each block in a window of its own.
+    """
     total = sum(weights.values())
-    order = list(weights)
+    order = [n for n, w in weights.items() if w]
     release = lambda k, j: j * total // weights[order[k]]
     waiting = [(0, k, 0) for k, n in enumerate(order) if blocks[n]]
     ready, t = [], 0
@@ -100,18 +67,28 @@ def schedule(weights: Mapping, blocks: Mapping) -> Iterator[tuple]:
         t += 1
         if j + 1 < blocks[order[k]]:
             heapq.heappush(waiting, (release(k, j + 1), k, j + 1))
+    for name in (n for n, w in weights.items() if not w):
+        for j in range(blocks[name]):
+            yield name, j, t, t + 1, t
+            t += 1
+
 
+def source_counts(docs: DataFrame) -> dict:
+    return {r[0]: r[1] for r in docs.groupBy(F.col("source").cast("string")).count().collect()}  # one row a source
 
-def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+
+def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, counts: Mapping | None = None) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place (within the block) and ``row`` (all columns)."""
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    counts = {r[0]: r[1] for r in base.groupBy("source").count().collect()}  # one row a source
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", text).alias("h"))
+    if counts is None:
+        counts = source_counts(docs)
     if weights is None:
         weights = counts
     targets = {n: float(weights.get(n, 0)) for n in counts}
     if targets and not sum(targets.values()):
         targets = dict.fromkeys(targets, 1.0)
-    exact = exact_weights(targets, frame)
+    exact = exact_weights(targets)
     blocks = {n: -(-counts[n] // block_rows) for n in exact}
     n_buckets = max(1, -(-sum(counts.values()) // bucket_rows))
     key = lambda n: "n" if n is None else f"s{n}"
@@ -125,15 +102,13 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK
     plan = docs.sparkSession.range(1, numPartitions=1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
     rows = base.withColumns({
         "key": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")),
-        "bucket": F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(n_buckets)),
+        "bucket": F.pmod(F.xxhash64("h", F.lit("mix")), F.lit(n_buckets)),
     })
-    sums = rows.groupBy("key", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sums = running(rows.groupBy("key", "bucket").agg(F.count("*").alias("n")), "key", "bucket", "n")
     # the blocks of each bucket meet their slots here, so that no row moves for it
     spans = sums.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("n") - 1) / block_rows))))
     sums = spans.join(plan, ["key", "block"]).groupBy("key", "bucket", "before").agg(F.array_sort(F.collect_list(F.struct("block", "release", "deadline", "slot"))).alias("slots"))
-    within = Window.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id", F.lit("place")), "doc_id")
+    within = Window.partitionBy("key", "bucket").orderBy(F.xxhash64("h", F.lit("place")), "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(within))
     rows = rows.join(sums, ["key", "bucket"])
     at = F.col("before") + F.col("nth") - 1
@@ -146,17 +121,36 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK
 TEMPERATURE = 0.7
 
 
-def tempered(docs: DataFrame, power: float = TEMPERATURE) -> dict:
-    return {r[0]: r[1] ** power for r in docs.groupBy("source").count().collect()}
+def tempered(counts: Mapping, power: float = TEMPERATURE) -> dict:
+    return {n: c**power for n, c in counts.items()}
 
 
 def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs, tempered(docs)).drop("row")
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents in the order of the schedule, with their columns."""
-    n = max(1, -(-docs.count() // 20_000))
-    out = mix(docs, tempered(docs))
-    return out.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
+    counts = source_counts(docs)
+    return mix(docs, tempered(counts), counts=counts).drop("row")
+
+
+def mixed_documents(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Pipeline stage: the documents in the order of the schedule, with their columns.
+
+    Rows and, as they are written, files follow the schedule; ``in_written_order`` brings them back.
+    """
+    counts = source_counts(docs)
+    out = mix(docs, tempered(counts), counts=counts)
+    return out.repartitionByRange(max(1, -(-sum(counts.values()) // file_rows)), "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+
+
+def in_written_order(docs: DataFrame, part_rows: int = FILE_ROWS // 2) -> DataFrame:
+    """The rows of files that Spark wrote, in the order of their writing.
+
+    Spark deals files to tasks by size; here rows go back to the order of the numbers in file
+    names and of the rows within.  Rows of another origin keep the order in which they come.
+    """
+    names = docs.columns
+    at = {
+        "__order_part": F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(-1)),
+        "__order_file": F.input_file_name(), "__order_block": F.input_file_block_start(), "__order_row": F.monotonically_increasing_id(),
+    }
+    out = docs.withColumns(at)
+    return out.repartitionByRange(max(1, -(-docs.count() // part_rows)), *at).sortWithinPartitions(*at).select(*names)

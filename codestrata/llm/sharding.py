@@ -3,10 +3,11 @@
 Each shard scores a key with -weight / ln(u), u being the hash of (key, shard) as a number
 between 0 and 1; the highest score wins.  Adding a shard moves only the rows that it wins.
 Slots number the rows of a shard from 0 without gaps: rows are numbered within small
-buckets of a shard by key, and bucket sizes are summed up, so that no task holds a shard.
+buckets of a shard by key and text, and bucket sizes are summed up in two levels, so that no
+task holds a shard, nor all rows of a key.
 
-Defined cases: a null key hashes like any other value; a null text has no bytes; repeated
-rows share a shard and get a slot each, in no defined order among equal rows; extra columns
+Defined cases: a null key hashes like any other value; a null text has no bytes; rows of one
+key share a shard and get a slot each, in no defined order among equal rows; extra columns
 are ignored.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import size_of, table
+from .common import running, size_of, table
 
 BUCKET_ROWS = 8_000
 
@@ -35,23 +36,18 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (and grown_shard under the weights ``grown``)."""
     n = F.lit(size_of(docs, bucket_rows))
-    cols = {
-        "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
-        "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")),
-        "shard": rendezvous(F.col("doc_id"), weights),
-        "_bucket": F.pmod(F.xxhash64("doc_id", F.lit("slot")), n),
-    }
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    cols = {"size": size, "text_crc32": crc, "shard": rendezvous(F.col("doc_id"), weights), "_bucket": F.pmod(F.xxhash64("doc_id", crc, size, F.lit("slot")), n)}
     if grown:
         cols["grown_shard"] = rendezvous(F.col("doc_id"), grown)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns(cols).drop("text")
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = running(rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")), "shard", "_bucket", "_n").drop("_n")
     within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
     rows = rows.withColumn("_row", F.row_number().over(within))
     return (
         rows.join(counts, ["shard", "_bucket"])
-        .withColumn("slot", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_before")
+        .withColumn("slot", (F.col("before") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "before")
     )
 
 
