@@ -1,12 +1,13 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest.
 
-The rules label URLs; trees learn from a bounded sample of those (``LABELLED_ROWS``, by a
-hash of the URL) and judge the URLs that no rule fits.  Features: length, depth, share of
-digits, entropy, number of parameters, and the share of blocked sample rows for the host's
-last label and last two labels (smoothed; both classes weigh the same, so a suffix that the
-sample lacks counts a half).  Features are binned at sample quantiles and the
-sample is aggregated to distinct bins, so each tree level is one small group-by; only
-histograms of (node, feature, bin) and at most LABELLED_ROWS suffix rows are ever gathered.
+The rules label URLs; trees learn from a bounded sample of those (about ``LABELLED_ROWS``
+different URLs, by a hash) and judge the URLs that no rule fits.  Features: length, depth,
+share of digits, entropy, number of parameters, and the share of blocked sample rows for the
+host's last label and last two labels (smoothed; both classes weigh the same, so a suffix that
+the sample lacks counts a half).  For a row that the trees learn from, those shares are taken
+over the other ``FOLDS`` folds of hosts, so that no row tells its own label.  Features are
+binned at sample quantiles and the sample is aggregated to distinct cells of bins; these cells
+(LABELLED_ROWS at most) are gathered once and the trees grow on their histograms.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, so no rule fits
 and the trees judge it; without labelled rows, or with one class only, the trees are empty
@@ -15,6 +16,7 @@ and the prior decides (no rows: allow); repeated rows get a row each; extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,7 @@ from .common import checkpoint, table
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 LABELLED_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 6, 3, 12, 0.4, 1.0
+FOLDS = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -72,6 +75,9 @@ class UrlModel:
     def __init__(self, limits: dict, prior: float, suffixes: dict[str, DataFrame] | None, base: float, trees: list):
         self.limits, self.prior, self.suffixes, self.base, self.trees = limits, prior, suffixes, base, trees
 
+    def binned(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"b_{f}": sum(((F.col(f) > t).cast("int") for t in self.limits.get(f, ())), F.lit(0)) for f in FEATURES})
+
     def bins(self, rows: DataFrame) -> DataFrame:
         for name in ("tld", "domain"):
             if self.suffixes:
@@ -79,7 +85,7 @@ class UrlModel:
                 rows = rows.withColumn(f"{name}_blocked", F.coalesce(f"{name}_blocked", F.lit(self.prior)))
             else:
                 rows = rows.withColumn(f"{name}_blocked", F.lit(self.prior))
-        return rows.withColumns({f"b_{f}": sum(((F.col(f) > t).cast("int") for t in self.limits.get(f, ())), F.lit(0)) for f in FEATURES})
+        return self.binned(rows)
 
     def margin(self) -> Column:
         out = F.lit(self.base)
@@ -95,27 +101,54 @@ def _tree(node) -> Column:
     return F.when(F.col(f"b_{feature}") <= cut, _tree(left)).otherwise(_tree(right))
 
 
-def _put(tree, path: str, value):
-    if not path:
-        return value
-    f, cut, left, right = tree
-    return (f, cut, _put(left, path[1:], value), right) if path[0] == "L" else (f, cut, left, _put(right, path[1:], value))
-
-
-def _node(tree, path: str = "") -> Column:
-    """The open leaf (its path) that a row falls into; null in closed leaves."""
-    if not isinstance(tree, tuple):
-        return F.lit(path)
-    f, cut, left, right = tree
-    return F.when(F.col(f"b_{f}") <= cut, _node(left, path + "L")).otherwise(_node(right, path + "R"))
+def _share(blocked: Column, weight: Column) -> Column:
+    return (blocked + 5) / (weight + 10)
+
+
+def grow(cells: list[tuple[int, tuple, float]], depth: int, margins: list[float]):
+    """The next tree on cells (blocked, bins, weight), as nested (feature, cut, left, right) over leaves."""
+    slopes = []
+    for (blocked, _, weight), m in zip(cells, margins):
+        p = 1 / (1 + math.exp(-m))
+        slopes.append(((p - blocked) * weight, p * (1 - p) * weight))
+
+    def node(rows: list[int], level: int):
+        g, h = sum(slopes[i][0] for i in rows), sum(slopes[i][1] for i in rows)
+        best = (1e-6, None, None)
+        for f in range(len(FEATURES)) if level < depth else ():
+            by: dict[int, list[float]] = {}
+            for i in rows:
+                x = by.setdefault(cells[i][1][f], [0.0, 0.0])
+                x[0] += slopes[i][0]
+                x[1] += slopes[i][1]
+            gl = hl = 0.0
+            seen = sorted(by)
+            for b, after in zip(seen, seen[1:]):
+                gl, hl = gl + by[b][0], hl + by[b][1]
+                gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, (b + after) // 2)  # halfway to the next bin with rows
+        if best[1] is None:
+            leaf = -RATE * g / (h + RIDGE)
+            for i in rows:
+                margins[i] += leaf
+            return leaf
+        _, f, cut = best
+        left, right = [i for i in rows if cells[i][1][f] <= cut], [i for i in rows if cells[i][1][f] > cut]
+        return FEATURES[f], cut, node(left, level + 1), node(right, level + 1)
+
+    return node(list(range(len(cells))), 0)
 
 
 def train(labelled: DataFrame, bound: int = LABELLED_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
-    """Fit on (url, host, blocked): about ``bound`` rows at most, chosen by a hash of the URL."""
-    n = labelled.count()
+    """Fit on (url, host, blocked): about ``bound`` different URLs at most, chosen by a hash."""
+    labelled = labelled.withColumn("h", F.xxhash64("url", F.lit("sample")))
+    n = labelled.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     if n > bound:
-        labelled = labelled.filter(F.shiftrightunsigned(F.xxhash64("url", F.lit("sample")), 11) < int(bound / n * (1 << 53)))
-    rows = checkpoint(labelled.select("blocked", *[c.alias(k) for k, c in lexical(F.col("url"), F.col("host")).items()]))
+        labelled = labelled.filter(F.shiftrightunsigned("h", 11) < int(bound / n * (1 << 53)))
+    labelled = labelled.groupBy("url", "host", "blocked").agg(F.count("*").alias("times"))
+    rows = labelled.select("blocked", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).alias("fold"), *[c.alias(k) for k, c in lexical(F.col("url"), F.col("host")).items()])
+    rows = checkpoint(rows.coalesce(4))
     n, hits, *cuts = rows.agg(
         F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0)),
         *[F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 1000) for f in NUMERIC],
@@ -126,43 +159,21 @@ def train(labelled: DataFrame, bound: int = LABELLED_ROWS, trees: int = TREES, d
     even = F.when(F.col("blocked") == 1, n / (2 * hits)).otherwise(n / (2 * (n - hits)))  # both classes weigh the same
     limits = {f: sorted(set(c)) for f, c in zip(NUMERIC, cuts)}
     limits |= {f"{s}_blocked": [k / BINS for k in range(1, BINS)] for s in ("tld", "domain")}
-    suffixes = {}
-    for s in ("tld", "domain"):
-        seen = rows.groupBy(s).agg(((F.sum(even * F.col("blocked")) + 5) / (F.sum(even) + 10)).alias(f"{s}_blocked"))
-        suffixes[s] = checkpoint(seen)
+    suffixes, learn = {}, rows
+    for s in ("tld", "domain"):  # at most a row a sample row each
+        sums = [F.sum(even * F.col("blocked")).alias("_b"), F.sum(even).alias("_w")]
+        all_ = rows.groupBy(s).agg(*sums)
+        suffixes[s] = checkpoint(all_.select(s, _share(F.col("_b"), F.col("_w")).alias(f"{s}_blocked")))
+        own = rows.groupBy(s, "fold").agg(*sums).withColumnsRenamed({"_b": "_own_b", "_w": "_own_w"})
+        learn = learn.join(F.broadcast(own), [s, "fold"]).join(F.broadcast(all_), s)
+        learn = learn.withColumn(f"{s}_blocked", _share(F.col("_b") - F.col("_own_b"), F.col("_w") - F.col("_own_w"))).drop("_b", "_w", "_own_b", "_own_w")
     model = UrlModel(limits, 0.5, suffixes, 0.0, [])
-    cells = model.bins(rows).groupBy("blocked", *[f"b_{f}" for f in FEATURES]).agg(F.sum(even).alias("weight"))
-    cells = checkpoint(cells.coalesce(2))
+    names = [f"b_{f}" for f in FEATURES]
+    cells = model.binned(learn).groupBy("blocked", *names).agg(F.sum(even).alias("weight")).collect()
+    cells = sorted((r["blocked"], tuple(r[c] for c in names), r["weight"]) for r in cells)
+    margins = [0.0] * len(cells)
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-model.margin()))
-        scored = cells.select("*", ((p - F.col("blocked")) * F.col("weight")).alias("g"), (p * (1 - p) * F.col("weight")).alias("h"))
-        tree = 0.0
-        for level in range(depth + 1):
-            bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("bin")) for f in FEATURES])).alias("x")
-            counted = scored.select(_node(tree).alias("node"), "g", "h", bins).groupBy("node", "x.f", "x.bin").agg(F.sum("g"), F.sum("h")).collect()
-            open_ = {}
-            for node, f, b, g, h in counted:
-                open_.setdefault(node, {}).setdefault(f, {})[b] = (g, h)
-            split = False
-            for node, by in sorted(open_.items()):
-                g = sum(x[0] for x in by[FEATURES[0]].values())
-                h = sum(x[1] for x in by[FEATURES[0]].values())
-                best = (1e-6, None, None)
-                for f in FEATURES if level < depth else ():
-                    gl = hl = 0.0
-                    seen = sorted(by[f])
-                    for b, after in zip(seen, seen[1:]):
-                        gl, hl = gl + by[f][b][0], hl + by[f][b][1]
-                        gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, f, (b + after) // 2)  # halfway to the next bin with rows
-                if best[1]:
-                    tree, split = _put(tree, node, (best[1], best[2], 0.0, 0.0)), True
-                else:
-                    tree = _put(tree, node, -RATE * g / (h + RIDGE))
-            if not split:
-                break
-        model.trees.append(tree)
+        model.trees.append(grow(cells, depth, margins))
     return model
 
 
