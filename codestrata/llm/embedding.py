@@ -4,14 +4,17 @@ Vectors are scaled to length 1 and projected on many random lines.  Two vectors
 line if one lies in the window of half-width ``w`` centred on the other's projection.  Pairs
 with at least ``threshold`` collisions on ``COUNTED`` lines are verified by their exact cosine
 in double precision; the threshold is the largest count that a pair at the limit reaches
-with probability ``RECALL``.
+but for a third of the loss that ``RECALL`` leaves.
 
 To meet, vectors share a cell of one of L tables: a cell is the row of a grid on k further
 lines.  k grows with the logarithm of the number of vectors, so that a cell holds about
 ``CELL_ROWS`` unrelated ones, and L is set so that a pair at the limit shares a cell with
-probability ``RECALL``.  Within a cell, rows are sorted by the first line and a window slides
-over them.  Pairs count in the first table that they share, so numbers of links need no
-pair list: a task returns partial counts and a spanning forest of its links.  Equal vectors
+high probability.  Within a cell, rows are sorted by the first line and a window slides over
+them.  A vector moves L times, alone: pairs count in the first table that they share, and the
+cells of linked rows in the other tables are computed again where that is asked.  So numbers
+of links need no pair list: a task returns partial counts and a spanning forest of its links.
+Sharing a cell, lying in the first window and colliding often enough each take an equal part
+of the loss that ``RECALL`` leaves.  Equal vectors
 become one with a weight first, and cells of many rows are split into tiles.
 
 Defined cases: null or empty or zero vectors, and those with null or non-finite components,
@@ -50,6 +53,7 @@ class Plan:
 
     def __init__(self, n: int, cosine: float = COSINE, recall: float = RECALL, counted: int = COUNTED):
         normal = NormalDist()
+        loss = (1 - recall) / 3
         near = math.sqrt(2 - 2 * cosine)
 
         def same_cell(spread: float) -> float:
@@ -63,13 +67,13 @@ class Plan:
         self.threshold = 0
         for c in range(counted + 1):
             below += math.comb(counted, c) * hit**c * (1 - hit) ** (counted - c)
-            if below > 1 - recall:
+            if below > loss:
                 self.threshold = c
                 break
-        self.first = near * normal.inv_cdf(1 - (1 - recall) / 2)
+        self.first = near * normal.inv_cdf(1 - loss / 2)
         p1, p2 = same_cell(near), same_cell(math.sqrt(2))
         self.k = max(1, math.ceil(math.log(max(n, 1) / CELL_ROWS) / -math.log(p2))) if n > CELL_ROWS else 0
-        self.tables = 1 if not self.k else math.ceil(math.log(1 - recall) / math.log(1 - p1**self.k))
+        self.tables = 1 if not self.k else math.ceil(math.log(loss) / math.log(1 - p1**self.k))
 
     def lines(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng([SEED, dim])
@@ -132,31 +136,33 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "key", "v"])
 
 
+def cells_of(plan: Plan, x: np.ndarray) -> np.ndarray:
+    """The cell of each unit vector in each table."""
+    dim = x.shape[1]
+    _, grid, shift = plan.lines(dim)
+    mix = np.random.default_rng([SEED, 1]).integers(1, 2**63, (plan.tables, plan.k + 1), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    cell = np.floor((x @ grid + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), plan.tables, plan.k)
+    h = (cell * mix[None, :, : plan.k]).sum(2, dtype=np.uint64) + mix[None, :, plan.k] * np.uint64(dim)
+    h ^= h >> np.uint64(31)
+    return (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _cells(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each table of a vector: its cell there, and the cells of all tables."""
+        """A row for each table of a vector, with its cell there."""
         for part in batches:
             ids, weight, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
             sizes = dims(raw)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                x = of_dim(raw, at)
-                _, grid, shift = plan.lines(dim)
-                mix = np.random.default_rng([SEED, 1]).integers(1, 2**63, (plan.tables, plan.k + 1), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-                cell = np.floor((x @ grid + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(at), plan.tables, plan.k)
-                h = (cell * mix[None, :, : plan.k]).sum(2, dtype=np.uint64) + mix[None, :, plan.k] * np.uint64(dim)
-                h ^= h >> np.uint64(31)
-                h = (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                all_cells = [r.tobytes() for r in h]
                 for lo in range(0, len(at), 2000):
-                    few = slice(lo, lo + 2000)
-                    n = len(at[few])
+                    few = at[lo : lo + 2000]
+                    h = cells_of(plan, of_dim(raw, few))
                     rep = lambda a: np.repeat(a, plan.tables)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(rep(ids[at[few]])), pa.array(rep(weight[at[few]])), pa.array([raw[i] for i in at[few] for _ in range(plan.tables)], pa.binary()),
-                        pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), n)), pa.array(h[few].ravel()),
-                        pa.array([c for c in all_cells[few] for _ in range(plan.tables)], pa.binary()),
-                    ], names=["rep", "weight", "v", "t", "cell", "cells"])
+                        pa.array(rep(ids[few])), pa.array(rep(weight[few])), pa.array([raw[i] for i in few for _ in range(plan.tables)], pa.binary()),
+                        pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), len(few))), pa.array(h.ravel()),
+                    ], names=["rep", "weight", "v", "t", "cell"])
 
     return run
 
@@ -164,23 +170,23 @@ def _cells(plan: Plan):
 def _bucket(plan: Plan):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rep, weight, t, cell, tile, ta, tb = (part[c].to_numpy(np.int64) for c in ("rep", "weight", "t", "cell", "tile", "tile_a", "tile_b"))
-        raw, cells = part["v"].to_numpy(), part["cells"].to_numpy()
+        raw = part["v"].to_numpy()
         sizes = dims(raw)
         links = np.zeros(len(part), np.int64)
         forest: list[tuple[np.ndarray, np.ndarray]] = []
         for size in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == size)
             x = of_dim(raw, at)
-            every = np.frombuffer(b"".join(cells[at]), np.int64).reshape(len(at), -1)
             p = x @ plan.lines(x.shape[1])[0]
             order = np.lexsort((p[:, 0], tb[at], ta[at], cell[at], t[at]))
-            at, x, every, p = at[order], x[order], every[order], p[order]
+            at, x, p = at[order], x[order], p[order]
             key = np.stack((t[at], cell[at], ta[at], tb[at]))
             group = np.cumsum(np.concatenate(([0], (key[:, 1:] != key[:, :-1]).any(0).astype(np.int64))))
             cross, side, table_ = ta[at] != tb[at], tile[at], t[at]
             first, p = p[:, 0].copy(), np.ascontiguousarray(p[:, 1:])
             alive, step = np.arange(len(at)), 0
             label = np.arange(len(at))
+            every, known = np.zeros((len(at), plan.tables), np.int64), np.zeros(len(at), bool)
             while True:
                 step += 1
                 alive = alive[alive + step < len(at)]
@@ -197,6 +203,11 @@ def _bucket(plan: Plan):
                     keep = np.einsum("ij,ij->i", x[i], x[j]) >= plan.cosine
                     i, j = i[keep], j[keep]
                     # a pair counts in the first table that it shares
+                    new = np.unique(np.concatenate((i, j)))
+                    new = new[~known[new]]
+                    for few in np.split(new, range(2000, len(new), 2000)):
+                        if len(few):
+                            every[few], known[few] = cells_of(plan, x[few]), True
                     early = (every[i] == every[j]) & (np.arange(plan.tables)[None, :] < table_[i][:, None])
                     keep = ~early.any(1)
                     i, j = i[keep], j[keep]
@@ -227,7 +238,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("v").alias("v"))
     reps = checkpoint(reps)
     plan = Plan(n := reps.count(), cosine)
-    cells = reps.select("rep", "weight", "v").repartition(max(8, n // 20_000)).mapInArrow(_cells(plan), "rep long, weight long, v binary, t int, cell long, cells binary")
+    cells = reps.select("rep", "weight", "v").repartition(max(8, n // 20_000)).mapInArrow(_cells(plan), "rep long, weight long, v binary, t int, cell long")
     cells = tiled(cells, "cell", F.xxhash64("rep"), TILE_ROWS)
     n_buckets = max(1, -(-n * plan.tables // BUCKET_ROWS))
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("cell", "tile_a", "tile_b"), F.lit(n_buckets)))
