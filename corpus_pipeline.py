@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import checkpoint
+from codestrata.llm.common import checkpoint, passing, remove, shared_folder
 from codestrata.llm.langid import keep_known
-from codestrata.llm.mixing import mixed_documents
+from codestrata.llm.mixing import in_written_order, mixed_documents
 from codestrata.llm.packing import pack, tokenizer_path
 from codestrata.llm.simhash import simhash_dedup, with_fingerprint
 from codestrata.llm.substring import dedup_texts
@@ -43,8 +43,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier; n_chars follows the text."""
-    out = dedup_texts(docs).drop("dedup")
+    """Documents without passages that stand earlier; n_chars follows the text.
+
+    A document all of whose words stand earlier stays as an empty text.
+    """
+    told = "dedup"
+    while told in docs.columns:
+        told += "_"
+    out = dedup_texts(docs, told=told).drop(told)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -54,8 +60,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return pack(docs, tokenizer_path())
+    """Pieces of documents in training sequences, which follow the order of the mix."""
+    return pack(in_written_order(docs), tokenizer_path())
 
 
 STAGES = [
@@ -64,16 +70,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; folders and checkpoints of the others are deleted on the way."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="codestrata-pipeline-")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, f"{at}/{before}")
+        before = name
     return docs
