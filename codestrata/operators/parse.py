@@ -1,6 +1,6 @@
 """Line parser for symbols and calls of a source file, and stack traces.
 
-Scopes depend on the lines before (a blank line closes all of them), so a file is parsed by
+Scopes depend on the lines before (an empty line closes all of them), so a file is parsed by
 Python, one row a file in one narrow pass; everything after works on the exploded tables.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .syntax import parse_python
 
 # Declarations and calls that the line parser knows.
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
@@ -22,6 +23,7 @@ FUNCTION = {False: re.compile(rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{NAME
 VARIABLE = {False: re.compile(rf"^\s*(?:const|let|var)\s+{NAME}\s*="), True: re.compile(rf"^\s*{NAME}\s*=")}
 IMPORT = re.compile(r"^\s*(?:from\s+([\w.]+)\s+)?import\s+([\w*.,\s]+)")
 IMPORT_FROM = re.compile(r"^\s*import\s+(.+?)\s+from\s+[\"']([^\"']+)[\"']")
+DECLARES = re.compile(r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+")
 DECLARATION = re.compile(rf"^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+{NAME}")
 CALL = re.compile(rf"\b{NAME}\s*\(")
 NO_CALL = {"class", "def", "function", "if", "for", "while", "import", "from"}
@@ -33,76 +35,97 @@ SYMBOL = f"struct<sym_ord: int, kind: string, name: string, {_SPAN}, parent: str
 CALLED = f"struct<call_ord: int, caller: string, callee: string, {_SPAN}, recursive: boolean>"
 
 
-def _read(line: str) -> tuple[int, bool]:
-    bare = line.strip()
-    return len(line) - len(line.lstrip(" ")) if bare else 0, bare.startswith(("#", "//"))
+class Scopes:
+    """Names that enclose a line.  A line closes those at its own indent or deeper."""
 
+    def __init__(self):
+        self.open: list[tuple[int, str]] = []
 
-def _place(at: int, line: str, name: str) -> dict:
-    col = max(0, line.find(name))
-    return {"line": at, "col": col, "end_line": at, "end_col": col + len(name)}
+    def around(self, indent: int) -> str | None:
+        while self.open and self.open[-1][0] >= indent:
+            self.open.pop()
+        return self.open[-1][1] if self.open else None
 
 
-def parse_symbols(text: str, python: bool) -> list[dict]:
-    out: list[dict] = []
-    scopes: list[tuple[int, str]] = []
-
-    def add(at: int, line: str, kind: str, name: str, parent=None, source=None) -> None:
-        out.append({"sym_ord": len(out), "kind": kind, "name": name, **_place(at, line, name), "parent": parent, "source": source, "exported": False, "inherits": []})
-
+def code_lines(text: str) -> Iterator[tuple[int, str, int]]:
+    """Number, text and indent (leading spaces, of blank lines too) of the lines that are no comments."""
     for at, line in enumerate(text.splitlines(), 1):
-        indent, comment = _read(line)
-        if comment:
+        if not line.strip().startswith(("#", "//")):
+            yield at, line, len(line) - len(line.lstrip(" "))
+
+
+def declared(line: str, python: bool) -> Iterator[tuple[str, str, str | None]]:
+    """(kind, name, source) of what a line declares: an import, and one of class, function, variable."""
+    if m := IMPORT.match(line):
+        yield "import", m[2].split(",")[0].strip().split(" as ")[0].strip(), m[1]
+    elif m := IMPORT_FROM.match(line):
+        yield "import", m[1].strip(), m[2]
+    for kind, pattern in (("class", CLASS), ("function", FUNCTION), ("variable", VARIABLE)):
+        if m := pattern[python].match(line):
+            yield kind, m[1], None
+            return
+
+
+def events(text: str, python: bool) -> Iterator[tuple[str, dict]]:
+    """Symbols and calls of a text in one pass."""
+    types, callables = Scopes(), Scopes()
+    for at, line, indent in code_lines(text):
+        parent, caller = types.around(indent), callables.around(indent)
+        for kind, name, source in declared(line, python):
+            col = max(0, line.find(name))
+            owned = kind in ("function", "variable")
+            yield "symbol", {
+                "kind": "method" if kind == "function" and parent else kind, "name": name, "line": at, "col": col, "end_line": at, "end_col": col + len(name),
+                "parent": parent if owned else None, "source": source, "exported": False, "inherits": [],
+            }
+            if kind in ("class", "function"):
+                types.open.append((indent, name))
+        if DECLARES.match(line):  # named or not, its line calls nothing
+            if m := DECLARATION.match(line):
+                callables.open.append((indent, m[1]))
             continue
-        while scopes and scopes[-1][0] >= indent:
-            scopes.pop()
-        parent = scopes[-1][1] if scopes else None
-        if m := IMPORT.match(line):
-            add(at, line, "import", m[2].split(",")[0].split(" as ")[0].strip(), source=m[1])
-        elif m := IMPORT_FROM.match(line):
-            add(at, line, "import", m[1].strip(), source=m[2])
-        if m := CLASS[python].match(line):
-            add(at, line, "class", m[1])
-            scopes.append((indent, m[1]))
-        elif m := FUNCTION[python].match(line):
-            add(at, line, "method" if parent else "function", m[1], parent)
-            scopes.append((indent, m[1]))
-        elif m := VARIABLE[python].match(line):
-            add(at, line, "variable", m[1], parent)
-    return out
+        for m in CALL.finditer(line):
+            if m[1] not in NO_CALL:
+                yield "call", {"caller": caller, "callee": m[1], "line": at, "col": m.start(1), "end_line": at, "end_col": m.end(1), "recursive": caller == m[1]}
+
+
+def parse_source(text: str, python: bool) -> tuple[list[dict], list[dict]]:
+    """Symbols and calls, numbered in their order."""
+    out: dict[str, list[dict]] = {"symbol": [], "call": []}
+    for what, row in events(text, python):
+        out[what].append({f"{'sym' if what == 'symbol' else what}_ord": len(out[what]), **row})
+    return out["symbol"], out["call"]
+
+
+def parse_symbols(text: str, python: bool) -> list[dict]:
+    return parse_source(text, python)[0]
 
 
 def parse_calls(text: str) -> list[dict]:
-    out: list[dict] = []
-    scopes: list[tuple[int, str]] = []
-    for at, line in enumerate(text.splitlines(), 1):
-        indent, comment = _read(line)
-        if comment:
-            continue
-        while scopes and scopes[-1][0] >= indent:
-            scopes.pop()
-        if m := DECLARATION.match(line):
-            scopes.append((indent, m[1]))
-            continue
-        caller = scopes[-1][1] if scopes else None
-        for m in CALL.finditer(line):
-            if m[1] not in NO_CALL:
-                out.append({"call_ord": len(out), "caller": caller, "callee": m[1], "line": at, "col": m.start(1), "end_line": at, "end_col": m.end(1), "recursive": caller == m[1]})
-    return out
+    return parse_source(text, False)[1]
+
+
+def parse(files: DataFrame, syntax: bool = False) -> DataFrame:
+    """path, symbols, calls and has_error of each source file of (path, text).
 
+    With ``syntax``, Python files go through their syntax tree; one that has none is marked by
+    has_error and read by lines, like all other languages.
+    """
+    def one(path: str, text: str) -> tuple[list[dict], list[dict], bool]:
+        python = path.lower().endswith(".py")
+        made = parse_python(text) if syntax and python else None
+        return (*(made or parse_source(text, python)), bool(syntax and python and made is None))
 
-def parse(files: DataFrame) -> DataFrame:
-    """path, symbols and calls of each source file of (path, text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
+            made = [one(p, t) for p, t in zip(part["path"], part["text"])]
             yield pd.DataFrame({
                 "path": part["path"], "n_lines": [len(t.splitlines()) for t in part["text"]],
-                "symbols": [parse_symbols(t, p.lower().endswith(".py")) for p, t in zip(part["path"], part["text"])],
-                "calls": [parse_calls(t) for t in part["text"]],
+                "symbols": [s for s, _, _ in made], "calls": [c for _, c, _ in made], "has_error": [e for _, _, e in made],
             })
 
     sources = files.filter(X.suffix(F.col("path")).isin(*PARSED) & F.col("text").isNotNull()).select("path", "text")
-    return sources.mapInPandas(run, f"path string, n_lines int, symbols array<{SYMBOL}>, calls array<{CALLED}>")
+    return sources.mapInPandas(run, f"path string, n_lines int, symbols array<{SYMBOL}>, calls array<{CALLED}>, has_error boolean")
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:
