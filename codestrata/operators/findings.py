@@ -34,31 +34,49 @@ MAX_REVIEWED_BYTES = 512_000
 MAX_SECURITY_FINDINGS = 40
 
 
-def security_rules(line: Column) -> list[tuple[str, str, Column]]:
-    """(category, severity, condition) on a stripped line."""
-    low = F.lower(line)
-    tight = F.replace(low, F.lit(" "), F.lit(""))
+# What a line of each rule must hold, in lower case; and without spaces.
+SECURITY_HINTS = (
+    "private key", "key", "token", "password", "secret", "eval(", "exec(", "system(", "new function(", "shell=true", "pickle.load", "objectinputstream", "yaml.load(",
+    "md5(", "sha1(", "createhash(", "des.new", "access-control-allow-origin", "execute(", "gets(", "strcpy(", "strcat(", "sprintf(",
+)
+TIGHT_HINTS = ("verify=false", "rejectunauthorized:false", "debug=true", 'allow_origins=["*"]')
+
+
+def security_rules(line: Column, low: Column, tight: Column) -> list[tuple[str, str, Column]]:
+    """(category, severity, condition) on a stripped line, its lower case, and that without spaces.  Fixed values."""
     return [
         ("hardcoded_private_key", "critical", F.rlike(line, F.lit("-----BEGIN [A-Z ]*PRIVATE KEY-----"))),
         ("hardcoded_secret", "high", F.rlike(line, F.lit(r"(?i)\b(api[_-]?key|auth[_-]?token|password|private[_-]?key|secret|token)\b")) & F.rlike(line, F.lit("[:=]\\s*['\"][^'\"]{8,}['\"]"))),
         ("dangerous_code_execution", "high", _any(line, "eval(", "exec(", "child_process.exec", "system(") | _any(low, "new function(", "shell=true", "runtime.getruntime().exec")),
         ("unsafe_deserialization", "high", _any(low, "pickle.load", "objectinputstream") | (_any(low, "yaml.load(") & ~_any(low, "safeloader"))),
         ("weak_crypto", "medium", _any(low, "md5(", "sha1(", "createhash('md5'", 'createhash("md5"', "des.new")),
-        ("security_controls_disabled", "high", _any(tight, "verify=false", "rejectunauthorized:false", "debug=true", 'allow_origins=["*"]') | (_any(low, "access-control-allow-origin") & _any(line, "*"))),
+        ("security_controls_disabled", "high", _any(tight, *TIGHT_HINTS) | (_any(low, "access-control-allow-origin") & _any(line, "*"))),
         ("dynamic_sql", "high", _any(low, "execute(") & F.rlike(line, F.lit(r"(?i)\b(SELECT|INSERT|UPDATE|DELETE)\b")) & _any(line, "f'", 'f"', "+", "%", ".format(")),
         ("unsafe_memory_api", "high", _any(line, "gets(", "strcpy(", "strcat(", "sprintf(")),
     ]
 
 
+def _hinted(text: Column) -> Column:
+    """Whether some rule may fit a line of the text."""
+    low = F.lower(text)
+    return _any(low, *SECURITY_HINTS, "child_process.exec", "runtime.getruntime().exec") | _any(F.replace(low, F.lit(" "), F.lit("")), *TIGHT_HINTS)
+
+
 def security_findings(files: DataFrame) -> DataFrame:
-    """category, severity, path, line, evidence for (path, text, size_bytes)."""
+    """category, severity, path, line, evidence for (path, text, size_bytes).
+
+    Texts without any hint are not cut into lines, and lines without one meet no rule.
+    """
     large = files.filter(F.col("size_bytes") > MAX_REVIEWED_BYTES).select(
         F.lit("file_too_large").alias("category"), F.lit("low").alias("severity"), "path", F.lit(1).alias("line"), F.lit("").alias("evidence"), F.lit(8).alias("rule_ord"))
-    rows = files.filter(F.col("size_bytes") <= MAX_REVIEWED_BYTES).select("path", F.posexplode(X.lines(F.coalesce("text", F.lit("")))).alias("pos", "raw"))
-    rows = rows.select("path", (F.col("pos") + 1).alias("line"), X.strip(F.col("raw")).alias("evidence"))
+    rows = files.filter((F.col("size_bytes") <= MAX_REVIEWED_BYTES) & _hinted(F.col("text")))
+    lines_ = F.filter(F.transform(X.lines(F.col("text")), lambda x, k: F.struct((k + 1).alias("line"), x.alias("raw"))), lambda x: _hinted(x["raw"]))
+    rows = rows.select("path", F.explode(lines_).alias("x")).select("path", "x.line", X.strip(F.col("x.raw")).alias("evidence"))
+    low = F.lower("evidence")
+    rows = rows.withColumns({"low": low, "tight": F.replace(low, F.lit(" "), F.lit(""))})
     hits = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(k).alias("rule_ord")))
-        for k, (c, s, cond) in enumerate(security_rules(F.col("evidence")))
+        for k, (c, s, cond) in enumerate(security_rules(F.col("evidence"), F.col("low"), F.col("tight")))
     ]))
     rows = rows.select("path", "line", F.substring("evidence", 1, 160).alias("evidence"), F.explode(hits).alias("x"))
     return rows.select("x.category", "x.severity", "path", "line", "evidence", "x.rule_ord").unionByName(large)
@@ -115,31 +133,55 @@ PATTERNS = (
     ("performance", "string_concat_loop", "medium", r"\+\=\s*['\"]|['\"]\s*\+=", 0),
     ("performance", "wildcard_import", "medium", r"import\s+\*", 0),
 )
-MAX_CONTRIBUTIONS = 50
+MAX_CONTRIBUTIONS, MAX_SCANNED_BYTES = 50, 512_000
+KINDS = ("bug", "security", "code_smell", "missing_test", "missing_docs", "performance")
 
 
 def contribution_findings(files: DataFrame) -> DataFrame:
-    """kind, category, severity, path, line, evidence, rule_ord of each match in (path, text)."""
+    """kind, category, severity, path, line, evidence, rule_ord of each match in (path, text), and Python files of over 20 lines without a docstring."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = [(k, kind, cat, sev, re.compile(p, f)) for k, (kind, cat, sev, p, f) in enumerate(PATTERNS)]
         for part in batches:
             out = []
             for path, text in zip(part["path"], part["text"]):
                 lines = text.splitlines()
+                if path.lower().endswith(".py") and len(lines) > 20 and '"""' not in text and "'''" not in text:
+                    out.append(("missing_docs", "missing_docs", "low", path, 1, "", len(rules)))
                 for k, kind, cat, sev, pattern in rules:
                     for m in pattern.finditer(text):
                         at = text.count("\n", 0, m.start()) + 1
                         out.append((kind, cat, sev, path, at, (lines[at - 1].strip() if at <= len(lines) else "")[:200], k))
             yield pd.DataFrame(out, columns=["kind", "category", "severity", "path", "line", "evidence", "rule_ord"])
 
-    rows = files.filter(F.col("text").isNotNull()).select("path", "text")
+    rows = files.filter(F.col("text").isNotNull() & (F.col("size_bytes") <= MAX_SCANNED_BYTES)).select("path", "text")
     return rows.mapInPandas(run, "kind string, category string, severity string, path string, line int, evidence string, rule_ord int")
 
 
-def contribution_score(findings: DataFrame) -> DataFrame:
-    out = findings.agg(F.count("*").alias("finding_count"), *severity_counts(findings))
+def contribution_title(category: Column) -> Column:
+    return F.replace(category, F.lit("_"), F.lit(" "))
+
+
+def focused(findings: DataFrame, focus: str | None) -> DataFrame:
+    """Findings whose path or title holds a text, in any case."""
+    if not focus:
+        return findings
+    part = F.lit(focus.lower())
+    return findings.filter(F.contains(F.lower("path"), part) | F.contains(contribution_title(F.col("category")), part))
+
+
+def first_contributions(findings: DataFrame, limit: int = MAX_CONTRIBUTIONS) -> DataFrame:
+    return findings.orderBy(rank(F.col("severity")), "path", "line", "rule_ord").limit(limit)
+
+
+def contribution_score(findings: DataFrame, scanned: Column | None = None) -> DataFrame:
+    """Counts by severity and kind, score, and confidence by the number of files read, over the listed findings."""
+    out = findings.agg(F.count("*").alias("finding_count"), *severity_counts(findings), *[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in KINDS])
     lost = F.col("critical") * 15 + F.col("high") * 8 + F.col("medium") * 3 + F.col("low")
-    return out.withColumn("score", F.when(F.col("finding_count") == 0, 95).otherwise(F.greatest(F.lit(5), F.least(F.lit(95), 95 - lost))))
+    scanned = F.lit(0) if scanned is None else scanned
+    return out.withColumns({
+        "score": F.when(F.col("finding_count") == 0, 95).otherwise(F.greatest(F.lit(5), F.least(F.lit(95), 95 - lost))).cast("int"),
+        "confidence": F.least(F.lit(0.92), 0.5 + F.least(scanned, F.lit(10)) * 0.04),
+    })
 
 
 # --- technical debt
@@ -168,27 +210,46 @@ def large_files(files: DataFrame) -> DataFrame:
     return rows.select(*_debt("large_file", F.when(F.col("n_lines") >= 1000, "high").otherwise("medium")))
 
 
-def debt_findings(files: DataFrame, symbols: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Findings of (path, text) files, symbols, dependency edges and cycles."""
-    calls = symbols.filter(F.col("kind").isin("function", "method")).withColumn("n", F.col("end_line") - F.col("line") + 1)
-    long_ = calls.filter("n >= 80").select(*_debt("long_symbol", F.when(F.col("n") >= 160, "high").otherwise("medium"), line="line", ord_=1))
-    body = calls.join(files.select("path", X.lines(F.col("text")).alias("lines")), "path")
-    body = body.withColumn("score", complexity(F.array_join(F.slice("lines", F.col("line"), F.col("n")), "\n"))).filter("score >= 10")
-    complex_ = body.select(*_debt("high_complexity", F.when(F.col("score") >= 20, "critical").otherwise("high"), line="line", ord_=2))
+def callables(symbols: DataFrame) -> DataFrame:
+    return symbols.filter(F.col("kind").isin("function", "method")).withColumn("n", F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1)))
+
+
+def complexities(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line, score) of each function and method; the lines of a file are cut once."""
+    spans = callables(symbols).groupBy("path").agg(F.collect_list(F.struct("line", "n")).alias("spans"))
+    body = spans.join(files.select("path", X.lines(F.col("text")).alias("lines")), "path")
+    score = F.transform("spans", lambda s: F.struct(s["line"].alias("line"), complexity(F.array_join(F.slice("lines", s["line"], s["n"]), "\n")).alias("score")))
+    return body.select("path", F.explode(score).alias("x")).select("path", "x.line", "x.score")
+
+
+def debt_findings(files: DataFrame, symbols: DataFrame, edges: DataFrame, cycles: DataFrame, errors: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """Findings of (path, text) files, symbols, dependency edges, cycles and files that could not be parsed (path)."""
+    long_ = callables(symbols).filter("n >= 80").select(*_debt("long_symbol", F.when(F.col("n") >= 160, "high").otherwise("medium"), line="line", ord_=1))
+    scored = scored if scored is not None else complexities(files, symbols)
+    complex_ = scored.filter("score >= 10").select(*_debt("high_complexity", F.when(F.col("score") >= 20, "critical").otherwise("high"), line="line", ord_=2))
     methods = symbols.filter("kind = 'method'").groupBy("path", F.col("parent").alias("name")).agg(F.count("*").alias("n")).filter("n >= 15")
     broad = symbols.filter(F.col("kind").isin("class", "interface")).join(methods, ["path", "name"]).select(*_debt("broad_type", "medium", line="line", ord_=3))
     busy = edges.filter(F.col("target").isNotNull()).groupBy("source").agg(F.count("*").alias("n")).filter("n >= 8").select(*_debt("high_fan_out", "medium", path="source", ord_=4))
     loops = cycles.select(F.col("files")[0].alias("path")).select(*_debt("dependency_cycle", "high", ord_=5))
     out = large_files(files)
+    if errors is not None:
+        out = out.unionByName(errors.select(*_debt("parse_error", "high", ord_=0)))
     for more in (long_, complex_, broad, busy, loops):
         out = out.unionByName(more)
     return out
 
 
-def debt_stats(findings: DataFrame) -> DataFrame:
+def debt_stats(findings: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Counts and score, and with complexities their average, maximum and number from 10 on."""
     out = findings.agg(F.count("*").alias("finding_count"), *severity_counts(findings))
     lost = F.col("critical") * 20 + F.col("high") * 12 + F.col("medium") * 6 + F.col("low") * 2
-    return out.withColumn("debt_score", F.greatest(F.lit(0), 100 - lost))
+    out = out.withColumn("debt_score", F.greatest(F.lit(0), 100 - lost))
+    if scored is None:
+        return out
+    return out.crossJoin(scored.agg(  # one-row tables
+        F.coalesce(F.round(F.avg("score"), 2), F.lit(0.0)).alias("average_complexity"), F.coalesce(F.max("score"), F.lit(0)).alias("max_complexity"),
+        F.count_if(F.col("score") >= 10).alias("complex_symbol_count"),
+    ))
 
 
 # --- dead code
@@ -217,6 +278,13 @@ def dead_callables(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return out.select(F.lit("unused_callable").alias("kind"), "path", "line", F.col("name").alias("symbol_name"), F.when(F.col("kind") == "method", 0.62).otherwise(0.72).alias("confidence"))
 
 
+def dead_stats(files: DataFrame, nodes: DataFrame, dead: DataFrame) -> DataFrame:
+    """Counts of files, callables and findings."""
+    return files.agg(F.count("*").alias("file_count")).crossJoin(nodes.agg(F.count("*").alias("callable_count"))).crossJoin(dead.agg(  # one-row tables
+        F.count("*").alias("finding_count"), F.count_if(F.col("kind") == "unused_file").alias("unused_file_count"), F.count_if(F.col("kind") == "unused_callable").alias("unused_callable_count"),
+    ))
+
+
 # --- layers
 
 # Parts of paths by layer.
@@ -228,16 +296,20 @@ LAYERS = {
 
 
 def _in(path: Column, layer: str, without: tuple = ()) -> Column:
-    p = F.transform(X.parts(F.lower(path)), lambda x: F.replace(x, F.lit(".py"), F.lit("")))
-    out = F.arrays_overlap(p, F.array(*[F.lit(x) for x in LAYERS[layer] if x not in without]))
-    return out | F.exists(p, lambda x: F.startswith(x, F.lit("test_"))) if layer == "test" else out
+    """Whether a part of the path, without .py at its end, names the layer."""
+    p = F.transform(X.parts(F.lower(path)), lambda x: F.regexp_replace(x, r"\.py$", ""))
+    return F.arrays_overlap(p, F.array(*[F.lit(x) for x in LAYERS[layer] if x not in without]))
+
+
+def _test_part(path: Column) -> Column:
+    return _in(path, "test") | F.exists(X.parts(F.lower(path)), lambda x: F.startswith(x, F.lit("test_")))
 
 
 def violations(edges: DataFrame) -> DataFrame:
     """rule_id, severity, confidence, source, target of internal edges; the first rule that fits."""
     s, t = F.col("source"), F.col("target")
     rules = (
-        ("production-imports-test", "high", 0.92, ~_in(s, "test") & _in(t, "test")),
+        ("production-imports-test", "high", 0.92, ~_test_part(s) & _test_part(t)),
         ("ui-depends-on-infrastructure", "high", 0.82, _in(s, "ui") & (_in(t, "persistence") | _in(t, "infrastructure"))),
         ("api-skips-service-layer", "medium", 0.78, _in(s, "api") & _in(t, "persistence")),
         ("persistence-depends-on-interface", "critical", 0.88, _in(s, "persistence") & (_in(t, "api") | _in(t, "ui"))),
@@ -252,7 +324,7 @@ def violations(edges: DataFrame) -> DataFrame:
 
 
 def layer(path: Column) -> Column:
-    name = X.base_name(F.lower(path))
+    name = X.base_name(path)
     return (F.when(_in(path, "ui"), "ui").when(_in(path, "api", ("views",)), "api").when(_in(path, "service"), "service")
             .when(_in(path, "persistence"), "persistence").when(_in(path, "infrastructure"), "infrastructure")
             .when(_in(path, "test") | F.startswith(name, F.lit("test_")), "test").otherwise("source"))
