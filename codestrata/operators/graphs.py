@@ -60,6 +60,10 @@ def dependency_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("file_count")).crossJoin(e)  # two one-row tables
 
 
+def with_cycle_count(stats: DataFrame, cycle: DataFrame) -> DataFrame:
+    return stats.crossJoin(cycle.agg(F.count("*").alias("circular_dependency_count")))  # one-row tables
+
+
 def fan_out(edges: DataFrame) -> DataFrame:
     return internal(edges).groupBy(F.col("source").alias("path")).agg(F.count("*").alias("fan_out"))
 
@@ -75,20 +79,54 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.select(F.col("source").alias("path"), F.col("target").alias("related")).distinct()
 
 
-def cycles(edges: DataFrame, max_length: int | None = None, prune: int = 8) -> DataFrame:
-    """All elementary cycles of 2 files or more (to ``max_length`` if given), as arrays that begin at their least file.
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges of (source, target) within strongly connected components, with ``component`` (its least file).
 
-    Files without an edge in or out are dropped, over and over; then paths grow from each
-    file through greater ones only, so that each cycle is found once, until no path is left.
+    Files without an edge in or out go, over and over; then colours (the greatest file that
+    reaches one) part the rest, and what the root of a colour does not reach back goes to the
+    next round.
     """
-    e = internal(edges).filter("source <> target").select("source", "target").distinct()
-    e = settle(e)
-    for _ in range(prune):
-        before = e.count()
-        e = settle(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-                   .join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if e.count() == before:
+    e, kept = settle(edges), None
+    while True:  # each round finds a component at least
+        while True:  # trim
+            n = e.count()
+            e = settle(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+                       .join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            if e.count() == n:
+                break
+        if not n:
             break
+        colour = settle(e.select(F.col("source").alias("path")).distinct().withColumn("colour", F.col("path")))
+        while True:  # colours flow along the edges
+            flow = e.join(colour.withColumnRenamed("path", "source"), "source").groupBy(F.col("target").alias("path")).agg(F.max("colour").alias("other"))
+            new = settle(colour.join(flow, "path").select("path", F.greatest("colour", "other").alias("colour"), (F.col("other") > F.col("colour")).alias("moved")))
+            colour = new.drop("moved")
+            if new.filter("moved").isEmpty():
+                break
+        inner = e.join(colour.withColumnRenamed("path", "source"), "source").join(colour.select(F.col("path").alias("target"), F.col("colour").alias("c2")), "target").filter("colour = c2").select("source", "target", "colour")
+        inner = settle(inner)
+        back = settle(colour.filter("path = colour").select("path", "colour"))
+        while True:  # what reaches the root of its colour, against the edges
+            more = inner.join(back.select(F.col("path").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("path"), "colour").distinct().join(back, ["path", "colour"], "left_anti")
+            more = settle(more)
+            if more.isEmpty():
+                break
+            back = settle(back.unionByName(more))
+        done = inner.join(back.select(F.col("path").alias("source"), "colour"), ["source", "colour"], "left_semi").join(back.select(F.col("path").alias("target"), "colour"), ["target", "colour"], "left_semi")
+        done = settle(done.select("source", "target", F.col("colour").alias("component")))
+        kept = done if kept is None else kept.unionByName(done)
+        e = settle(e.join(back.select(F.col("path").alias("source")), "source", "left_anti").join(back.select(F.col("path").alias("target")), "target", "left_anti"))
+    return kept if kept is not None else e.withColumn("component", F.lit(None).cast("string"))
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """All elementary cycles of 2 files or more (to ``max_length`` if given), as arrays that begin at their least file.
+
+    Only edges within strongly connected components are followed: paths grow from each file
+    through greater ones of its component, so that each cycle is found once, until no path is
+    left.  Their number can grow exponentially with a component; that is the output's size.
+    """
+    e = on_cycles(internal(edges).filter("source <> target").select("source", "target").distinct())
     step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
     paths = e.filter("target > source").select(F.array("source", "target").alias("files"))
     found, length = None, 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -12,7 +13,7 @@ MESSAGE = "session_id string, repository_path string, seq long, role string, con
 
 
 class ConversationStore:
-    """Messages as appended Parquet; a session belongs to one repository."""
+    """Messages as appended Parquet, in the order of their times; a session belongs to one repository."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -31,21 +32,32 @@ class ConversationStore:
         known = self.messages(session_id).agg(F.count("*"), F.min("repository_path")).first()
         if known[0] and known[1] != repository:
             raise ValueError("this session belongs to another repository")
-        now = datetime.now(timezone.utc)
-        rows = [(session_id, repository, known[0] + k, role, text, metadata if k else "{}", now) for k, (role, text) in enumerate((("user", question), ("assistant", answer)))]
+        now, at = datetime.now(timezone.utc), time.time_ns()
+        rows = [(session_id, repository, at + k, role, text, metadata if k else "{}", now) for k, (role, text) in enumerate((("user", question), ("assistant", answer)))]
         self.spark.createDataFrame(rows, MESSAGE).write.mode("append").parquet(self.folder)
         return session_id
 
 
+def sessions(messages: DataFrame) -> DataFrame:
+    """A row a session of (session_id, role, content, created_at): messages, questions, characters, last time."""
+    return messages.groupBy("session_id").agg(
+        F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("question_count"), F.sum(F.length("content")).alias("n_chars"), F.max("created_at").alias("updated_at"))
+
+
 def latest_events(events: DataFrame) -> DataFrame:
     """import_id, status, message and number of events by (import_id, stage, message, created_at)."""
     return events.groupBy("import_id").agg(F.max_by(F.struct("stage", "message"), "created_at").alias("x"), F.count("*").alias("event_count"), F.max("created_at").alias("updated_at")).select("import_id", F.col("x.stage").alias("status"), "x.message", "event_count", "updated_at")
 
 
 def replace_repository(df: DataFrame, folder: str, repository: str, unique: list[str] | None = None) -> None:
-    """Replace the rows of one repository: a dynamic overwrite of its partition."""
+    """Replace the rows of one repository: a dynamic overwrite of its partition, which goes if there are none."""
     if unique and not df.groupBy(*unique).count().filter("count > 1").isEmpty():
         raise ValueError(f"repeated key {unique}")
+    if df.isEmpty():
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/repository_path={name}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
     df.withColumn("repository_path", F.lit(repository)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_path").parquet(folder)
 
 

@@ -134,7 +134,7 @@ def safe_member(name: Column) -> Column:
 
 
 def read_zip(spark: SparkSession, paths: str) -> DataFrame:
-    """(archive, path, content) of the members of .zip files up to MAX_ARCHIVE bytes, one row a member."""
+    """(archive, path, content) of the members of .zip files, one row a member; one over MAX_ARCHIVE bytes is an error."""
     def members(batches):
         import io
 
@@ -147,7 +147,9 @@ def read_zip(spark: SparkSession, paths: str) -> DataFrame:
                         if not info.is_dir():
                             yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).filter(F.col("length") <= MAX_ARCHIVE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths)
+    over = F.raise_error(F.concat(F.lit("archive too large: "), F.col("path"))).cast("binary")
+    files = files.select("path", F.when(F.col("length") > MAX_ARCHIVE, over).otherwise(F.col("content")).alias("content"))
     rows = files.select("path", "content").mapInPandas(members, "archive string, path string, content binary")
     unsafe = ~safe_member(F.col("path"))
     return rows.withColumn("content", F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe archive member: "), F.col("path"))).cast("binary")).otherwise(F.col("content")))
