@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval
+from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review
 from ..sources import repository
 from .virtual import duck, view
 
@@ -300,30 +300,45 @@ def complexity(spark, d):
     return table(spark, d, "documents").select("doc_id", findings.complexity(F.col("text")).alias("complexity"))
 
 
-DEBT = duck("files", "edges", "symbols") + """, n AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM files),
-b AS (SELECT s.path, s.line, lower(array_to_string(string_split(text, chr(10))[s.line:s.end_line], chr(10))) AS t FROM symbols s JOIN files f ON f.path = s.path WHERE kind = 'function'),
-c AS (SELECT path, line, 1 + %s AS score FROM b),
-a AS (SELECT 'large_file' AS category, CASE WHEN n >= 1000 THEN 'high' ELSE 'medium' END AS severity, path, NULL::INT AS line FROM n WHERE n >= 500
-  UNION ALL SELECT 'long_symbol', CASE WHEN end_line - line + 1 >= 160 THEN 'high' ELSE 'medium' END, path, line FROM symbols WHERE kind = 'function' AND end_line - line + 1 >= 80
-  UNION ALL SELECT 'high_complexity', CASE WHEN score >= 20 THEN 'critical' ELSE 'high' END, path, line FROM c WHERE score >= 10
-  UNION ALL SELECT 'high_fan_out', 'medium', source, NULL FROM edges WHERE target IS NOT NULL GROUP BY source HAVING count(*) >= 8)""" % " + ".join(
+DEBT = CYCLES.replace("WITH RECURSIVE ", "WITH RECURSIVE " + duck("files", "edges", "symbols", "members").removeprefix("WITH ") + ", ") + """,
+all_symbols AS (SELECT path, kind, name, line, end_line, NULL AS parent FROM symbols UNION ALL SELECT path, kind, name, line, end_line, parent FROM members),
+dn AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM files),
+db AS (SELECT s.path, s.line, lower(array_to_string(string_split(text, chr(10))[s.line:s.end_line], chr(10))) AS t FROM all_symbols s JOIN files f ON f.path = s.path WHERE kind IN ('function', 'method')),
+dc AS (SELECT path, line, 1 + %s AS score FROM db),
+a AS (SELECT 'large_file' AS category, CASE WHEN n >= 1000 THEN 'high' ELSE 'medium' END AS severity, path, NULL::INT AS line, 0 AS rule_ord FROM dn WHERE n >= 500
+  UNION ALL SELECT 'parse_error', 'high', path, NULL, 0 FROM files WHERE doc_id %% 333 = 7
+  UNION ALL SELECT 'long_symbol', CASE WHEN end_line - line + 1 >= 160 THEN 'high' ELSE 'medium' END, path, line, 1 FROM all_symbols WHERE kind IN ('function', 'method') AND end_line - line + 1 >= 80
+  UNION ALL SELECT 'high_complexity', CASE WHEN score >= 20 THEN 'critical' ELSE 'high' END, path, line, 2 FROM dc WHERE score >= 10
+  UNION ALL SELECT 'broad_type', 'medium', s.path, s.line, 3 FROM symbols s JOIN (SELECT path, parent FROM members GROUP BY path, parent HAVING count(*) >= 15) m ON m.path = s.path AND m.parent = s.name WHERE s.kind = 'class'
+  UNION ALL SELECT 'high_fan_out', 'medium', source, NULL, 4 FROM edges WHERE target IS NOT NULL GROUP BY source HAVING count(*) >= 8
+  UNION ALL SELECT 'dependency_cycle', 'high', files[1], NULL, 5 FROM c)""" % " + ".join(
     f"(length(t) - length(replace(t, '{b}', ''))) // {len(b)}" for b in findings.BRANCHES)
+SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
-def _debt(spark, d) -> DataFrame:
-    loops = graphs.cycles(view(spark, d, "rings"))
-    return findings.debt_findings(view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges"), loops)
+def _members(spark, d) -> DataFrame:
+    symbols, members = view(spark, d, "symbols"), view(spark, d, "members")
+    return symbols.unionByName(members, allowMissingColumns=True)
+
+
+def _debt(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All categories: cycles of the rings, methods of the wide classes, some files marked as not parsed."""
+    files, symbols = view(spark, d, "files"), _members(spark, d)
+    scored = findings.complexities(files, symbols)
+    errors = files.filter("doc_id % 333 = 7").select("path")
+    return findings.debt_findings(files, symbols, view(spark, d, "edges"), graphs.cycles(view(spark, d, "rings")), errors, scored), scored
 
 
 @query(DEBT + " SELECT category, severity, path, line FROM a")
 def debt_findings(spark, d):
-    return _debt(spark, d).drop("rule_ord")
+    return _debt(spark, d)[0].drop("rule_ord")
 
 
 @query(DEBT + """, k AS (SELECT count(*) AS finding_count, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM a)
-SELECT *, greatest(0, 100 - (critical * 20 + high * 12 + medium * 6 + low * 2)) AS debt_score FROM k""")
+SELECT k.*, greatest(0, 100 - (critical * 20 + high * 12 + medium * 6 + low * 2)) AS debt_score, (SELECT round(avg(score), 2) FROM dc) AS average_complexity,
+  (SELECT max(score)::INT FROM dc) AS max_complexity, (SELECT count(*) FROM dc WHERE score >= 10) AS complex_symbol_count FROM k""")
 def debt_score(spark, d):
-    return findings.debt_stats(_debt(spark, d))
+    return findings.debt_stats(*_debt(spark, d))
 
 
 @query(FILES + """ SELECT 'file:' || path || ':1:' || (doc_id % 9 + 1) || ':' || substr(sha256('file:' || path || ':1:' || (doc_id % 9 + 1) || '::'), 1, 16) AS id FROM files""")
@@ -397,8 +412,8 @@ def diagram_edges(spark, d):
 
 @query("SELECT conv_id::VARCHAR AS session_id, count(*) AS message_count, count(*) FILTER (role = 'user') AS question_count, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
 def session_history(spark, d):
-    c = table(spark, d, "conversations")
-    return c.groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("question_count"), F.sum(F.length("text")).alias("n_chars"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("created_at"))
+    return memory.sessions(c).drop("updated_at")
 
 
 @query("SELECT user_id AS import_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS event_count FROM events GROUP BY user_id")
@@ -414,12 +429,334 @@ def diff_count(spark, d):
     return table(spark, d, "pages").select("page_id", parse.changed_lines(text).alias("changed"))
 
 
-@query()
+# --- over the source files of the view ``code``
+
+NAME = "([A-Za-z_][A-Za-z0-9_]*)"
+CODE = duck("code") + r""", l AS (SELECT path, i AS line, x[i] AS s FROM (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS x FROM code))),
+k AS (SELECT *, length(s) - length(ltrim(s, ' ')) AS indent, ends_with(path, '.py') AS py FROM l WHERE NOT regexp_matches(s, '^\s*(#|//)'))"""
+OWNER = """(SELECT i.path, i.line, arg_max(j.name, j.line) AS name FROM k i JOIN {scopes} j ON j.path = i.path AND j.line < i.line
+  WHERE NOT EXISTS (SELECT 1 FROM k m WHERE m.path = i.path AND m.line > j.line AND m.line <= i.line AND m.indent <= j.indent) GROUP BY i.path, i.line)"""
+PARSED = CODE + r""", d AS (SELECT *,
+  CASE WHEN py THEN regexp_extract(s, '^\s*class\s+NAME', 1) ELSE regexp_extract(s, '^\s*(?:export\s+)?class\s+NAME', 1) END AS c,
+  CASE WHEN py THEN regexp_extract(s, '^\s*(?:async\s+)?def\s+NAME', 1) ELSE regexp_extract(s, '^\s*(?:export\s+)?(?:async\s+)?function\s+NAME', 1) END AS f,
+  CASE WHEN py THEN regexp_extract(s, '^\s*NAME\s*=', 1) ELSE regexp_extract(s, '^\s*(?:const|let|var)\s+NAME\s*=', 1) END AS v,
+  regexp_extract(s, '^\s*(?:from\s+([\w.]+)\s+)?import\s+([\w*.,\s]+)', 2) AS pn, nullif(regexp_extract(s, '^\s*(?:from\s+([\w.]+)\s+)?import\s+([\w*.,\s]+)', 1), '') AS ps,
+  regexp_extract(s, '^\s*import\s+(.+?)\s+from\s+["'']([^"'']+)["'']', 1) AS jn, regexp_extract(s, '^\s*import\s+(.+?)\s+from\s+["'']([^"'']+)["'']', 2) AS js FROM k),
+sc AS (SELECT path, line, indent, CASE WHEN c <> '' THEN c ELSE f END AS name FROM d WHERE c <> '' OR f <> ''), o AS OWNER1,
+y AS (SELECT path, line, 'import' AS kind, CASE WHEN pn <> '' THEN trim(split_part(trim(split_part(pn, ',', 1)), ' as ', 1)) ELSE jn END AS name, NULL AS parent, CASE WHEN pn <> '' THEN ps ELSE js END AS source, s FROM d WHERE pn <> '' OR jn <> ''
+  UNION ALL SELECT path, line, 'class', c, NULL, NULL, s FROM d WHERE c <> ''
+  UNION ALL SELECT d.path, d.line, CASE WHEN o.name IS NULL THEN 'function' ELSE 'method' END, f, o.name, NULL, s FROM d LEFT JOIN o ON o.path = d.path AND o.line = d.line WHERE c = '' AND f <> ''
+  UNION ALL SELECT d.path, d.line, 'variable', v, o.name, NULL, s FROM d LEFT JOIN o ON o.path = d.path AND o.line = d.line WHERE c = '' AND f = '' AND v <> ''),
+sd AS (SELECT path, line, indent, regexp_extract(s, '^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+NAME', 1) AS name FROM k WHERE regexp_matches(s, '^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+NAME')), o2 AS OWNER2,
+z AS (SELECT path, line, unnest(regexp_extract_all(s, '\bNAME\s*\(', 1)) AS callee FROM k WHERE NOT regexp_matches(s, '^\s*(?:export\s+)?(?:async\s+)?(?:def|function)\s+')),
+called AS (SELECT z.path, z.line, o2.name AS caller, callee FROM z LEFT JOIN o2 ON o2.path = z.path AND o2.line = z.line WHERE callee NOT IN ('class', 'def', 'function', 'if', 'for', 'while', 'import', 'from')),
+base AS (SELECT path AS source, name AS import_name, source AS import_source, line, CASE WHEN source = '.' THEN regexp_replace(path, '/[^/]*$', '')
+  WHEN starts_with(source, './') THEN regexp_replace(path, '/[^/]*$', '') || substr(source, 2) ELSE replace(coalesce(source, name), '.', '/') END AS base FROM y WHERE kind = 'import'),
+dep AS (SELECT b.source, f.path AS target, import_name, import_source, line FROM base b LEFT JOIN code f ON f.path IN (base || '.py', base || '.ts', base || '/__init__.py')),
+node AS (SELECT path || ':' || coalesce(parent || '.', '') || name AS id, name, kind, path, line, parent FROM y WHERE kind IN ('function', 'method')),
+here AS (SELECT path, name, arg_max(id, line) AS id FROM node GROUP BY path, name), single AS (SELECT name, min(id) AS id FROM node GROUP BY name HAVING count(*) = 1),
+call AS (SELECT c.*, a.id AS source, coalesce(b.id, u.id) AS target FROM called c LEFT JOIN here a ON a.path = c.path AND a.name = caller
+  LEFT JOIN here b ON b.path = c.path AND b.name = callee LEFT JOIN single u ON u.name = callee)""".replace("OWNER1", OWNER.format(scopes="sc")).replace("OWNER2", OWNER.format(scopes="sd")).replace("NAME", NAME)
+
+
+def _parsed(spark, d, syntax: bool = False) -> DataFrame:
+    return parse.parse(view(spark, d, "code"), syntax)
+
+
+def _code_edges(spark, d) -> DataFrame:
+    return graphs.dependency_edges(parse.symbols_of(_parsed(spark, d)), view(spark, d, "code"))
+
+
+def _code_calls(spark, d) -> DataFrame:
+    parsed = _parsed(spark, d)
+    return graphs.resolve_calls(graphs.call_nodes(parse.symbols_of(parsed)), parse.calls_of(parsed))
+
+
+@query(PARSED + " SELECT path, line::INT AS line, kind, name, parent, source, (instr(s, name) - 1)::INT AS col FROM y")
+def code_symbols(spark, d):
+    return parse.symbols_of(_parsed(spark, d)).select("path", "line", "kind", "name", "parent", "source", "col")
+
+
+@query(PARSED + " SELECT path, line::INT AS line, caller, callee, coalesce(caller = callee, false) AS recursive FROM called")
+def code_calls(spark, d):
+    return parse.calls_of(_parsed(spark, d)).select("path", "line", "caller", "callee", "recursive")
+
+
+@query(PARSED + " SELECT source, target, import_name, import_source, CASE WHEN target IS NULL THEN 'external' ELSE 'internal' END AS dependency_type FROM dep")
+def code_dependencies(spark, d):
+    return _code_edges(spark, d).drop("edge_ord")
+
+
+@query(PARSED + " SELECT id, name, kind, path, line::INT AS line, parent FROM node")
+def code_call_nodes(spark, d):
+    return graphs.call_nodes(parse.symbols_of(_parsed(spark, d))).drop("node_ord")
+
+
+@query(PARSED + " SELECT path, line::INT AS line, caller, callee, source, target FROM call")
+def code_call_graph(spark, d):
+    return _code_calls(spark, d).select("path", "line", "caller", "callee", "source", "target")
+
+
+# spans by indents: a block ends before the next line of its own indent or less, without empty lines
+SYNTAX = CODE + r""", q AS (SELECT * FROM k WHERE py AND ltrim(s) <> '' AND path NOT IN (SELECT path FROM l WHERE starts_with(s, 'def broken('))),
+h AS (SELECT *, CASE WHEN regexp_matches(s, '^\s*class ') THEN 'class' ELSE 'function' END AS kind, regexp_extract(s, '^\s*(?:class|def)\s+NAME', 1) AS name FROM q WHERE regexp_matches(s, '^\s*(class|def)\s')),
+e AS (SELECT h.path, h.line, h.kind, h.name, h.indent, h.s, (SELECT max(m.line) FROM q m WHERE m.path = h.path AND m.line < coalesce((SELECT min(x.line) FROM q x WHERE x.path = h.path AND x.line > h.line AND x.indent <= h.indent), 1000000)) AS end_line FROM h),
+w AS (SELECT e.*, (SELECT arg_max(p.name, p.line) FROM e p WHERE p.path = e.path AND p.line < e.line AND p.end_line >= e.end_line) AS parent FROM e),
+t AS (SELECT path, line, end_line, CASE WHEN kind = 'class' THEN 'class' WHEN parent IS NULL THEN 'function' ELSE 'method' END AS kind, name, parent, NULL AS source, CASE WHEN kind = 'class' THEN 'Base,m,Mixin' ELSE '' END AS inherits FROM w
+  UNION ALL SELECT path, line, line, 'variable', regexp_extract(s, '^NAME = ', 1), NULL, NULL, '' FROM q WHERE regexp_matches(s, '^NAME = ')
+  UNION ALL SELECT path, line, line, 'import', regexp_extract(s, 'import ([A-Za-z0-9_.]+)', 1), NULL, nullif(regexp_extract(s, '^from ([A-Za-z0-9_.]+) ', 1), ''), '' FROM q WHERE regexp_matches(s, '^(from|import) '))""".replace("NAME", NAME)
+
+
+@query(SYNTAX + " SELECT path, line::INT AS line, end_line::INT AS end_line, kind, name, parent, source, inherits FROM t")
+def syntax_symbols(spark, d):
+    parsed = _parsed(spark, d, syntax=True).filter("path LIKE '%.py' AND NOT has_error")
+    return parse.symbols_of(parsed).select("path", "line", "end_line", "kind", "name", "parent", "source", F.array_join("inherits", ",").alias("inherits"))
+
+
+@query(SYNTAX + r""", z AS (SELECT path, line, unnest(regexp_extract_all(s, 'NAME\(', 1)) AS callee FROM q WHERE NOT regexp_matches(s, '^\s*(class|def)\s'))
+  SELECT z.path, z.line::INT AS line, callee, (SELECT arg_max(p.name, p.line) FROM e p WHERE p.path = z.path AND p.kind = 'function' AND p.line < z.line AND p.end_line >= z.line) AS caller FROM z""".replace("NAME", NAME))
+def syntax_calls(spark, d):
+    parsed = _parsed(spark, d, syntax=True).filter("path LIKE '%.py' AND NOT has_error")
+    return parse.calls_of(parsed).select("path", "line", "callee", "caller")
+
+
+@query(duck("code") + " SELECT path FROM code WHERE ends_with(path, '.py') AND contains(text, 'def broken(:')")
+def parse_errors(spark, d):
+    return _parsed(spark, d, syntax=True).filter("has_error").select("path")
+
+
+CONTRIBUTION = CODE + r""", p AS (SELECT path, line, s, unnest([
+  CASE WHEN regexp_matches(s, 'TODO|FIXME|HACK|XXX|BUG') THEN {'k': 'bug', 'c': 'todo_marker', 'v': 'low'} END, CASE WHEN regexp_matches(s, '==\s*None|None\s*==') THEN {'k': 'bug', 'c': 'none_comparison', 'v': 'low'} END,
+  CASE WHEN regexp_matches(s, '\bprint\s*\(') THEN {'k': 'bug', 'c': 'debug_print', 'v': 'low'} END, CASE WHEN regexp_matches(s, '\bprint\s*\(') THEN {'k': 'code_smell', 'c': 'print_statement', 'v': 'low'} END,
+  CASE WHEN regexp_matches(s, 'eval\s*\(') THEN {'k': 'security', 'c': 'eval_usage', 'v': 'critical'} END, CASE WHEN regexp_matches(s, 'os\.system') THEN {'k': 'security', 'c': 'shell_command', 'v': 'high'} END,
+  CASE WHEN regexp_matches(s, 'assert\s+') THEN {'k': 'security', 'c': 'assert_in_code', 'v': 'medium'} END]) AS x FROM l),
+g AS (SELECT x.k AS kind, x.c AS category, x.v AS severity, path, line, trim(s) AS evidence FROM p WHERE x IS NOT NULL
+  UNION ALL SELECT 'missing_docs', 'missing_docs', 'low', path, 1, '' FROM l GROUP BY path HAVING ends_with(path, '.py') AND count(*) > 20)"""
+
+
+@query(CONTRIBUTION + " SELECT kind, category, severity, path, line::INT AS line, evidence FROM g")
 def contribution_findings(spark, d):
-    return findings.contribution_findings(view(spark, d, "files"))
+    return findings.contribution_findings(view(spark, d, "code")).drop("rule_ord")
 
 
-@query()
-def parse_documents(spark, d):
-    """The line parser over whole texts, one passage a file."""
-    return graphs.call_nodes(parse.symbols_of(parse.parse(view(spark, d, "files")))).drop("node_ord")
+@query(CONTRIBUTION + """, t AS (SELECT * FROM g WHERE contains(category, 'eval') OR contains(path, 'm1') ORDER BY """ + SEVERITY + """, path, line LIMIT 50),
+n AS (SELECT count(*) AS finding_count, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM t)
+SELECT finding_count, critical, high, medium, low, greatest(5, least(95, 95 - critical * 15 - high * 8 - medium * 3 - low))::INT AS score, 0.9::DOUBLE AS confidence FROM n""")
+def contribution_score(spark, d):
+    """Findings about eval and those of files with m1 in their path, the first 50 by severity."""
+    found = findings.contribution_findings(view(spark, d, "code"))
+    both = findings.focused(found, "eval").unionByName(findings.focused(found, "M1")).distinct()
+    return findings.contribution_score(findings.first_contributions(both), F.lit(10)).drop(*[f"{k}_count" for k in findings.KINDS])
+
+
+# --- files, names and texts
+
+
+@query(FILES + ", b AS (SELECT *, doc_id % 3 = 0 AS bad FROM files) SELECT path, CASE WHEN NOT bad THEN sha256(text) END AS strict, sha256(text || CASE WHEN bad THEN chr(65533) ELSE '' END) AS replaced, sha256(text) AS ignored FROM b")
+def text_modes(spark, d):
+    bad = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("80")))).otherwise(F.col("text").cast("binary"))
+    f = view(spark, d, "files").select("path", bad.alias("content"))
+    for mode, name in (("strict", "strict"), ("replace", "replaced"), ("ignore", "ignored")):
+        f = repository.read_text(f, mode).withColumn(name, F.sha2("text", 256))
+    return f.select("path", "strict", "replaced", "ignored")
+
+
+@query(FILES + " SELECT path, extension, language, size_bytes, sha256(text) AS sha256 FROM files")
+def file_hashes(spark, d):
+    f = view(spark, d, "files").select("path", F.lit(False).alias("is_dir"), F.col("text").cast("binary").alias("content"))
+    return repository.describe(f).select("path", "extension", "language", F.octet_length("content").cast("long").alias("size_bytes"), "sha256")
+
+
+NAMES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'my repo ' || doc_id || '!.zip' WHEN 1 THEN '..hid-' || doc_id || '-.zip' WHEN 2 THEN '...' WHEN 3 THEN 'up/lo ad' || doc_id || '.tar.gz' ELSE 'a+b_' || doc_id END AS name FROM documents"
+
+
+@query("WITH n AS (" + NAMES + r"""), b AS (SELECT doc_id, regexp_replace(name, '^.*/', '') AS b FROM n), s AS (SELECT doc_id, regexp_replace(regexp_replace(b, '^(.+)\.[^.]+$', '\1'), '[^A-Za-z0-9_.-]+', '-', 'g') AS s FROM b)
+SELECT doc_id, coalesce(nullif(regexp_replace(s, '^[.-]+|[.-]+$', '', 'g'), ''), 'repository') AS name FROM s""")
+def safe_names(spark, d):
+    return spark.sql(NAMES.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents")).select("doc_id", repository.safe_name(F.col("name")).alias("name"))
+
+
+URLS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'https://github.com/o' || doc_id || '/r.x' WHEN 1 THEN 'https://github.com/o/r' || doc_id || '.git' WHEN 2 THEN 'http://github.com/o/r' WHEN 3 THEN 'https://example.com/o/r' WHEN 4 THEN 'https://github.com/o/r/x' ELSE 'https://github.com/o/r' || doc_id || '/' END AS url FROM documents"
+
+
+@query("WITH u AS (" + URLS + ") SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN url || '.git' WHEN 1 THEN url WHEN 5 THEN 'https://github.com/o/r' || doc_id || '.git' END AS clone_url FROM u")
+def github_urls(spark, d):
+    return spark.sql(URLS.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents")).select("doc_id", repository.github_url(F.col("url")).alias("clone_url"))
+
+
+@query(FILES + """, p AS (SELECT '' AS path, path AS f, '' AS x FROM files UNION ALL SELECT split_part(path, '/', 1), path, '' FROM files UNION ALL SELECT split_part(path, '/', 1) || '/source', path, path FROM files)
+SELECT path, CASE WHEN path <> '' THEN CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END END AS parent, CASE WHEN contains(path, '/') THEN 'source' ELSE path END AS name,
+  CASE WHEN path = '' THEN 0 WHEN contains(path, '/') THEN 2 ELSE 1 END AS depth, count(*) FILTER (x <> '') AS file_count, count(*) AS total_file_count FROM p GROUP BY path""")
+def explorer_tree(spark, d):
+    return reports.tree(view(spark, d, "files"))
+
+
+EXEMPT = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'src/app.py' WHEN 1 THEN 'src/Tests/x' || doc_id || '.py' WHEN 2 THEN 'src/test_x.py' WHEN 3 THEN 'src/a.test.ts' WHEN 4 THEN 'src/a.spec.ts' WHEN 5 THEN 'lib/mod.rs'
+  WHEN 6 THEN 'lib/d' || doc_id || '.py' WHEN 7 THEN '__tests__/q.js' ELSE 'lib/testing.py' END AS path FROM documents"""
+
+
+@query("WITH e AS (" + EXEMPT + ") SELECT doc_id, path, doc_id % 9 NOT IN (6, 8) AS exempt FROM e")
+def exemptions(spark, d):
+    e = spark.sql(EXEMPT.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    return e.select("doc_id", "path", findings.exempt(F.col("path")).alias("exempt"))
+
+
+@query(RESOLVED.replace("WITH ", EDGES + ", ", 1) + """, f AS (SELECT path FROM files WHERE path NOT IN (SELECT target FROM edges WHERE target IS NOT NULL) AND split_part(path, '/', 1) <> 'tests'),
+c AS (SELECT id FROM nodes WHERE id NOT IN (SELECT target FROM r WHERE target IS NOT NULL))
+SELECT (SELECT count(*) FROM files) AS file_count, (SELECT count(*) FROM nodes) AS callable_count, (SELECT count(*) FROM f) + (SELECT count(*) FROM c) AS finding_count, (SELECT count(*) FROM f) AS unused_file_count, (SELECT count(*) FROM c) AS unused_callable_count""")
+def dead_stats(spark, d):
+    files, nodes = view(spark, d, "files"), view(spark, d, "nodes")
+    dead = findings.dead_files(files, view(spark, d, "edges")).unionByName(findings.dead_callables(nodes, _resolved(spark, d)), allowMissingColumns=True)
+    return findings.dead_stats(files, nodes, dead)
+
+
+# --- stack traces
+
+
+@query(duck("files", "traces") + """ SELECT doc_id AS trace_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'go' END AS language,
+  CASE doc_id % 5 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'TypeError' WHEN 2 THEN 'IOException' WHEN 3 THEN 'panic' END AS error_type, CASE doc_id % 5 WHEN 0 THEN 'bad ' || doc_id WHEN 1 THEN 'no ' || doc_id WHEN 2 THEN 'x' WHEN 3 THEN 'boom ' || doc_id END AS message,
+  CASE doc_id % 5 WHEN 2 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_frames, CASE doc_id % 5 WHEN 0 THEN '/srv/app/' || path || '|/lib/x.py' WHEN 1 THEN '/srv/' || path WHEN 2 THEN 'A' || doc_id || '.java' WHEN 3 THEN path || '.go|main.go' ELSE '' END AS files FROM files""")
+def stack_traces(spark, d):
+    t = parse.parse_traces(view(spark, d, "traces"))
+    return t.select("trace_id", "language", "error_type", "message", F.size("frames").alias("n_frames"), F.array_join("files", "|").alias("files"))
+
+
+@query(duck("files") + """ SELECT doc_id AS trace_id, CASE WHEN doc_id % 5 < 2 THEN path ELSE (SELECT path FROM files WHERE doc_id = 3) END AS path, CASE WHEN doc_id % 5 < 2 THEN (doc_id % 90 + 1)::INT END AS line,
+  CASE WHEN doc_id % 5 >= 2 THEN 0.5 WHEN doc_id % 10 = 3 OR (doc_id % 5 < 2 AND doc_id % 10 = 3) THEN 0.9 ELSE 0.85 END::DOUBLE AS score FROM files""")
+def root_causes(spark, d):
+    files, traces = view(spark, d, "files"), view(spark, d, "traces")
+    t = parse.parse_traces(traces).select("trace_id", "language", F.posexplode("frames").alias("pos", "f")).select("trace_id", "language", "pos", F.col("f.file_path").alias("query"), F.col("f.line").alias("line"))
+    frames = t.join(impact.match_files(t, files), "query", "left")
+    return impact.root_cause(frames, files.filter("doc_id % 10 = 3").select(F.col("doc_id").alias("pos"), "path"), traces)
+
+
+# --- reviews of a change of three files, and of a hundredth
+
+
+@query(FILES + """, q AS (SELECT doc_id * 4 AS pos, path FROM files UNION ALL SELECT doc_id * 4 + 2, 'lib/new' || doc_id || '.py' FROM files) SELECT pos, path FROM q""")
+def changed_paths(spark, d):
+    names = F.array(F.concat(F.lit("./"), "path"), F.concat(F.lit("/srv/app/"), "path"), F.concat(F.lit(" ./lib/new"), "doc_id", F.lit(".py ")), F.lit("  "))
+    q = view(spark, d, "files").select("doc_id", F.posexplode(names).alias("k", "query")).select((F.col("doc_id") * 4 + F.col("k")).alias("pos"), "query")
+    return review.changed_paths(q, view(spark, d, "files"))
+
+
+FEW, MANY = "doc_id IN (3, 13, 23)", "doc_id % 100 = 3"
+VIOLATIONS = LAYERED.removeprefix(EDGES)
+
+
+def _changed(where: str) -> str:
+    return IMPACT.removeprefix(EDGES).replace("doc_id % 10 = 3", where)
+
+
+PR = DEBT + VIOLATIONS + "{changed}" + """, imp AS (SELECT path FROM every ORDER BY score DESC, path LIMIT 12), found AS (
+  SELECT 0 AS section, 0 AS nth, 'change_size' AS category, 'medium' AS severity, NULL AS path WHERE (SELECT count(*) FROM seed) >= 8
+  UNION ALL SELECT 1, 0, 'diff_size', 'high', NULL WHERE {lines} >= 300
+  UNION ALL SELECT 2, 0, 'testing', 'medium', NULL WHERE NOT EXISTS (SELECT 1 FROM seed WHERE split_part(path, '/', 1) = 'tests')
+  UNION ALL SELECT 3, row_number() OVER (ORDER BY {severity}, path, coalesce(line, 0), rule_ord), 'technical_debt:' || category, severity, path FROM a WHERE path IN (SELECT path FROM seed)
+  UNION ALL SELECT 4, row_number() OVER (ORDER BY {severity}, source, target), 'architecture:' || rule_id, severity, source FROM w WHERE source IN (SELECT path FROM imp) OR target IN (SELECT path FROM imp)),
+listed AS (SELECT * FROM found ORDER BY section, nth LIMIT 12)"""
+POINTS = "CASE severity WHEN 'critical' THEN 35 WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 4 END"
+LEVEL = "CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 35 THEN 'medium' ELSE 'low' END"
+
+
+def _pr_sql(where: str, lines: int) -> str:
+    return PR.replace("{changed}", _changed(where).format(a=0.72, b=0.62, s=0.95)).replace("{lines}", str(lines)).replace("{severity}", SEVERITY)
+
+
+def _pr(spark, d, where: str, lines: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    changed = view(spark, d, "files").filter(where).select(F.col("doc_id").alias("pos"), "path")
+    edges = view(spark, d, "edges")
+    hit = impact.pr_impact(changed, edges)
+    return changed, hit, review.pr_findings(changed, hit, _debt(spark, d)[0], findings.violations(edges), lines)
+
+
+@query(_pr_sql(FEW, 40) + " SELECT category, severity, path FROM listed")
+def pr_findings(spark, d):
+    return _pr(spark, d, FEW, 40)[2].select("category", "severity", "path")
+
+
+@query(_pr_sql(MANY, 450) + """, n AS (SELECT (SELECT count(*) FROM seed) AS changed_file_count, (SELECT count(*) FROM imp) AS impacted_file_count, count(*) AS finding_count, sum(%s) AS points FROM listed),
+s AS (SELECT *, least(100, least(changed_file_count * 5, 25) + least(greatest(impacted_file_count - changed_file_count, 0) * 8, 25) + 20 + least(points, 45))::INT AS risk_score FROM n)
+SELECT changed_file_count, impacted_file_count, finding_count, risk_score, %s AS risk_level, least(0.92, 0.45 + least(changed_file_count, 5) * 0.07 + least(finding_count, 3) * 0.04)::DOUBLE AS confidence FROM s""" % (POINTS, LEVEL))
+def pr_report(spark, d):
+    return review.pr_report(*_pr(spark, d, MANY, 450), 450).drop("recommendations", "summary").withColumn("confidence", F.round("confidence", 9))
+
+
+ARCH = KEY.replace(duck("files", "edges", "symbols"), duck("files", "edges", "symbols"), 1) + VIOLATIONS + _changed(FEW).format(a=0.74, b=0.66, s=0.96) + """, keys AS (SELECT *, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth FROM k ORDER BY nth LIMIT 8),
+imp AS (SELECT path, CASE split_part(path, '/', 1) WHEN 'components' THEN 'ui' WHEN 'api' THEN 'api' WHEN 'services' THEN 'service' WHEN 'repositories' THEN 'persistence' WHEN 'tests' THEN 'test' ELSE 'source' END AS layer
+  FROM (SELECT path, CASE WHEN score = 0.96 AND path IN (SELECT path FROM keys) THEN 0.99 ELSE score END AS score FROM every) ORDER BY score DESC, path LIMIT 12),
+near AS (SELECT *, row_number() OVER (ORDER BY %s, source, target) AS nth FROM w WHERE source IN (SELECT path FROM imp) OR target IN (SELECT path FROM imp) QUALIFY nth <= 12),
+fans AS (SELECT source AS path, 0 AS kind, count(*) AS n FROM edges WHERE target IS NOT NULL AND source IN (SELECT path FROM seed) GROUP BY source UNION ALL SELECT target, 1, count(*) FROM edges WHERE target IN (SELECT path FROM seed) GROUP BY target),
+found AS (SELECT 0 AS section, 0 AS nth, 'layer_spread' AS category, 'high' AS severity, NULL AS path WHERE (SELECT count(DISTINCT layer) FROM imp) >= 3
+  UNION ALL SELECT 1, nth, 'key_component_changed', 'high', path FROM keys WHERE path IN (SELECT path FROM seed)
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY doc_id, kind), CASE WHEN kind = 0 THEN 'high_fan_out' ELSE 'high_fan_in' END, CASE WHEN kind = 0 THEN 'medium' ELSE 'high' END, fans.path FROM fans JOIN files ON files.path = fans.path WHERE n >= 3
+  UNION ALL SELECT 3, nth, 'boundary:' || rule_id, severity, source FROM near),
+listed AS (SELECT * FROM found ORDER BY section, nth LIMIT 12)""" % SEVERITY
+
+
+def _arch(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    files, edges = view(spark, d, "files"), view(spark, d, "edges")
+    changed = files.filter(FEW).select(F.col("doc_id").alias("pos"), "path")
+    keys = reports.key_files(files, view(spark, d, "symbols"), edges)
+    hit = impact.arch_impact(changed, edges, keys)
+    near = review.scoped(findings.violations(edges), hit).orderBy(findings.rank(F.col("severity")), "source", "target").limit(review.MAX_ITEMS)
+    return changed, hit, review.arch_findings(changed, hit, keys, edges, near), near
+
+
+@query(ARCH + " SELECT category, severity, path FROM listed")
+def arch_findings(spark, d):
+    return _arch(spark, d)[2].select("category", "severity", "path")
+
+
+@query(ARCH + """, n AS (SELECT (SELECT count(*) FROM seed) AS changed_file_count, (SELECT count(*) FROM imp) AS impacted_file_count, (SELECT count(*) FROM near) AS violation_count, count(*) AS finding_count, sum(%s) AS points FROM listed),
+s AS (SELECT *, (least(changed_file_count * 6, 24) + least(greatest(impacted_file_count - changed_file_count, 0) * 8, 28) + least(points, 52))::INT AS risk_score FROM n)
+SELECT changed_file_count, impacted_file_count, violation_count, finding_count, risk_score, %s AS risk_level,
+  least(0.94, 0.5 + least(changed_file_count, 5) * 0.05 + least(finding_count, 4) * 0.04 + least(violation_count, 3) * 0.03)::DOUBLE AS confidence FROM s""" % (POINTS, LEVEL))
+def arch_report(spark, d):
+    return review.arch_report(*_arch(spark, d)).drop("recommendations", "summary").withColumn("confidence", F.round("confidence", 9))
+
+
+# --- summary and chunks
+
+
+@query(KEY + """, f AS (SELECT 0 AS sec, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth, path FROM k QUALIFY nth <= 8
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY kind NOT IN ('class', 'interface'), path, line, name) AS nth, path FROM symbols WHERE kind <> 'import' QUALIFY nth <= 8
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY edge_ord) AS nth, source FROM edges QUALIFY nth <= 8)
+SELECT path FROM f GROUP BY path ORDER BY min((sec, nth)) LIMIT 8""")
+def evidence_paths(spark, d):
+    return reports.evidence_paths(view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges")).select("path")
+
+
+@query(duck("files", "edges", "symbols", "nodes", "calls") + """ SELECT (SELECT count(*) FROM files) AS file_count, (SELECT count(DISTINCT language) FROM files) AS language_count, (SELECT 2 * count(DISTINCT split_part(path, '/', 1)) FROM files) AS directory_count,
+  (SELECT count(*) FROM files) AS parsed_file_count, (SELECT count(*) FROM symbols) AS symbol_count, (SELECT count(*) FROM edges WHERE target IS NOT NULL) AS dependency_count, (SELECT count(*) FROM nodes) AS callable_count,
+  (SELECT count(*) FROM calls) AS call_count, (SELECT count(*) FROM embeddings) AS indexed_embedding_count, 0::BIGINT AS skipped_parse_file_count""")
+def summary_stats(spark, d):
+    f = view(spark, d, "files")
+    return reports.summary_stats(f, repository.directories(f), f, view(spark, d, "symbols"), view(spark, d, "edges"), view(spark, d, "nodes"), view(spark, d, "calls"), table(spark, d, "embeddings"))
+
+
+CHUNK = duck("files", "symbols") + """, x AS (SELECT path, string_split(text, chr(10)) AS x FROM files),
+c AS (SELECT s.path, s.line, s.end_line, s.kind, s.name, array_to_string(x[s.line:s.end_line], chr(10)) || CASE WHEN s.end_line < len(x) THEN chr(10) ELSE '' END AS content FROM symbols s JOIN x ON x.path = s.path WHERE kind <> 'import' AND s.line <= len(x)),
+h AS (SELECT *, 'symbol:' || path || ':' || line || ':' || end_line AS head FROM c WHERE regexp_matches(content, '\\S')),
+i AS (SELECT *, head || ':' || substr(sha256(head || ':' || kind || ':' || name), 1, 16) AS id FROM h)"""
+
+
+@query(CHUNK + " SELECT id, path, kind AS symbol_kind, name AS symbol_name, length(content)::INT AS char_count, sha256(content) AS content FROM i")
+def symbol_chunks(spark, d):
+    c = chunks.symbol_chunks(view(spark, d, "files"), view(spark, d, "symbols"))
+    return c.select("id", "path", "symbol_kind", "symbol_name", "char_count", F.sha2("content", 256).alias("content"))
+
+
+@query(CHUNK + ", t AS (SELECT id, lower(content) AS t FROM i), n AS (SELECT id, " + ", ".join(
+    "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + f") AS {name}" for name, words in (("a", ("auth", "token", "user")), ("b", ("main", "handler", "server")))
+) + " FROM t) SELECT id, CASE WHEN a = 0 THEN 0.1 ELSE a END::DOUBLE AS first, CASE WHEN b = 0 THEN 0.1 ELSE b END::DOUBLE AS second FROM n")
+def embedded_chunks(spark, d):
+    c = chunks.embed(chunks.symbol_chunks(view(spark, d, "files"), view(spark, d, "symbols")))
+    return c.select("id", F.col("embedding")[0].alias("first"), F.col("embedding")[1].alias("second"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN len(list_intersect(w, ['architecture', 'architectural', 'flow', 'flows', 'depend', 'depends', 'dependency', 'dependencies', 'how'])) > 0 THEN 'architecture' WHEN conv_id % 2 = 0 THEN 'retrieval' ELSE 'summary' END AS mode FROM m""")
+def question_modes(spark, d):
+    q = table(spark, d, "conversations").filter("role = 'user'")
+    return q.select("conv_id", "turn", reports.route_of(F.col("text"), F.col("conv_id") % 2 == 0).alias("mode"))

@@ -34,13 +34,45 @@ CALLS = """
   SELECT l_orderkey, l_linenumber, 'src/m' || (l_partkey % 50) || '.py' AS path, 'fn_' || (l_suppkey % n) AS caller, 'fn_' || (l_orderkey % n) AS callee
   FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM part) y"""
 
+# Source files, a document each: Python modules and packages, and TypeScript.
+PYTHON = (
+    "'import os'", "'from app.m' || ((doc_id * 7 + 1) % n) || ' import f' || (doc_id % 5)", "'import util' || (doc_id % 3)",
+    "CASE WHEN doc_id % 10 = 9 THEN 'from . import g' ELSE 'import app.m' || ((doc_id + 8) % n) || ', json' END", "'# note: helper(1)'", "'class K' || (doc_id % 9) || '(Base, m.Mixin):'",
+    "'    def run(self, x):'", "'        if x == None:'", "'            helper' || (doc_id % 4) || '(x)'", "'    '", "'    def stop(self):'", "'        run(stop(x))'", "''",
+    "'def helper' || (doc_id % 4) || '(a):'",
+    "CASE doc_id % 5 WHEN 0 THEN '    eval(a)  # TODO' WHEN 1 THEN '    assert a' WHEN 2 THEN '    print(a)' WHEN 3 THEN '    os.system(a)' ELSE '    return fresh' || ((doc_id + 4) % n) || '(a)' END",
+    "'total' || (doc_id % 3) || ' = helper' || (doc_id % 4) || '(1)'", "'def fresh' || doc_id || '():'", "'    return total' || (doc_id % 3) || ' + helper' || ((doc_id + 1) % 4) || '(2)'",
+    "CASE WHEN doc_id % 40 = 1 THEN 'def broken(:' ELSE '' END", "CASE WHEN doc_id % 8 = 0 THEN repeat('x = 1' || chr(10), 8) ELSE '' END",
+)
+TYPESCRIPT = (
+    """'import { b } from "./m' || ((doc_id + 4) % n) || '"'""", """'import React from "react"'""", "'export class V' || (doc_id % 9) || ' {'", "'  function () { boot(); }'",
+    "'  const z = make' || (doc_id % 4) || '(1);'", "'}'", "'export function render' || (doc_id % 4) || '() {'", "'  hydrate(render' || (doc_id % 4) || '());'", "'}'",
+)
+CODE = """
+  SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'web/m' || doc_id || '.ts' WHEN doc_id % 10 = 9 THEN 'app/m' || doc_id || '/__init__.py' ELSE 'app/m' || doc_id || '.py' END AS path,
+    CASE WHEN doc_id % 4 = 3 THEN 'TypeScript' ELSE 'Python' END AS language, CASE WHEN doc_id % 4 = 3 THEN {ts} ELSE {py} END AS text
+  FROM documents CROSS JOIN (SELECT count(*) AS n FROM documents) y""".replace("{ts}", " || chr(10) || ".join(TYPESCRIPT)).replace("{py}", " || chr(10) || ".join(PYTHON))
+# Wide classes: the methods of a class of each fiftieth file.
+MEMBERS = """
+  SELECT path, k AS sym_ord, 'method' AS kind, 'get_' || k AS name, k + 1 AS line, k + 1 AS end_line, 'sym' || (doc_id % 7) || '_1' AS parent FROM (SELECT doc_id, path, %s AS k FROM files WHERE doc_id % 50 IN (1, 2, 3)) x"""
+# A stack trace a document, in four languages and without frames.
+TRACES = """
+  SELECT doc_id AS trace_id, CASE doc_id % 5
+    WHEN 0 THEN 'Traceback' || chr(10) || '  File "/srv/app/' || path || '", line ' || (doc_id % 90 + 1) || ', in go' || chr(10) || '  File "/lib/x.py", line 3, in call' || chr(10) || 'ValueError: bad ' || doc_id
+    WHEN 1 THEN 'TypeError: no ' || doc_id || chr(10) || '  at Page.show (/srv/' || path || ':' || (doc_id % 90 + 1) || ':7)' || chr(10) || '  at next (file:///srv/' || path || ':1:2)'
+    WHEN 2 THEN 'java.lang.IllegalStateException: x' || chr(10) || '  at com.acme.A.b(A' || doc_id || '.java:' || (doc_id % 90 + 1) || ')' || chr(10) || 'Caused by' || chr(10) || 'IOException'
+    WHEN 3 THEN 'panic: boom ' || doc_id || chr(10) || chr(9) || path || '.go:' || (doc_id % 90 + 1) || ' +0x1' || chr(10) || chr(9) || 'main.go:2'
+    ELSE 'nothing to see' END AS text FROM files"""
+
 DUCK = {
     "files": FILES.replace("%s", "strlen(text)"), "edges": DEPENDENCIES.replace("%s", "unnest(range(0, doc_id % 10 + 1))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "unnest(range(1, doc_id % 4 + 1))"), "nodes": NODES.format(m="(3 * n // 4)"), "calls": CALLS,
+    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES,
 }
 SPARK = {
     "files": FILES.replace("%s", "octet_length(text)"), "edges": DEPENDENCIES.replace("%s", "explode(sequence(0, doc_id % 10))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "explode(slice(array(1, 2, 3), 1, cast(doc_id % 4 AS int)))"), "nodes": NODES.format(m="(3 * n div 4)"), "calls": CALLS,
+    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES,
 }
 
 
@@ -53,11 +85,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation of this module as a DataFrame, without temporary names in the session."""
     base = {"nodes": ["part"], "calls": ["lineitem", "part"]}.get(name, ["documents"])
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in base}
-    with_ = f"WITH files AS ({SPARK['files']}) " if name in ("edges", "symbols") else ""
-    sql = with_ + SPARK[name]
+    with_ = f"WITH files AS ({SPARK['files']}) " if name in ("edges", "symbols", "members", "traces") else ""
+    sql = (with_ + SPARK[name]).replace("{", "{{").replace("}", "}}")  # braces of the texts
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     out = spark.sql(sql, **tables)
+    if name == "code":
+        out = out.withColumn("size_bytes", F.octet_length("text").cast("long"))
+    if name == "members":
+        out = out.withColumns({"line": F.col("line").cast("int"), "end_line": F.col("end_line").cast("int"), "inherits": F.array().cast("array<string>")})
     if name == "symbols":
         out = out.withColumns({"line": F.col("line").cast("int"), "end_line": F.col("end_line").cast("int"), "parent": F.lit(None).cast("string"), "inherits": F.array().cast("array<string>")})
     if name == "calls":

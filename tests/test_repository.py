@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
-from codestrata.operators import chunks, findings, graphs, impact, knowledge, memory, parse
+from codestrata.operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, review, stores, syntax
 from codestrata.plans.api import Repository
 from codestrata.sources import repository as R
 from codestrata.streaming import progress
@@ -84,13 +84,33 @@ def test_line_parser():
     assert [(c["caller"], c["callee"], c["recursive"]) for c in calls] == [("main", "main", True), ("main", "print", False), (None, "foo", False), (None, "bar", False)]
 
 
+def test_blank_lines_and_unnamed_functions():
+    got = parse.parse_symbols("class A:\n    def f(self):\n        x = 1\n    \n    def g(self):\n        pass\n", True)
+    assert [(s["kind"], s["name"], s["parent"]) for s in got] == [("class", "A", None), ("method", "f", "A"), ("variable", "x", "f"), ("method", "g", "A")]
+    assert parse.parse_calls("function () { foo(); }\nexport async function  (a) { bar(); }") == []
+    assert [c["callee"] for c in parse.parse_calls("function() { foo(); }")] == ["foo"]
+
+
+def test_syntax_tree():
+    text = "import os as o, sys\nfrom .m import q\nfrom x import *\n\n@deco(1)\nclass A(Base, m.Other, metaclass=M):\n    y: int = f(2)\n    def run(self, x=g()):\n        def inner():\n            return run(x.call(a)(b))\n        if x:\n            z = h(lambda: k())\n        return inner()\n\nasync def top():\n    top()\nv = w = 3\na.b = 4\n"
+    symbols, calls = syntax.parse_python(text)
+    assert [(s["kind"], s["name"], s["parent"], s["line"], s["end_line"]) for s in symbols] == [
+        ("import", "os as o", None, 1, 1), ("import", "q", None, 2, 2), ("class", "A", None, 6, 13), ("variable", "y", "A", 7, 7), ("method", "run", "A", 8, 13),
+        ("method", "inner", "run", 9, 10), ("variable", "z", "run", 12, 12), ("function", "top", None, 15, 16), ("variable", "v", None, 17, 17)]
+    assert symbols[1]["source"] == ".m" and symbols[2]["inherits"] == ["Base", "m", "Other", "metaclass", "M"]
+    assert [(c["caller"], c["callee"], c["recursive"]) for c in calls] == [
+        (None, "deco", False), (None, "f", False), ("run", "g", False), ("inner", "run", False), ("inner", "a", False), ("inner", "call", False),
+        ("run", "h", False), ("run", "k", False), ("run", "inner", False), ("top", "top", True)]
+    assert syntax.parse_python("def (") is None and syntax.parse_python("x = '\0'") is None and syntax.parse_python("") == ([], [])
+
+
 def test_dependencies(spark):
     r = Repository.of(spark, DEPS)
     inner = graphs.internal(r.dependencies)
     assert pairs(inner, "source", "target") == [("app/main.py", "app/service.py"), ("src/a.ts", "src/b.ts"), ("src/b.ts", "src/a.ts")]
     assert pairs(graphs.external_names(r.dependencies), "import_name") == [("os",)]
     assert [x.files for x in r.cycles().collect()] == [["src/a.ts", "src/b.ts"]]
-    assert r.dependency_stats().first().asDict() == {"file_count": 4, "internal_dependency_count": 3, "external_dependency_count": 1, "unresolved_import_count": 1}
+    assert r.dependency_stats().first().asDict() == {"file_count": 4, "internal_dependency_count": 3, "external_dependency_count": 1, "unresolved_import_count": 1, "circular_dependency_count": 1}
 
 
 def test_import_quirks(spark):
@@ -159,6 +179,15 @@ def test_debt(spark):
     assert stats.first()["debt_score"] == 100 - 24 - 6
 
 
+def test_debt_of_spans_and_errors(spark):
+    body = "def long(x):\n" + "    if x and x:\n        pass\n" * 45 + "\n"
+    r = Repository.of(spark, [("a.py", body), ("b.py", "def broken(:\n"), ("c.py", "def f(): return 1\n")], syntax=True)
+    found, stats = r.technical_debt()
+    assert [(x.category, x.severity, x.path, x.line) for x in found.collect()] == [("high_complexity", "critical", "a.py", 1), ("parse_error", "high", "b.py", None), ("long_symbol", "medium", "a.py", 1)]
+    got = stats.first()
+    assert (got.debt_score, got.max_complexity, got.complex_symbol_count, got.average_complexity) == (62, 46, 1, 16.0)
+
+
 def test_debt_query_has_cycles(spark):
     from codestrata.plans.queries import QUERIES
     from codestrata.plans.virtual import view
@@ -175,6 +204,12 @@ def test_dead_code(spark):
     assert {x.symbol_name for x in r.dead_code().collect()} == {None, "unused_helper"}  # start is in an entry file
 
 
+def test_layers_of_test_folders(spark):
+    paths = ["test_utils/foo.py", "src/test_a.py", "Tests/a.py", "src/api.pyi/x.ts", "src/api.py", "views/x.ts", "src/TEST_a.py"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(findings.layer(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["source", "test", "test", "source", "api", "ui", "source"]
+
+
 def test_violations(spark):
     r = Repository.of(spark, [
         ("api/routes/users.py", "from repositories.user import x"), ("repositories/user.py", "from api.routes.users import y"), ("services/billing.py", "from components.panel import z"),
@@ -216,6 +251,43 @@ def test_contribution(spark):
     assert score.first()["score"] < 95
 
 
+def test_contribution_focus_and_docs(spark):
+    r = Repository.of(spark, [("app/plain.py", "x = 1\n" * 21), ("lib/doc.py", '"""Doc."""\n' + "x = 1\n" * 21), ("lib/eval_it.py", "eval(1)\nprint(2)\n"), ("big.py", "eval(1)\n" * 70_000)])
+    found, score = r.contributions()
+    assert {(x.category, x.path, x.line) for x in found.collect()} == {("missing_docs", "app/plain.py", 1), ("eval_usage", "lib/eval_it.py", 1), ("debug_print", "lib/eval_it.py", 2), ("print_statement", "lib/eval_it.py", 2)}
+    assert (score.first().score, score.first().security_count, score.first().missing_docs_count) == (95 - 15 - 3, 1, 1) and abs(score.first().confidence - 0.62) < 1e-9
+    assert [x.path for x in r.contributions("PLAIN")[0].collect()] == ["app/plain.py"] and r.contributions("print")[0].count() == 2
+
+
+def test_changed_paths(spark):
+    files = spark.createDataFrame([("a/b.py",), ("c.py",), ("x/d.ts",), ("y/d.ts",)], "path string")
+    names = spark.createDataFrame(list(enumerate(["./a/b.py", "/srv/a/b.py", "  ", "lib/c.py", "z/d.ts ", "./.new/q.py"])), "pos long, query string")
+    got = sorted(tuple(r) for r in review.changed_paths(names, files).collect())
+    assert got == [(0, "a/b.py"), (3, "c.py"), (4, "z/d.ts"), (5, "new/q.py")]
+
+
+def test_reviews(spark):
+    files = [("api/a.py", "import services.b\nimport repositories.r\nimport lib.c\nimport lib.d\n"), ("services/b.py", "import repositories.r"), ("repositories/r.py", ""), ("lib/c.py", ""), ("lib/d.py", "")]
+    r = Repository.of(spark, files)
+    got = r.pull_request_review(["api/a.py", "gone.py"], "+x\n" * 320)
+    assert [(x.category, x.severity, x.path) for x in got["findings"].collect()] == [("diff_size", "high", None), ("testing", "medium", None), ("architecture:api-skips-service-layer", "medium", "api/a.py")]
+    row = got["report"].first()
+    assert (row.changed_file_count, row.impacted_file_count, row.finding_count, row.risk_score, row.risk_level) == (2, 6, 3, 10 + 25 + 16 + 40, "critical") and len(row.recommendations) == 4
+    assert r.pull_request_review(["tests/test_a.py"])["findings"].count() == 0
+    many = r.pull_request_review([f"n{i}.py" for i in range(8)])
+    assert [x.category for x in many["findings"].collect()] == ["change_size", "testing"]
+    arch = r.architecture_review(["api/a.py"])
+    assert [(x.category, x.severity) for x in arch["findings"].collect()] == [("layer_spread", "high"), ("key_component_changed", "high"), ("high_fan_out", "medium"), ("boundary:api-skips-service-layer", "medium")]
+    assert arch["report"].first().risk_score == 6 + 28 + 52 and {x.path: x.score for x in arch["impacted"].collect()}["api/a.py"] == 0.99
+
+
+def test_bug_advice(spark):
+    r = Repository.of(spark, [("a.py", "import b"), ("b.py", "")])
+    got = r.bug_impact("boom\nValueError: bad", ["./a.py", "nowhere.py"])
+    assert got["root"]["path"] == "a.py" and got["root"]["score"] == 0.5 and len(got["recommendations"]) == 3
+    assert r.bug_impact("nothing")["root"] is None and r.bug_impact("nothing")["recommendations"] == []
+
+
 def test_traces(spark):
     traces = [
         (1, 'File "/repo/app/services/payment.py", line 42, in charge\nPaymentError: card declined'),
@@ -285,6 +357,68 @@ def test_stores(spark, tmp_path):
     assert memory.with_fallback(lambda: 1 / 0, lambda: None) is False
 
 
+def test_scan_and_graph_stores(spark, tmp_path):
+    r = Repository.of(spark, [("app/main.py", "from app.service import helper\nimport os\n\ndef main():\n    helper()\n"), ("app/service.py", "def helper():\n    return 1\n")], name="root")
+    folder = str(tmp_path / "s")
+    for _ in range(2):
+        r.save_scan(folder)
+        r.save_graph(folder)
+    got = stores.load_scan(spark, folder, "root")
+    assert got["record"].count() == 1 and [x.path for x in got["files"].collect()] == ["app/main.py", "app/service.py"]
+    nodes, edges = stores.load_graph(spark, folder, "root")
+    assert nodes.count() == r.knowledge_graph()[0].count() and edges.count() == r.knowledge_graph()[1].count()
+    assert [x.path for x in got["directories"].collect()] == ["app"]
+    flat = Repository.of(spark, [("x.py", "")], name="root")
+    flat.save_scan(folder)
+    got = stores.load_scan(spark, folder, "root")
+    assert got["directories"].count() == 0 and [x.path for x in got["files"].collect()] == ["x.py"]
+    with pytest.raises(KeyError):
+        stores.load_scan(spark, folder, "other")
+    bad = nodes.withColumn("labels", F.array(F.lit("no good")))
+    with pytest.raises(Exception, match="bad label"):
+        stores.identifiers_only(bad, edges)[0].collect()
+    more = edges.select("source", "relationship", "target").union(spark.createDataFrame([("file:x", "IMPORTS", "file:y")], "source string, relationship string, target string"))
+    assert stores.whole_graph(nodes, more).count() == nodes.count() + 2
+    assert stores.write_both(lambda: True, lambda: False, lambda: {"nodes": 1}) == {"nodes": 1, "persisted": False}
+    memory.replace_repository(spark.createDataFrame([("i", "p", 1)], "id string, path string, start_line int"), str(tmp_path / "v"), "old")
+    assert stores.load_vectors(spark, str(tmp_path / "v"), "old").first()["content"] == ""
+
+
+def test_large_archives_raise(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.py", "x" * 500)
+    monkeypatch.setattr(R, "MAX_ARCHIVE", 10)
+    with pytest.raises(Exception, match="archive too large"):
+        R.read_zip(spark, str(tmp_path)).collect()
+
+
+def test_degradation(spark, monkeypatch):
+    r = Repository.of(spark, [("auth.py", "def check_token():\n    return 1\n"), ("b.py", "import auth\n")])
+
+    def broken(*_):
+        raise RuntimeError("no graph")
+
+    monkeypatch.setattr(graphs, "dependency_edges", broken)
+    assert r.retrieve("token", 2).first()["graph_score"] in (0.0, 1.0) and r.summary["stats"]["dependency_count"] == 0 and r.summary["stats"]["file_count"] == 2
+    assert isinstance(r.analyze()["dependency_stats"], RuntimeError)
+    with pytest.raises(ValueError, match="no embedder"):
+        Repository.of(spark, [("a.py", "x = 1")], embedder=None).retrieve("x")
+
+
+def test_components_before_cycles(spark):
+    rng = __import__("random").Random(3)
+    for _ in range(3):
+        pairs_ = {(f"n{rng.randrange(14):02d}", f"n{rng.randrange(14):02d}") for _ in range(22)}
+        pairs_ = {(a, b) for a, b in pairs_ if a != b}
+        reach = {a: {a} for p in pairs_ for a in p}
+        for _ in range(14):
+            for a, b in pairs_:
+                reach[a] |= reach[b]
+        want = {(a, b) for a, b in pairs_ if a in reach[b]}
+        got = graphs.on_cycles(spark.createDataFrame(sorted(pairs_), "source string, target string")).collect()
+        assert {(r.source, r.target) for r in got} == want and all((r.component in reach[r.source]) and (r.source in reach[r.component]) for r in got)
+
+
 def test_event_stream(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES ('i', 'queued', '', timestamp'2024-01-01 00:00:00'), ('i', 'completed', '', timestamp'2024-01-01 00:01:00') AS v(import_id, stage, message, created_at)")
     rows.write.parquet(str(tmp_path / "in"))
