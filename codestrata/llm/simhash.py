@@ -7,10 +7,12 @@ hashes (seed 42).  Fingerprints that differ in at most 3 of 64 bits link.
 
 Search: of five blocks of bits, two at least agree in every such pair, so each distinct
 fingerprint goes to the ten keys (pair of blocks, their bits).  Within a key the fingerprints
-are sorted by Gray rank and runs of them make the nodes of an index: a node holds the bits
-that all below it share (mask and pattern).  Two nodes whose shared bits differ in more than
-3 places are dropped with all below them; a node whose own bits are all in one class with
-the other's needs no more comparison.  Keys with many fingerprints are split into tiles.
+are sorted by Gray rank; runs of them are the lowest nodes of an index, runs of those the next
+ones, up to one root: a node holds the bits that all below it share (mask and pattern).  The
+index is joined with itself from the root on.  A pair of nodes carries the differences of the
+bits that both share, its children add those of the bits that they share besides, and with
+over 3 the pair is dropped with all below it.  Nodes that are in one class already need no
+more comparison.  Keys with many fingerprints are split into tiles.
 
 Defined cases: null or empty text has fingerprint zero and links like any other; rows with
 one doc_id each get a row, in one class if their fingerprints link; a null doc_id takes part
@@ -37,6 +39,8 @@ DISTANCE = 3
 FANOUT = 16
 TILE_ROWS = 4096
 BUCKET_ROWS = 40_000
+#: Pairs of nodes that are opened at once.
+PAIRS = 4096
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -122,6 +126,27 @@ def _products(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, at // nb[row], at % nb[row]
 
 
+def index_nodes(fps: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Levels of nodes over the keys' rows [first, last), from runs of rows up, and the root of each key.
+
+    A level is (begin, end, mask, pattern): the children of each node in the level below, the
+    bits that all rows under it share, and their values.
+    """
+    a, b = _level(first, last, FANOUT)
+    # reduceat needs rising bounds; runs of one key follow each other, other keys lie between
+    bounds = np.column_stack((a, b)).ravel()
+    bounds = bounds[:-1] if bounds[-1] == len(fps) else bounds
+    both, either = np.bitwise_and.reduceat(fps, bounds)[::2], np.bitwise_or.reduceat(fps, bounds)[::2]
+    levels = [(a, b, ~(both ^ either), both)]
+    lo, hi = np.searchsorted(a, first), np.searchsorted(a, last)
+    while (hi - lo).max() > 1:
+        a, b = _level(lo, hi, FANOUT)  # without gaps
+        both, either = np.bitwise_and.reduceat(both, a), np.bitwise_or.reduceat(either, a)
+        levels.append((a, b, ~(both ^ either), both))
+        lo, hi = np.searchsorted(a, lo), np.searchsorted(a, hi)
+    return levels, lo
+
+
 def index_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, cross: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Class (smallest row) of each row, by links within a key.
 
@@ -132,60 +157,40 @@ def index_links(keys: np.ndarray, fps: np.ndarray, side: np.ndarray, cross: np.n
     labels = np.arange(n)
     if n < 2:
         return labels
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    start, stop = edge, np.concatenate((edge[1:], [n]))
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    stop = np.concatenate((start[1:], [n]))
     many = stop - start > 1
-    levels = []
-    first, last = start[many], stop[many]
-    if not len(first):
+    if not many.any():
         return labels
-    for fan in (FANOUT, FANOUT * FANOUT):
-        levels.append(_level(first, last, fan))
-    nodes = []
-    for a, b in levels:  # shared bits of each node: where AND equals OR
-        # reduceat needs rising bounds; runs of one key follow each other, other keys lie between
-        bounds = np.column_stack((a, b)).ravel()
-        tail = bounds[-1] == n
-        both = np.bitwise_and.reduceat(fps, bounds[:-1] if tail else bounds)[::2]
-        either = np.bitwise_or.reduceat(fps, bounds[:-1] if tail else bounds)[::2]
-        nodes.append((a, b, ~(both ^ either), both))
-    # top level: pairs of nodes of one key
-    a2, b2, mask2, pat2 = nodes[1]
-    key2 = keys[a2]
-    left, right = [], []
-    alive = np.arange(len(a2))
-    step = 0
-    while len(alive):
-        left.append(alive), right.append(alive + step)
-        step += 1
-        alive = alive[alive + step < len(a2)]
-        alive = alive[key2[alive] == key2[alive + step]]
-    i2, j2 = np.concatenate(left), np.concatenate(right)
-    far = lambda m, p, i, j: np.bitwise_count((p[i] ^ p[j]) & m[i] & m[j]) > distance
-    keep = ~far(mask2, pat2, i2, j2)
-    i2, j2 = i2[keep], j2[keep]
-    a1, b1, mask1, pat1 = nodes[0]
-    child = np.searchsorted(a1, a2)
-    n_child = np.searchsorted(a1, b2) - child
-    for at in range(0, len(i2), 2048):
-        i, j = i2[at : at + 2048], j2[at : at + 2048]
-        row, x, y = _products(n_child[i], n_child[j])
-        i1, j1 = child[i][row] + x, child[j][row] + y
-        keep = (i1 <= j1) & ~far(mask1, pat1, i1, j1)
-        i1, j1 = i1[keep], j1[keep]
-        for lo in range(0, len(i1), 8192):
-            i, j = i1[lo : lo + 8192], j1[lo : lo + 8192]
-            if len(i1) > 8192:  # classes found so far may already join the two nodes
-                low, high = np.minimum.reduceat(labels, a1), np.maximum.reduceat(labels, a1)
-                whole = (low == high) & (np.diff(np.concatenate((a1, [n]))) == b1 - a1)
-                done = whole[i] & whole[j] & (low[i] == low[j])
-                i, j = i[~done], j[~done]
-            row, x, y = _products(b1[i] - a1[i], b1[j] - a1[j])
-            p, q = a1[i][row] + x, a1[j][row] + y
-            keep = p < q
-            p, q = p[keep], q[keep]
-            keep = (np.bitwise_count(fps[p] ^ fps[q]) <= distance) & ~(cross[p] & (side[p] == side[q]))
+    levels, roots = index_nodes(fps, start[many], stop[many])
+    a1, b1 = levels[0][:2]
+    todo = [(len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64), levels[-1][2][roots])]
+    while todo:  # depth first, in pieces, so that few pairs wait
+        level, i, j, d, seen = todo.pop()
+        if len(i) > PAIRS:
+            for at in range(0, len(i), PAIRS):
+                todo.append((level, *(x[at : at + PAIRS] for x in (i, j, d, seen))))
+            continue
+        if not level and len(i) == PAIRS:  # classes found so far may already join the two nodes
+            low, high = np.minimum.reduceat(labels, a1), np.maximum.reduceat(labels, a1)
+            whole = (low == high) & (np.diff(np.concatenate((a1, [n]))) == b1 - a1)
+            open_ = ~(whole[i] & whole[j] & (low[i] == low[j]))
+            i, j, d, seen = i[open_], j[open_], d[open_], seen[open_]
+        begin, end = levels[level][:2]
+        row, x, y = _products(end[i] - begin[i], end[j] - begin[j])
+        p, q = begin[i][row] + x, begin[j][row] + y
+        keep = (p <= q) if level else (p < q)
+        row, p, q = row[keep], p[keep], q[keep]
+        if not level:  # rows: all bits count
+            more = np.bitwise_count((fps[p] ^ fps[q]) & ~seen[row]).astype(np.int64)
+            keep = (d[row] + more <= distance) & ~(cross[p] & (side[p] == side[q]))
             labels = _roots(labels, p[keep], q[keep])
+            continue
+        mask, pattern = levels[level - 1][2:]
+        shared = mask[p] & mask[q]
+        more = d[row] + np.bitwise_count((pattern[p] ^ pattern[q]) & shared & ~seen[row])
+        keep = more <= distance
+        todo.append((level - 1, p[keep], q[keep], more[keep], shared[keep]))
     return labels
 
 

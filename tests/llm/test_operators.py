@@ -170,6 +170,23 @@ def test_near_groups(spark, tile):
     assert got == want
 
 
+def test_index_prunes_and_accumulates():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for _ in range(900)], np.uint64)
+    fps = np.unique(np.concatenate((base, base[rng.integers(0, 300, 900)] ^ flips)))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    keys = np.repeat([0, 1, 2], [len(fps) - 101, 1, 100])
+    got = simhash.index_links(keys, fps, np.zeros(len(fps), np.int64), np.zeros(len(fps), bool))
+    edges = [(a, b) for a in range(len(fps)) for b in range(a) if keys[a] == keys[b] and int(fps[a] ^ fps[b]).bit_count() <= 3]
+    assert dict(enumerate(got.tolist())) == components(range(len(fps)), edges)
+    levels, roots = simhash.index_nodes(fps, np.array([0]), np.array([len(fps)]))
+    assert len(levels) == 3 and roots.tolist() == [0]
+    for (a, b, mask, pattern), (_, _, below, values) in zip(levels[1:], levels):
+        for k, (lo, hi) in enumerate(zip(a, b)):
+            assert all((below[lo:hi] & mask[k]) == mask[k]) and all((values[lo:hi] & mask[k]) == (pattern[k] & mask[k]))
+
+
 # 4
 
 
