@@ -429,6 +429,69 @@ def test_trees_learn(spark):
     assert sum((r.m > 0) == bool(r.blocked) for r in scored) >= 95
 
 
+def test_verdicts_against_a_slow_model(spark):
+    """Features, bins and trees again in plain Python, from the limits, suffix shares and trees of the model."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    host, path = urls.split_url(F.col("url"))
+    rows = pages.withColumns({"host": host, "path": path})
+    rule, says = urls.match_rule(F.col("host"), F.col("path"))
+    rows = rows.withColumns({"rule": rule, "says": says})
+    model = urls.train(rows.filter("says IS NOT NULL").select("url", "host", (F.col("says") == "block").cast("int").alias("blocked")))
+    shares = {s: {r[s]: r[f"{s}_blocked"] for r in model.suffixes[s].collect()} for s in ("tld", "domain")}
+
+    def features(url, host):
+        url, labels = url or "", (host or "").split(".")
+        n = len(url)
+        return {
+            "length": n, "depth": len(url.split("/")), "digits": sum("0" <= c <= "9" for c in url) / n if n else 0.0,
+            "entropy": -sum(k / n * math.log2(k / n) for k in Counter(url).values()) if n else 0.0, "params": len(re.findall("[?&;][^=&;#]+=", url)),
+            "tld_blocked": shares["tld"].get(labels[-1], model.prior), "domain_blocked": shares["domain"].get(".".join((["", *labels])[-2:]), model.prior),
+        }
+
+    def score(tree, bins):
+        while isinstance(tree, tuple):
+            f, cut, left, right = tree
+            tree = left if bins[f] <= cut else right
+        return tree
+
+    judged = {r.page_id: r for r in urls.judge(pages).collect()}
+    free = [r for r in rows.collect() if r.says is None]
+    assert len(model.trees) == urls.TREES and len(free) > 20
+    for r in free:
+        f = features(r.url, r.host)
+        near = min((abs(f[k] - t) for k in f for t in model.limits.get(k, ())), default=1)
+        margin = sum(score(t, {k: sum(v > t for t in model.limits.get(k, ())) for k, v in f.items()}) for t in model.trees)
+        if near > 1e-9 and abs(margin) > 1e-9:
+            assert judged[r.page_id].verdict == ("block" if margin > 0 else "allow")
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Lexical marks alone tell the classes of hosts that the trees never saw, whatever their suffixes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(3000):
+        bad = int(rng.random() < 0.3)
+        tld = ("net", "org", "info")[i % 3]
+        page = "".join(rng.choice(list("0123456789abc"), 24 if bad else 6))
+        rows.append((f"http://h{i % 500}.{tld}/{page}" + "?a=1&b=2&c=3" * bad, f"h{i % 500}.{tld}", bad))
+    df = spark.createDataFrame(rows, "url string, host string, blocked int")
+    fold = F.pmod(F.xxhash64("host"), F.lit(4))
+    model = urls.train(df.filter(fold > 0))
+    held = model.bins(df.filter(fold == 0).withColumns(urls.lexical(F.col("url"), F.col("host")))).select("blocked", (model.margin() > 0).alias("says")).collect()
+    assert len(held) > 400 and sum(r.says == bool(r.blocked) for r in held) / len(held) > 0.97
+    # a suffix that tells nothing of other hosts is no reason to trust it: each host its own class, at random
+    noise = spark.createDataFrame([(f"http://d{i}.com/x", f"d{i}.com", int(rng.random() < 0.5)) for i in range(1500)], "url string, host string, blocked int")
+    model = urls.train(noise.filter(fold > 0))
+    held = model.bins(noise.filter(fold == 0).withColumns(urls.lexical(F.col("url"), F.col("host")))).select(F.abs(model.margin()).alias("m")).collect()
+    assert np.median([r.m for r in held]) < 0.5
+
+
+def test_url_sample_of_repeated_urls(spark):
+    rows = [("http://a.net/es/1", "a.net", 1)] * 5000 + [(f"http://b{i}.com/", f"b{i}.com", 0) for i in range(300)]
+    model = urls.train(spark.createDataFrame(rows, "url string, host string, blocked int"), bound=100)
+    assert model.suffixes and model.trees
+
+
 # 7
 
 
