@@ -419,6 +419,74 @@ def test_components_before_cycles(spark):
         assert {(r.source, r.target) for r in got} == want and all((r.component in reach[r.source]) and (r.source in reach[r.component]) for r in got)
 
 
+def test_imports(spark, tmp_path):
+    import subprocess
+
+    from codestrata.sources.imports import Importer, ImportFailed
+
+    work = tmp_path / "my work"
+    work.mkdir()
+    (work / "a.py").write_text("x = 1\n")
+    for args in (("init", "-q"), ("add", "."), ("-c", "user.name=n", "-c", "user.email=e@x", "commit", "-q", "-m", "m")):
+        subprocess.run(["git", "-C", str(work), *args], check=True)
+    imports = Importer(spark, str(tmp_path / "store"))
+    import_id, folder = imports.from_local(str(work))
+    assert os.path.basename(folder).startswith("my-work-") and (tmp_path / folder / "a.py").exists()
+    got = imports.progress(import_id)
+    assert got["status"] == "completed" and [e[0] for e in got["events"]] == ["queued", "validating", "cloning", "completed"]
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("b/__init__.py", "y = 2\n")
+    _, folder = imports.from_zip("Up.zip", raw.getvalue())
+    assert [r.path for r in R.scan(spark, folder).filter("NOT is_dir").collect()] == ["b/__init__.py"]
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("../evil.py", "")
+    with pytest.raises(ImportFailed, match="unsafe") as failed:
+        imports.from_zip("bad.zip", raw.getvalue())
+    assert imports.progress(failed.value.import_id)["status"] == "failed" and len(os.listdir(tmp_path / "store" / "repositories")) == 2
+    for call in (lambda: imports.from_zip("x.tar", b""), lambda: imports.from_zip("x.zip", b"no"), lambda: imports.from_local(str(tmp_path / "none")), lambda: imports.from_local("/"),
+                 lambda: imports.from_github("http://github.com/a/b"), lambda: Importer(spark, str(tmp_path / "store"), max_archive=1).from_zip("x.zip", b"no")):
+        with pytest.raises(ImportFailed):
+            call()
+    with pytest.raises(KeyError):
+        imports.progress("nothing")
+
+
+def test_clients():
+    import json
+
+    from codestrata.sources import clients as C
+
+    sent = []
+
+    def post(answers):
+        def run(address, body, headers):
+            sent.append((address, body, headers))
+            return iter(answers.pop(0))
+
+        return run
+
+    embed = C.openai_embedder("k", post=post([['{"data": [{"embedding": [1, 2]}]}'], ['{"data": []}'], ["oops"]]))
+    assert embed(["a"]) == [[1.0, 2.0]] and sent[-1][2] == {"Authorization": "Bearer k"}
+    for _ in range(2):
+        with pytest.raises(C.ClientError):
+            embed(["a"])
+    local = C.ollama_embedder("http://h/", post=post([['{"embeddings": [[1], [2]]}'], ["{}"], ['{"embedding": [3]}'], ['{"embedding": [4]}'], ["{}"], ["{}"]]))
+    assert local([]) == [] and local(["a", "b"]) == [[1.0], [2.0]] and local(["a", "b"]) == [[3.0], [4.0]] and sent[-1][0] == "http://h/api/embeddings"
+    with pytest.raises(C.ClientError):
+        local(["a"])
+    chat = C.Ollama(post=post([['{"message": {"content": "hi"}}'], ['{"message": {"content": "h"}}', "", "bad", '{"message": {"content": "i"}}', '{"done": true}']]))
+    assert chat("q") == "hi" and list(chat.stream("q")) == ["h", "i"] and sent[-1][1]["stream"] is True
+    part = lambda t: "data: " + json.dumps({"choices": [{"delta": {"content": t}}]})
+    groq = C.Groq("k", post=post([['{"choices": [{"message": {"content": "yes"}}]}'], [part("a"), ": ping", part("b"), "data: [DONE]", part("c")]]))
+    assert groq("q") == "yes" and list(groq.stream("q")) == ["a", "b"]
+    assert isinstance(C.answerer("groq"), C.Nothing) and isinstance(C.answerer("groq", key="k"), C.Groq) and isinstance(C.answerer(), C.Ollama) and C.Nothing()("x") == "" and not list(C.Nothing().stream("x"))
+    with pytest.raises(C.ClientError):
+        list(C.http_post("http://127.0.0.1:9/x", {}, {}, timeout=2))
+    said = reports.stream({"mode": "m", "answer": "a b"}, iter(["x", "y"]))
+    assert [v for k, v in said if k == "delta"] == ["x", "y"] and [v for k, v in reports.stream({"mode": "m", "answer": "a b"}, iter(())) if k == "delta"] == ["a ", "b "]
+
+
 def test_event_stream(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES ('i', 'queued', '', timestamp'2024-01-01 00:00:00'), ('i', 'completed', '', timestamp'2024-01-01 00:01:00') AS v(import_id, stage, message, created_at)")
     rows.write.parquet(str(tmp_path / "in"))
