@@ -73,33 +73,29 @@ def schedule(weights: Mapping, blocks: Mapping) -> Iterator[tuple]:
             t += 1
 
 
-def source_counts(docs: DataFrame) -> dict:
-    return {r[0]: r[1] for r in docs.groupBy(F.col("source").cast("string")).count().collect()}  # one row a source
+def _key(source: str | None) -> str:
+    return "n" if source is None else f"s{source}"
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, counts: Mapping | None = None) -> DataFrame:
-    """doc_id, source, block, release, deadline, slot, place (within the block) and ``row`` (all columns)."""
+def mix(docs: DataFrame, weights: Mapping | None = None, power: float = 1.0, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, source, block, release, deadline, slot, place (within the block) and ``row`` (all columns).
+
+    Without ``weights`` the target weight of a source is its number of rows to this power.
+    """
     text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", text).alias("h"))
-    if counts is None:
-        counts = source_counts(docs)
-    if weights is None:
-        weights = counts
-    targets = {n: float(weights.get(n, 0)) for n in counts}
-    if targets and not sum(targets.values()):
-        targets = dict.fromkeys(targets, 1.0)
-    exact = exact_weights(targets)
-    blocks = {n: -(-counts[n] // block_rows) for n in exact}
-    n_buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    key = lambda n: "n" if n is None else f"s{n}"
+    n_buckets = max(1, -(-docs.count() // bucket_rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in batches:
-            made = ((key(n), *rest) for n, *rest in schedule(exact, blocks))
-            while part := list(itertools.islice(made, 10_000)):
-                yield pd.DataFrame(part, columns=["key", "block", "release", "deadline", "slot"])
-
-    plan = docs.sparkSession.range(1, numPartitions=1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
+        counts = {None if s is None or s != s else s: int(n) for part in batches for s, n in zip(part["source"], part["count"])}
+        targets = {n: float(c**power if weights is None else weights.get(n, 0)) for n, c in counts.items()}
+        if targets and not sum(targets.values()):
+            targets = dict.fromkeys(targets, 1.0)
+        made = ((_key(n), *rest) for n, *rest in schedule(exact_weights(targets), {n: -(-c // block_rows) for n, c in counts.items()}))
+        while part := list(itertools.islice(made, 10_000)):
+            yield pd.DataFrame(part, columns=["key", "block", "release", "deadline", "slot"])
+
+    plan = base.groupBy("source").count().repartition(1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
     rows = base.withColumns({
         "key": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")),
         "bucket": F.pmod(F.xxhash64("h", F.lit("mix")), F.lit(n_buckets)),
@@ -121,14 +117,9 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK
 TEMPERATURE = 0.7
 
 
-def tempered(counts: Mapping, power: float = TEMPERATURE) -> dict:
-    return {n: c**power for n, c in counts.items()}
-
-
 def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
-    counts = source_counts(docs)
-    return mix(docs, tempered(counts), counts=counts).drop("row")
+    return mix(docs, power=TEMPERATURE).drop("row")
 
 
 def mixed_documents(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
@@ -136,9 +127,8 @@ def mixed_documents(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
 
     Rows and, as they are written, files follow the schedule; ``in_written_order`` brings them back.
     """
-    counts = source_counts(docs)
-    out = mix(docs, tempered(counts), counts=counts)
-    return out.repartitionByRange(max(1, -(-sum(counts.values()) // file_rows)), "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    n = max(1, -(-docs.count() // file_rows))
+    return mix(docs, power=TEMPERATURE).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def in_written_order(docs: DataFrame, part_rows: int = FILE_ROWS // 2) -> DataFrame:

@@ -738,8 +738,7 @@ def test_word_encoder_equals_the_tokenizer():
 
 def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    counts = mixing.source_counts(docs)
-    slot = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs, mixing.tempered(counts)).collect()}
+    slot = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs, power=mixing.TEMPERATURE).collect()}
     mixing.mixed_documents(docs, file_rows=90).write.parquet(str(tmp_path / "mixed"))
     again = spark.read.parquet(str(tmp_path / "mixed"))
     out = mixing.in_written_order(again, part_rows=150)
