@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 SYMBOLS = ("class", "function", "interface", "method")
+# Fixed value: the label that every node has besides its own.
+NODE = "ForgeNode"
 
 
 def _ids(path: Column) -> Column:
@@ -20,7 +22,7 @@ def _parent(path: Column, repository: str) -> Column:
 
 
 def _node(id_: Column, labels: list[str] | Column, stage: int, **properties: Column) -> list[Column]:
-    names = F.array(*[F.lit(x) for x in ("ForgeNode", *labels)]) if isinstance(labels, list) else labels
+    names = F.array(*[F.lit(x) for x in (NODE, *labels)]) if isinstance(labels, list) else labels
     return [id_.alias("id"), names.alias("labels"), F.to_json(F.struct(id_.alias("id"), *[c.alias(k) for k, c in properties.items()])).alias("properties"), F.lit(stage).alias("stage")]
 
 
@@ -42,7 +44,7 @@ def nodes_and_edges(repository: str, directories: DataFrame, files: DataFrame, s
     root = spark.range(1).select(*_node(F.lit(f"repository:{repository}"), ["Repository"], 0, path=repo, name=X.base_name(repo)), zero.alias("at"))
     dirs = directories.select(*_node(F.concat(F.lit("directory:"), path), ["Directory"], 1, path=path, name=X.base_name(path), repository_path=repo), order.alias("at"))
     file_nodes = files.select(*_node(_ids(path), ["File"], 2, path=path, name=X.base_name(path), language=F.col("language"), repository_path=repo), order.alias("at"))
-    symbol_nodes = kept.select(*_node(F.col("sid"), F.array(F.lit("ForgeNode"), F.lit("Symbol"), F.initcap("kind")), 3, path=path, name=name, kind=F.col("kind"), line=F.col("line"), repository_path=repo), "at")
+    symbol_nodes = kept.select(*_node(F.col("sid"), F.array(F.lit(NODE), F.lit("Symbol"), F.initcap("kind")), 3, path=path, name=name, kind=F.col("kind"), line=F.col("line"), repository_path=repo), "at")
     parents = kept.select("sid", "at", F.explode("inherits").alias("name"))
     inherited = parents.select(*_node(external("symbol", name), ["ExternalSymbol"], 3, name=name, repository_path=repo), "at")
     unknown = dependencies.filter(F.col("target").isNull()).select(*_node(external("dependency", F.col("import_name")), ["ExternalDependency"], 4, name=F.col("import_name"), repository_path=repo), zero.alias("at"))
