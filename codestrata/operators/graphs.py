@@ -79,61 +79,76 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.select(F.col("source").alias("path"), F.col("target").alias("related")).distinct()
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges of (source, target) within strongly connected components, with ``component`` (its least file).
+def on_cycles(edges: DataFrame, hops: int = 2) -> DataFrame:
+    """Edges of (source, target) within strongly connected components, with ``component`` (its greatest file).
 
     Files without an edge in or out go, over and over; then colours (the greatest file that
     reaches one) part the rest, and what the root of a colour does not reach back goes to the
-    next round.
+    next round.  Several hops are one job, and what it made is settled.
     """
+    c = F.col
+    at = lambda df, end: df.withColumnRenamed("path", end)
     e, kept = settle(edges), None
-    while True:  # each round finds a component at least
+    n = e.count()
+    while n:  # each round finds a component at least
         while True:  # trim
+            for _ in range(2):
+                e = e.join(e.select(c("target").alias("source")).distinct(), "source", "left_semi").join(e.select(c("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+            e, before = settle(e), n
             n = e.count()
-            e = settle(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-                       .join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-            if e.count() == n:
+            if n == before:
                 break
         if not n:
             break
-        colour = settle(e.select(F.col("source").alias("path")).distinct().withColumn("colour", F.col("path")))
-        while True:  # colours flow along the edges
-            flow = e.join(colour.withColumnRenamed("path", "source"), "source").groupBy(F.col("target").alias("path")).agg(F.max("colour").alias("other"))
-            new = settle(colour.join(flow, "path").select("path", F.greatest("colour", "other").alias("colour"), (F.col("other") > F.col("colour")).alias("moved")))
-            colour = new.drop("moved")
-            if new.filter("moved").isEmpty():
-                break
-        inner = e.join(colour.withColumnRenamed("path", "source"), "source").join(colour.select(F.col("path").alias("target"), F.col("colour").alias("c2")), "target").filter("colour = c2").select("source", "target", "colour")
-        inner = settle(inner)
-        back = settle(colour.filter("path = colour").select("path", "colour"))
-        while True:  # what reaches the root of its colour, against the edges
-            more = inner.join(back.select(F.col("path").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("path"), "colour").distinct().join(back, ["path", "colour"], "left_anti")
-            more = settle(more)
-            if more.isEmpty():
-                break
-            back = settle(back.unionByName(more))
-        done = inner.join(back.select(F.col("path").alias("source"), "colour"), ["source", "colour"], "left_semi").join(back.select(F.col("path").alias("target"), "colour"), ["target", "colour"], "left_semi")
-        done = settle(done.select("source", "target", F.col("colour").alias("component")))
+        colour, moving = e.select(c("source").alias("path")).distinct().withColumn("colour", c("path")), True
+        while moving:  # colours flow along the edges until a hop moves none
+            for _ in range(hops):
+                flow = e.join(at(colour.select("path", "colour"), "source"), "source").groupBy(c("target").alias("path")).agg(F.max("colour").alias("other"))
+                colour = colour.select("path", "colour").join(flow, "path").select("path", F.greatest("colour", "other").alias("colour"), (c("other") > c("colour")).alias("moved"))
+            colour = settle(colour)
+            moving = colour.filter("moved").count() > 0
+        inner = e.join(at(colour.select("path", "colour"), "source"), "source").join(colour.select(c("path").alias("target"), c("colour").alias("c2")), "target")
+        inner = settle(inner.filter("colour = c2").select("source", "target", "colour"))
+        back, last = colour.filter("path = colour").select("path", "colour", F.lit(0).alias("hop")), hops
+        while last == hops:  # what reaches the root of its colour, against the edges
+            back = back.withColumn("hop", F.lit(0))
+            for k in range(1, hops + 1):
+                more = inner.join(at(back.select("path", "colour"), "target"), ["target", "colour"]).select(c("source").alias("path"), "colour", F.lit(k).alias("hop"))
+                back = back.unionByName(more).groupBy("path", "colour").agg(F.min("hop").alias("hop"))
+            back = settle(back)
+            last = back.agg(F.max("hop")).first()[0]
+        found = back.select("path", "colour")
+        done = settle(inner.join(at(found, "source"), ["source", "colour"], "left_semi").join(at(found, "target"), ["target", "colour"], "left_semi").select("source", "target", c("colour").alias("component")))
         kept = done if kept is None else kept.unionByName(done)
-        e = settle(e.join(back.select(F.col("path").alias("source")), "source", "left_anti").join(back.select(F.col("path").alias("target")), "target", "left_anti"))
+        e = settle(e.join(at(found.select("path"), "source"), "source", "left_anti").join(at(found.select("path"), "target"), "target", "left_anti"))
+        n = e.count()
     return kept if kept is not None else e.withColumn("component", F.lit(None).cast("string"))
 
 
-def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, max_length: int | None = None, many: float = 4) -> DataFrame:
     """All elementary cycles of 2 files or more (to ``max_length`` if given), as arrays that begin at their least file.
 
-    Only edges within strongly connected components are followed: paths grow from each file
-    through greater ones of its component, so that each cycle is found once, until no path is
-    left.  Their number can grow exponentially with a component; that is the output's size.
+    Paths grow from each file through greater ones only, so that each cycle is found once,
+    until no path is left.  Once there are ``many`` paths an edge, paths and edges that leave
+    their strongly connected component are dropped; what then grows is the output itself, whose
+    size can be exponential in a component's.
     """
-    e = on_cycles(internal(edges).filter("source <> target").select("source", "target").distinct())
-    step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
+    e = settle(internal(edges).filter("source <> target").select("source", "target").distinct())
+    n, pruned = e.count(), False
     paths = e.filter("target > source").select(F.array("source", "target").alias("files"))
     found, length = None, 2
     while max_length is None or length <= max_length:
         paths = settle(paths)
-        if paths.isEmpty():
+        n_paths = paths.count()
+        if not n_paths:
             break
+        if not pruned and n_paths >= many * n:
+            pruned, e = True, on_cycles(e)
+            own = settle(e.select(F.col("source").alias("path"), "component").distinct())
+            ends = paths.select("files", F.col("files")[0].alias("a"), F.element_at("files", -1).alias("z"))
+            ends = ends.join(own.withColumnsRenamed({"path": "a", "component": "ca"}), "a").join(own.withColumnsRenamed({"path": "z", "component": "cz"}), "z")
+            paths = settle(ends.filter("ca = cz").select("files"))  # what lies between is of that component too
+        step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
         grown = paths.withColumn("last", F.element_at("files", -1)).join(step, "last")
         closed = grown.filter(F.col("next") == F.col("files")[0]).select("files")
         found = closed if found is None else found.unionByName(closed)

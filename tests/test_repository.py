@@ -416,6 +416,8 @@ def test_components_before_cycles(spark):
                 reach[a] |= reach[b]
         want = {(a, b) for a, b in pairs_ if a in reach[b]}
         got = graphs.on_cycles(spark.createDataFrame(sorted(pairs_), "source string, target string")).collect()
+        df = spark.createDataFrame(sorted(pairs_), "source string, target string")
+        assert sorted(r.files for r in graphs.cycles(df, many=0).collect()) == sorted(r.files for r in graphs.cycles(df, many=1e9).collect())
         assert {(r.source, r.target) for r in got} == want and all((r.component in reach[r.source]) and (r.source in reach[r.component]) for r in got)
 
 
