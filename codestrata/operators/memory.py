@@ -51,14 +51,18 @@ def latest_events(events: DataFrame) -> DataFrame:
 
 def replace_repository(df: DataFrame, folder: str, repository: str, unique: list[str] | None = None) -> None:
     """Replace the rows of one repository: a dynamic overwrite of its partition, which goes if there are none."""
-    if unique and not df.groupBy(*unique).count().filter("count > 1").isEmpty():
-        raise ValueError(f"repeated key {unique}")
-    if df.isEmpty():
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/repository_path={name}")
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    df.withColumn("repository_path", F.lit(repository)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_path").parquet(folder)
+    df = df.persist()
+    try:
+        if unique and not df.groupBy(*unique).count().filter("count > 1").isEmpty():
+            raise ValueError(f"repeated key {unique}")
+        if df.isEmpty():
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/repository_path={name}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        df.withColumn("repository_path", F.lit(repository)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_path").parquet(folder)
+    finally:
+        df.unpersist()
 
 
 def read_repository(spark: SparkSession, folder: str, repository: str, *order: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review
+from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
 from ..sources import repository
+from .session import passing_folder, settle
 from .virtual import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,9 +348,14 @@ def chunk_ids(spark, d):
     return f.select(chunks.chunk_id(F.lit("file"), F.col("path"), F.lit(1), F.col("doc_id") % 9 + 1, null, null).alias("id"))
 
 
-@query()
+@query(duck("files", recursive=True) + """, li AS (SELECT path, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS line FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(text, chr(10)) AS l FROM files WHERE text <> '')) WHERE i < len(l) OR l[i] <> ''),
+w AS (SELECT path, 1::BIGINT AS i, 1::BIGINT AS start, length(line) AS size FROM li WHERE i = 1
+  UNION ALL SELECT w.path, w.i + 1, CASE WHEN w.size + length(line) > 12000 THEN w.i + 1 ELSE w.start END, CASE WHEN w.size + length(line) > 12000 THEN length(line) ELSE w.size + length(line) END FROM w JOIN li ON li.path = w.path AND li.i = w.i + 1),
+c AS (SELECT w.path, start, max(w.i) AS stop, string_agg(line, '' ORDER BY w.i) AS content FROM w JOIN li ON li.path = w.path AND li.i = w.i GROUP BY w.path, start),
+h AS (SELECT *, 'file:' || path || ':' || start || ':' || stop AS head FROM c)
+SELECT head || ':' || substr(sha256(head || '::'), 1, 16) AS id, path, start::INT AS start_line, stop::INT AS end_line, length(content)::INT AS char_count, sha256(content) AS content FROM h""")
 def file_chunks(spark, d):
-    return chunks.file_chunks(view(spark, d, "files"))
+    return chunks.file_chunks(view(spark, d, "files")).select("id", "path", "start_line", "end_line", "char_count", F.sha2("content", 256).alias("content"))
 
 
 @query(FILES + " SELECT path, count(*) FILTER (l <> '' OR i < n)::INT AS n_lines, length(max(text)) AS n_chars FROM (SELECT path, text, l[i] AS l, i, len(l) AS n FROM (SELECT path, text, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, text, string_split(text, chr(10)) AS l FROM files WHERE text <> ''))) GROUP BY path")
@@ -760,3 +766,74 @@ SELECT conv_id, turn, CASE WHEN len(list_intersect(w, ['architecture', 'architec
 def question_modes(spark, d):
     q = table(spark, d, "conversations").filter("role = 'user'")
     return q.select("conv_id", "turn", reports.route_of(F.col("text"), F.col("conv_id") % 2 == 0).alias("mode"))
+
+
+# --- stores: written twice, read back
+
+
+@query(FILES + ", d AS (SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/source']) AS path FROM files) SELECT path, false AS is_dir, sha256(text) AS sha256 FROM files UNION ALL SELECT path, true, NULL FROM d")
+def stored_scan(spark, d):
+    f = repository.describe(view(spark, d, "files").select("path", F.lit(False).alias("is_dir"), "size_bytes", F.lit(None).cast("timestamp").alias("modified_at"), F.col("text").cast("binary").alias("content")))
+    with passing_folder(spark) as folder:
+        for part in (f.filter("path LIKE 'api/%'"), f):  # the second scan replaces the first
+            stores.save_scan(part, repository.directories(part), folder, "repo")
+        got = stores.load_scan(spark, folder, "repo")
+        dirs = got["directories"].select("path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("sha256"))
+        return settle(got["files"].select("path", F.lit(False).alias("is_dir"), "sha256").unionByName(dirs))
+
+
+@query(GRAPH + " SELECT source, relationship, target FROM ke WHERE source IN (SELECT id FROM kn WHERE NOT contains(labels, 'External')) AND target IN (SELECT id FROM kn WHERE NOT contains(labels, 'External'))")
+def stored_graph(spark, d):
+    """Edges whose nodes are both stored, without the external nodes."""
+    nodes, edges = _graph(spark, d)
+    with passing_folder(spark) as folder:
+        stores.save_graph(nodes.filter("NOT exists(labels, x -> x LIKE 'External%')"), edges, folder, "repo", matched=True)
+        return settle(stores.load_graph(spark, folder, "repo")[1].select("source", "relationship", "target"))
+
+
+@query(CHUNK + " SELECT id, path, sha256(content) AS content FROM i")
+def stored_vectors(spark, d):
+    c = chunks.embed(chunks.symbol_chunks(view(spark, d, "files"), view(spark, d, "symbols")))
+    with passing_folder(spark) as folder:
+        memory.replace_repository(c, folder, "repo", unique=["id"])
+        return settle(stores.load_vectors(spark, folder, "repo").select("id", "path", F.sha2("content", 256).alias("content")))
+
+
+# --- documents
+
+
+MERMAID = r"""'n_' || left(coalesce(nullif(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'node'), 80) || '["' || {c} || '"]'"""
+
+
+@query(EDGES + ", f AS (SELECT source, target, edge_ord FROM edges WHERE target IS NOT NULL ORDER BY edge_ord LIMIT 12) SELECT 'flowchart LR' || chr(10) || string_agg('  ' || "
+       + MERMAID.replace("{c}", "source") + " || ' --> ' || " + MERMAID.replace("{c}", "target") + ", chr(10) ORDER BY edge_ord) AS code FROM f")
+def dependency_diagram(spark, d):
+    none = spark.createDataFrame([], "path string, callee string, source string, target string, call_ord int")
+    return spark.createDataFrame([(reports.diagrams("x", [], view(spark, d, "edges"), none)["dependency"],)], "code string")
+
+
+@query(KEY + """, t AS (SELECT *, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth FROM k QUALIFY nth <= 8),
+m AS (SELECT * FROM t WHERE list_contains(regexp_extract_all(lower(path), '[a-z0-9_]+'), 'core') OR list_contains(regexp_extract_all(lower(path), '[a-z0-9_]+'), 'api'))
+SELECT path, dependency_count::BIGINT AS dependencies, dependent_count::BIGINT AS dependents, 0.74::DOUBLE AS confidence FROM (SELECT * FROM m UNION ALL SELECT * FROM t WHERE (SELECT count(*) FROM m) = 0) ORDER BY nth LIMIT 5""")
+def explained_components(spark, d):
+    f, symbols, edges = view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges")
+    calls = view(spark, d, "calls").limit(0)
+    told = reports.explain(reports.summarize(f, repository.directories(f), symbols, edges, calls), "the core of the API")
+    return spark.createDataFrame([(c["path"], c["dependencies"], c["dependents"], told["confidence"]) for c in told["components"]], "path string, dependencies long, dependents long, confidence double")
+
+
+@query(duck("files") + """, r AS (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN path || ':' || (doc_id % 90 + 1) ELSE (SELECT path FROM files WHERE doc_id = 3) END AS place, CASE doc_id % 5 WHEN 0 THEN 'bad ' || doc_id WHEN 1 THEN 'no ' || doc_id WHEN 2 THEN 'x' WHEN 3 THEN 'boom ' || doc_id END AS message FROM files)
+SELECT doc_id AS trace_id, 'Begin at ' || place || '.' || coalesce('|Reproduce: ' || message, '') AS advice FROM r""")
+def bug_advice(spark, d):
+    said = parse.parse_traces(view(spark, d, "traces")).select("trace_id", "message")
+    r = root_causes(spark, d).join(said, "trace_id")
+    return r.select("trace_id", F.array_join(review.bug_advice(F.col("path"), F.col("line"), F.col("message"), F.lit(0)), "|").alias("advice"))
+
+
+SETUP = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'src/Makefile' WHEN 2 THEN 'go.mod' ELSE 'Makefile' END AS path FROM documents"
+
+
+@query("WITH f AS (" + SETUP + ") SELECT DISTINCT CASE path WHEN 'package.json' THEN 'npm install' WHEN 'go.mod' THEN 'go mod download' ELSE 'make' END AS command FROM f WHERE NOT contains(path, '/')")
+def setup_commands(spark, d):
+    f = spark.sql(SETUP.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    return spark.createDataFrame([(c,) for c in reports.setup_commands(f)], "command string")
