@@ -27,6 +27,7 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +138,12 @@ def in_written_order(docs: DataFrame, part_rows: int = FILE_ROWS // 2) -> DataFr
     Spark deals files to tasks by size; here rows go back to the order of the numbers in file
     names and of the rows within.  Rows of another origin keep the order in which they come.
     """
-    names = docs.columns
-    at = {
-        "__order_part": F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(-1)),
-        "__order_file": F.input_file_name(), "__order_block": F.input_file_block_start(), "__order_row": F.monotonically_increasing_id(),
-    }
-    out = docs.withColumns(at)
-    return out.repartitionByRange(max(1, -(-docs.count() // part_rows)), *at).sortWithinPartitions(*at).select(*names)
+    names, n = docs.columns, max(1, -(-docs.count() // part_rows))
+    row, file = {"__order_row": F.monotonically_increasing_id()}, F.input_file_name()
+    at = {"__order_part": F.coalesce(F.nullif(F.regexp_extract(file, r"part-(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(-1)), "__order_file": file, "__order_block": F.input_file_block_start(), **row}
+    try:
+        out = docs.withColumns(at)
+    except AnalysisException:  # made of several sources: there is no one file to name
+        at = row
+        out = docs.withColumns(at)
+    return out.repartitionByRange(n, *at).sortWithinPartitions(*at).select(*names)

@@ -750,6 +750,15 @@ def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
     assert max(abs(by_slot[d] - i) for i, d in enumerate(by_sequence)) < 100
 
 
+def test_written_order_of_other_frames(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in (3, 1, 2)], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in mixing.in_written_order(df).collect()] == [3, 1, 2]
+    df.write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    joined = a.join(a.select("doc_id", F.lit(1).alias("x")), "doc_id")
+    assert sorted(r.doc_id for r in mixing.in_written_order(joined).collect()) == [1, 2, 3] and mixing.in_written_order(a.limit(0)).count() == 0
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path, monkeypatch):
     import corpus_pipeline as p
     from codestrata.llm import common
