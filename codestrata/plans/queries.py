@@ -149,6 +149,14 @@ def cycles(spark, d):
     return graphs.cycles(view(spark, d, "rings")).select(F.array_join("files", ",").alias("files"))
 
 
+@query(CYCLES + """ SELECT (SELECT count(DISTINCT source) FROM rings) AS file_count, count(*) AS internal_dependency_count, 0::BIGINT AS external_dependency_count, 0::BIGINT AS unresolved_import_count,
+  (SELECT count(*) FROM c) AS circular_dependency_count FROM rings""")
+def ring_stats(spark, d):
+    e = view(spark, d, "rings")
+    files = e.select(F.col("source").alias("path")).distinct()
+    return graphs.with_cycle_count(graphs.dependency_stats(files, e.withColumn("import_name", F.lit("m"))), graphs.cycles(e))
+
+
 @query(CYCLES + """ SELECT (SELECT count(*) FROM c) AS cycle_count, (SELECT max(len(files))::INT FROM c) AS max_length,
   (SELECT count(DISTINCT f) FROM (SELECT unnest(files) AS f FROM c)) AS affected_files, (SELECT count(*) FROM rings) AS internal_dependencies""")
 def cycle_stats(spark, d):
@@ -397,6 +405,24 @@ def kg_stats(spark, d):
     return knowledge.graph_stats(*_graph(spark, d))
 
 
+PROPERTIES = GRAPH + """, j AS (
+  SELECT 'repository:repo' AS key, '{"id":"repository:repo","path":"repo","name":"repo"}' AS properties
+  UNION SELECT 'directory:' || path, '{"id":"directory:' || path || '","path":"' || path || '","name":"' || regexp_replace(path, '^.*/', '') || '","repository_path":"repo"}' FROM dirs
+  UNION SELECT 'file:' || path, '{"id":"file:' || path || '","path":"' || path || '","name":"' || regexp_replace(path, '^.*/', '') || '","language":"' || language || '","repository_path":"repo"}' FROM files
+  UNION SELECT 'symbol:' || path || ':function:' || name, '{"id":"symbol:' || path || ':function:' || name || '","path":"' || path || '","name":"' || name || '","kind":"function","line":1,"repository_path":"repo"}' FROM nodes
+  UNION SELECT 'external:dependency:' || import_name, '{"id":"external:dependency:' || import_name || '","name":"' || import_name || '","repository_path":"repo"}' FROM edges WHERE target IS NULL
+  UNION SELECT 'external:call:' || callee, '{"id":"external:call:' || callee || '","name":"' || callee || '","repository_path":"repo"}' FROM r WHERE target IS NULL AND source IS NOT NULL
+  UNION SELECT source || ' ' || relationship || ' ' || target, '{"repository_path":"repo"}' FROM ke WHERE relationship IN ('CONTAINS', 'DEFINES')
+  UNION SELECT 'file:' || source || ' IMPORTS ' || coalesce('file:' || target, 'external:dependency:' || import_name), '{"repository_path":"repo","name":"' || import_name || '"}' FROM edges
+  UNION SELECT a.sid || ' CALLS ' || coalesce(b.sid, 'external:call:' || callee), '{"repository_path":"repo","name":"' || callee || '","recursive":' || CASE WHEN caller = callee THEN 'true' ELSE 'false' END || '}' FROM r JOIN ids a ON a.qid = r.source LEFT JOIN ids b ON b.qid = r.target)"""
+
+
+@query(PROPERTIES + " SELECT key, properties FROM j")
+def kg_properties(spark, d):
+    nodes, edges = _graph(spark, d)
+    return nodes.select(F.col("id").alias("key"), "properties").unionByName(edges.select(F.concat_ws(" ", "source", "relationship", "target").alias("key"), "properties"))
+
+
 KEY = duck("files", "edges", "symbols") + """, k AS (SELECT path, language, size_bytes, (SELECT count(*) FROM symbols s WHERE s.path = f.path AND kind <> 'import') AS symbol_count,
   (SELECT count(*) FROM edges e WHERE e.source = f.path AND e.target IS NOT NULL) AS dependency_count, (SELECT count(*) FROM edges e WHERE e.target = f.path) AS dependent_count FROM files f)"""
 
