@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import remove
+
 MESSAGE = "session_id string, repository_path string, seq long, role string, content string, metadata string, created_at timestamp"
 
 
@@ -56,10 +58,8 @@ def replace_repository(df: DataFrame, folder: str, repository: str, unique: list
         if unique and not df.groupBy(*unique).count().filter("count > 1").isEmpty():
             raise ValueError(f"repeated key {unique}")
         if df.isEmpty():
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/repository_path={name}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            name = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository)
+            remove(df.sparkSession, f"{folder}/repository_path={name}")
         df.withColumn("repository_path", F.lit(repository)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_path").parquet(folder)
     finally:
         df.unpersist()
