@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import remove, shared_folder
+
 #: Rows of two or three numbers that a join may broadcast; with more it shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -20,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only a session of one process that lacks the setting gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="codestrata-")
-    return folder
-
-
 _SCOPES: list[list[str]] = []
 
 
@@ -49,12 +36,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of any file system that Spark reaches."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Checkpoints made inside are deleted at the end: what they led to must be written by then."""
