@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, table
+from .common import checkpoint, running, table
 
 BLOCK_ROWS = 64
 BUCKET_ROWS = 1_000
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, power: float = 1.0, blo
     n_buckets = max(1, -(-docs.count() // bucket_rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = {None if s is None or s != s else s: int(n) for part in batches for s, n in zip(part["source"], part["count"])}
+        counts = {None if k == "n" else k[1:]: int(n) for part in batches for k, n in zip(part["key"], part["n"])}
         targets = {n: float(c**power if weights is None else weights.get(n, 0)) for n, c in counts.items()}
         if targets and not sum(targets.values()):
             targets = dict.fromkeys(targets, 1.0)
@@ -96,12 +96,13 @@ def mix(docs: DataFrame, weights: Mapping | None = None, power: float = 1.0, blo
         while part := list(itertools.islice(made, 10_000)):
             yield pd.DataFrame(part, columns=["key", "block", "release", "deadline", "slot"])
 
-    plan = base.groupBy("source").count().repartition(1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
     rows = base.withColumns({
         "key": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")),
         "bucket": F.pmod(F.xxhash64("h", F.lit("mix")), F.lit(n_buckets)),
     })
-    sums = running(rows.groupBy("key", "bucket").agg(F.count("*").alias("n")), "key", "bucket", "n")
+    counts = checkpoint(rows.groupBy("key", "bucket").agg(F.count("*").alias("n")))  # one scan for sources, buckets and sums
+    plan = counts.groupBy("key").agg(F.sum("n").alias("n")).repartition(1).mapInPandas(run, "key string, block long, release long, deadline long, slot long")
+    sums = running(counts, "key", "bucket", "n")
     # the blocks of each bucket meet their slots here, so that no row moves for it
     spans = sums.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("n") - 1) / block_rows))))
     sums = spans.join(plan, ["key", "block"]).groupBy("key", "bucket", "before").agg(F.array_sort(F.collect_list(F.struct("block", "release", "deadline", "slot"))).alias("slots"))
