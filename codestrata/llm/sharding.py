@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, size_of, table
+from .common import checkpoint, running, size_of, table
 
 BUCKET_ROWS = 8_000
 
@@ -42,7 +42,8 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     if grown:
         cols["grown_shard"] = rendezvous(F.col("doc_id"), grown)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns(cols).drop("text")
-    counts = running(rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")), "shard", "_bucket", "_n").drop("_n")
+    counts = checkpoint(rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")))
+    counts = running(counts, "shard", "_bucket", "_n").drop("_n")
     within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
     rows = rows.withColumn("_row", F.row_number().over(within))
     return (
