@@ -47,6 +47,7 @@ STEPS = 16
 WIDTH = 2.0  # of a grid cell; unrelated unit vectors differ by sqrt(2) on a line
 TILE_ROWS = 4096
 BUCKET_ROWS = 20_000
+PAIRS = 50_000
 SEED = 20240
 
 
@@ -95,9 +96,17 @@ class Plan:
 
 
 def collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """On how many lines the codes of each pair lie in one window (8 lines a word)."""
-    near = np.maximum(a, b) - np.minimum(a, b) <= STEPS
-    return np.bitwise_count(near.view(np.uint64)).sum(1, dtype=np.int64)
+    """On how many lines the codes of each pair lie in one window.
+
+    Differences wrap around: codes 240 apart count too, which verification drops.
+    """
+    d = a - b
+    d += np.uint8(STEPS)
+    words = (d <= 2 * STEPS).view(np.uint64)  # a line a byte, 0 or 1
+    total = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        total += words[:, k]
+    return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
 def unit(vector) -> np.ndarray | None:
@@ -202,42 +211,62 @@ def _bucket(plan: Plan):
             group = np.cumsum(np.concatenate(([0], (key[:, 1:] != key[:, :-1]).any(0).astype(np.int64))))
             cross, side, table_ = ta[at] != tb[at], tile[at], t[at]
             first, code = p[:, 0].copy(), plan.codes(p[:, 1:])
-            alive, step = np.arange(len(at)), 0
             label = np.arange(len(at))
             every, known = np.zeros((len(at), plan.tables), np.int64), np.zeros(len(at), bool)
-            while True:
-                step += 1
-                alive = alive[alive + step < len(at)]
-                alive = alive[(group[alive] == group[alive + step]) & (first[alive + step] - first[alive] <= plan.first)]
-                if not len(alive):
-                    break
-                for lo in range(0, len(alive), 50_000):
-                    i = alive[lo : lo + 50_000]
-                    j = i + step
-                    keep = ~(cross[i] & (side[i] == side[j]))
-                    i, j = i[keep], j[keep]
-                    keep = collisions(code[i], code[j]) >= plan.threshold
-                    i, j = i[keep], j[keep]
-                    keep = np.einsum("ij,ij->i", x[i], x[j]) >= plan.cosine
-                    i, j = i[keep], j[keep]
-                    # a pair counts in the first table that it shares
-                    new = np.unique(np.concatenate((i, j)))
-                    new = new[~known[new]]
-                    for few in np.split(new, range(2000, len(new), 2000)):
-                        if len(few):
-                            every[few], known[few] = cells_of(plan, x[few]), True
-                    early = (every[i] == every[j]) & (np.arange(plan.tables)[None, :] < table_[i][:, None])
-                    keep = ~early.any(1)
-                    i, j = i[keep], j[keep]
-                    np.add.at(links, at[i], weight[at[j]])
-                    np.add.at(links, at[j], weight[at[i]])
-                    while len(i):  # classes within this task
-                        a, b = label[i], label[j]
-                        keep = a != b
-                        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-                        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-                        while ((short := label[label]) != label).any():
-                            label = short
+
+            def verify(i: np.ndarray, j: np.ndarray) -> None:
+                """Links among candidate pairs: counts and classes."""
+                nonlocal label
+                keep = ~(cross[i] & (side[i] == side[j]))  # noqa: B023
+                i, j = i[keep], j[keep]
+                keep = np.einsum("ij,ij->i", x[i], x[j]) >= plan.cosine  # noqa: B023
+                i, j = i[keep], j[keep]
+                # a pair counts in the first table that it shares
+                new = np.unique(np.concatenate((i, j)))
+                new = new[~known[new]]  # noqa: B023
+                for few in np.split(new, range(2000, len(new), 2000)):
+                    if len(few):
+                        every[few], known[few] = cells_of(plan, x[few]), True  # noqa: B023
+                early = (every[i] == every[j]) & (np.arange(plan.tables)[None, :] < table_[i][:, None])  # noqa: B023
+                keep = ~early.any(1)
+                i, j = i[keep], j[keep]
+                np.add.at(links, at[i], weight[at[j]])  # noqa: B023
+                np.add.at(links, at[j], weight[at[i]])  # noqa: B023
+                while len(i):  # classes within this task
+                    a, b = label[i], label[j]
+                    keep = a != b
+                    i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+                    if not len(i):
+                        break
+                    np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                    while ((short := label[label]) != label).any():
+                        label = short
+
+            # how many of the next rows lie in a row's group and first window
+            line = group * 1000.0 + first
+            span = np.searchsorted(line, line + plan.first, "right") - 1 - np.arange(len(at))
+            left = np.cumsum(np.bincount(span)[::-1])[::-1]  # rows with a partner at each distance
+            alive, found, n_found = None, [], 0
+            for step in range(1, len(left)):
+                # where many rows have one, whole runs are compared, else the rows one by one
+                runs = 4 * left[step] > len(at) - step
+                if not runs:
+                    alive = np.flatnonzero(span >= step) if alive is None else alive[span[alive] >= step]
+                for lo in range(0, len(at) - step if runs else len(alive), PAIRS):
+                    if runs:
+                        hi = min(lo + PAIRS, len(at) - step)
+                        hits = collisions(code[lo:hi], code[lo + step : hi + step]) >= plan.threshold
+                        i = np.flatnonzero(hits & (span[lo:hi] >= step)) + lo
+                    else:
+                        i = alive[lo : lo + PAIRS]
+                        i = i[collisions(code.take(i, 0), code.take(i + step, 0)) >= plan.threshold]
+                    found.append((i, i + step))
+                    n_found += len(i)
+                    if n_found >= PAIRS:
+                        verify(*(np.concatenate(c) for c in zip(*found)))
+                        found, n_found = [], 0
+            if n_found:
+                verify(*(np.concatenate(c) for c in zip(*found)))
             moved = label != np.arange(len(at))
             forest.append((rep[at[moved]], rep[at[label[moved]]]))
         some = links > 0
