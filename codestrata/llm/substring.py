@@ -37,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,17 +62,27 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def segments(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, begin and end (in words) of the segments of a text of hashed words."""
+    """Anchor, begin and end (in words) of the segments of a text of hashed words.
+
+    Neighbouring windows whose least triple lies at one place (the first, of equal ones) are a
+    segment: the place moves on where a window loses it, or gains a lesser one.
+    """
     n = len(h)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = (h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
-    at = sliding_window_view(g, window - 2).argmin(1) + np.arange(n - window + 1)
-    begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    triples, wide = g, 1
+    while 2 * wide <= window - 2:  # minima of 2, 4, 8, ... triples
+        g = np.minimum(g[:-wide], g[wide:])
+        wide *= 2
+    rest = window - 2 - wide
+    least = np.minimum(g[: len(g) - rest], g[rest:])
+    new = np.concatenate(([True], (least[1:] < least[:-1]) | (triples[: len(least) - 1] == least[:-1])))
+    begin = np.flatnonzero(new)
     end = np.concatenate((begin[1:], [n - window + 1])) + window - 1
-    return g[at[begin]].view(np.int64), begin, end
+    return least[begin].view(np.int64), begin, end
 
 
 class Bits:
@@ -136,25 +145,27 @@ class FMIndex:
         rank, have = text.astype(np.int64), 1
         self.n, self.sigma = n, int(rank.max()) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(rank, minlength=self.sigma))))[:-1]
-        for want in (2, 4, 8, 16, 32, 64):
-            want = min(want, depth)
-            for target in ((depth - 1, depth) if want == depth else (want,)):
-                # order by the first ``target`` words, from orders by ``have`` >= target / 2
-                ahead = np.concatenate((rank[target - have :], np.full(target - have, -1, np.int64)))
-                key = rank * (n + 1) + ahead + 1
-                order = np.argsort(key, kind="stable")
-                sorted_ = key[order]
-                new = np.empty(n, np.int64)
-                new[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
-                if target < want:
-                    shorter = new
-                else:
-                    rank_next = new
-            rank, have = rank_next, want
-            if want == depth:
-                break
-        lower = shorter[order]
-        self.shorter = Marks(np.concatenate(([True], lower[1:] != lower[:-1])))
+
+        def ahead(k: int) -> np.ndarray:  # ranks k words on; the end is least
+            return np.concatenate((rank[k:], np.full(min(k, n), -1, np.int64))) + 1
+
+        while have < depth:
+            # order by the first ``want`` words, from ranks of ``have``: of three words at once while they are numbers
+            want = min(depth, 3 if have == 1 and self.sigma < 1 << 20 else 2 * have)
+            if want == 3 and have == 1:
+                key = (rank << 42) + (ahead(1) << 21) + ahead(2)
+            else:
+                key = rank * (n + 1) + ahead(want - have)
+            order = np.argsort(key)  # ties lie anyhow: only classes count
+            sorted_ = key[order]
+            classes = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+            if want == depth:  # where suffixes next to each other differ within depth - 1 words
+                short = rank[order], ahead(max(0, depth - 1 - have))[order]
+                marks = np.concatenate(([True], (short[0][1:] != short[0][:-1]) | (short[1][1:] != short[1][:-1])))
+            rank = np.empty(n, np.int64)
+            rank[order] = classes
+            have = want
+        self.shorter = Marks(marks)
         bwt = text[order - 1].astype(np.int64)  # the text ends in 0, so position -1 is a 0
         self.levels = []
         for bit in range(max(1, int(self.sigma - 1).bit_length()) - 1, -1, -1):
