@@ -13,6 +13,7 @@ from .merkle import OP10_SQL, op10_merkle_fingerprints
 from .mixing import op5_pfair_mixing
 from .packing import op2_kk_packing
 from .periodic import op11_periodic_runs
+from .pii import op13_pii
 from .ranked import OP12_SQL, op12_ranked_search
 from .sharding import op8_rendezvous_shards
 from .simhash import op3_simhash_dedup
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_dedup, op2_kk_packing, op3_simhash_dedup, op4_substring_dedup, op5_pfair_mixing,
         op6_url_filter, op7_language_id, op8_rendezvous_shards, op9_chat_format, op10_merkle_fingerprints,
-        op11_periodic_runs, op12_ranked_search,
+        op11_periodic_runs, op12_ranked_search, op13_pii,
     )
 }
 
