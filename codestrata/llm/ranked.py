@@ -274,7 +274,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block_bytes: int = BL
         best = best.withColumn("rank", nth).filter(F.col("rank") <= k)
         found.append(best.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score"))
     if not found:
-        return items.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
+        return items.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).filter(F.lit(False))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
