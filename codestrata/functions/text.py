@@ -60,6 +60,13 @@ def normal_path(path: Column) -> Column:
     return F.when(F.size(keep) == 0, ".").otherwise(F.array_join(keep, "/"))
 
 
+def posix_path(path: Column) -> Column:
+    """Path without repeated slashes and ``.`` segments; two leading slashes stay, ``..`` too, and nothing is ``.``."""
+    kept = F.array_join(F.filter(parts(path), lambda x: ~x.isin("", ".")), "/")
+    root = F.when(F.rlike(path, F.lit("^//(?!/)")), "//").when(F.startswith(path, F.lit("/")), "/").otherwise("")
+    return F.coalesce(F.nullif(F.concat(root, kept), F.lit("")), F.when(path.isNotNull(), "."))
+
+
 def file_order(path: Column) -> Column:
     """Sort key of a walk that lists the files of a folder before its subfolders."""
     p = parts(path)

@@ -146,6 +146,12 @@ FRAMES = (
 ERROR = r"(?U)^([\w.$]*Error|[\w.$]*Exception|panic)(?::\s*(.*))?$"
 
 
+def frame_path(path: Column) -> Column:
+    """The file of a frame without white space around it, ``.`` segments and repeated slashes; addresses of bundles stay."""
+    bare = X.strip(path)
+    return F.when(F.startswith(bare, F.lit("webpack://")), bare).otherwise(X.posix_path(bare))
+
+
 def trace_lines(traces: DataFrame) -> DataFrame:
     """(trace_id, pos, raw, frame or error) of each line of (trace_id, text)."""
     rows = traces.select("trace_id", F.posexplode(X.lines(X.strip(F.col("text")))).alias("pos", "raw"))
@@ -153,9 +159,9 @@ def trace_lines(traces: DataFrame) -> DataFrame:
     for lang, pattern, file, line, column, function in FRAMES:
         g = lambda k: F.regexp_extract(raw, pattern, k)  # noqa: B023, E731
         value = F.struct(
-            F.regexp_replace(g(file), "^file://", "").alias("file_path"), g(line).cast("int").alias("line"),
+            frame_path(F.regexp_replace(g(file), "^file://", "")).alias("file_path"), g(line).cast("int").alias("line"),
             (g(column).cast("int") if column else F.lit(None).cast("int")).alias("column"),
-            (F.nullif(g(function), F.lit("")) if function else F.lit(None).cast("string")).alias("function"), F.lit(lang).alias("language"),
+            (F.when(g(function) != "", X.strip(g(function))) if function else F.lit(None).cast("string")).alias("function"), F.lit(lang).alias("language"),
         )
         fits = F.rlike(raw, F.lit(pattern))
         frame = F.when(fits, value) if frame is None else frame.when(fits, value)
@@ -166,7 +172,7 @@ def trace_lines(traces: DataFrame) -> DataFrame:
 
 
 def parse_traces(traces: DataFrame) -> DataFrame:
-    """One row a trace: language (most frames, first seen wins), last error, message, frames, files."""
+    """One row a trace: language (most frames, first seen wins; unknown without frames), last error, message, frames, files."""
     rows = trace_lines(traces)
     frames = rows.filter(F.col("frame").isNotNull())
     counts = frames.groupBy("trace_id", "frame.language").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
@@ -180,7 +186,7 @@ def parse_traces(traces: DataFrame) -> DataFrame:
         "frames": F.transform("_f", lambda f: F.struct(f["frame"]["file_path"].alias("file_path"), f["frame"]["line"].alias("line"), f["frame"]["column"].alias("column"), f["frame"]["function"].alias("function"), f["frame"]["language"].alias("language"), X.strip(f["raw"]).alias("raw"))),
         "files": F.array_distinct(F.transform("_f", lambda f: f["frame"]["file_path"])),
     }).drop("_f")
-    return out.join(mode, "trace_id", "left")
+    return out.join(mode, "trace_id", "left").withColumn("language", F.coalesce("language", F.lit("unknown")))
 
 
 def changed_lines(diff: Column) -> Column:

@@ -140,7 +140,7 @@ def neighbours(spark, d):
 
 CYCLES = duck("rings", recursive=True) + """, e AS (SELECT DISTINCT source AS s, target AS t FROM rings WHERE source <> target),
 p AS (SELECT [s, t] AS files, t AS last FROM e WHERE t > s
-  UNION ALL SELECT list_append(p.files, e.t), e.t FROM p JOIN e ON e.s = p.last WHERE e.t > p.files[1] AND NOT list_contains(p.files, e.t) AND len(p.files) < 12),
+  UNION ALL SELECT list_append(p.files, e.t), e.t FROM p JOIN e ON e.s = p.last WHERE e.t > p.files[1] AND NOT list_contains(p.files, e.t)),
 c AS (SELECT files FROM p JOIN e ON e.s = p.last AND e.t = p.files[1])"""
 
 
@@ -645,9 +645,9 @@ def dead_stats(spark, d):
 # --- stack traces
 
 
-@query(duck("files", "traces") + """ SELECT doc_id AS trace_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'go' END AS language,
+@query(duck("files", "traces") + """ SELECT doc_id AS trace_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'go' ELSE 'unknown' END AS language,
   CASE doc_id % 5 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'TypeError' WHEN 2 THEN 'IOException' WHEN 3 THEN 'panic' END AS error_type, CASE doc_id % 5 WHEN 0 THEN 'bad ' || doc_id WHEN 1 THEN 'no ' || doc_id WHEN 2 THEN 'x' WHEN 3 THEN 'boom ' || doc_id END AS message,
-  CASE doc_id % 5 WHEN 2 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_frames, CASE doc_id % 5 WHEN 0 THEN '/srv/app/' || path || '|/lib/x.py' WHEN 1 THEN '/srv/' || path WHEN 2 THEN 'A' || doc_id || '.java' WHEN 3 THEN path || '.go|main.go' ELSE '' END AS files FROM files""")
+  CASE doc_id % 5 WHEN 2 THEN 1 WHEN 4 THEN 0 ELSE 2 END AS n_frames, CASE doc_id % 5 WHEN 0 THEN '/srv/app/' || path || '|' || CASE WHEN doc_id % 10 = 0 THEN 'webpack://lib//./x.py' WHEN doc_id % 3 = 0 THEN 'C:' || chr(92) || 'lib' || chr(92) || 'x.py' ELSE '//lib/x.py' END WHEN 1 THEN '/srv/' || path WHEN 2 THEN 'A' || doc_id || '.java' WHEN 3 THEN path || '.go|main.go' ELSE '' END AS files FROM files""")
 def stack_traces(spark, d):
     t = parse.parse_traces(view(spark, d, "traces"))
     return t.select("trace_id", "language", "error_type", "message", F.size("frames").alias("n_frames"), F.array_join("files", "|").alias("files"))
@@ -714,7 +714,7 @@ def pr_report(spark, d):
     return review.pr_report(*_pr(spark, d, MANY, 450), 450).drop("recommendations", "summary").withColumn("confidence", F.round("confidence", 9))
 
 
-ARCH = KEY.replace(duck("files", "edges", "symbols"), duck("files", "edges", "symbols"), 1) + VIOLATIONS + _changed(FEW).format(a=0.74, b=0.66, s=0.96) + """, keys AS (SELECT *, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth FROM k ORDER BY nth LIMIT 8),
+ARCH = KEY + VIOLATIONS + "{changed}" + """, keys AS (SELECT *, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth FROM k ORDER BY nth LIMIT 8),
 imp AS (SELECT path, CASE split_part(path, '/', 1) WHEN 'components' THEN 'ui' WHEN 'api' THEN 'api' WHEN 'services' THEN 'service' WHEN 'repositories' THEN 'persistence' WHEN 'tests' THEN 'test' ELSE 'source' END AS layer
   FROM (SELECT path, CASE WHEN score = 0.96 AND path IN (SELECT path FROM keys) THEN 0.99 ELSE score END AS score FROM every) ORDER BY score DESC, path LIMIT 12),
 near AS (SELECT *, row_number() OVER (ORDER BY %s, source, target) AS nth FROM w WHERE source IN (SELECT path FROM imp) OR target IN (SELECT path FROM imp) QUALIFY nth <= 12),
@@ -726,26 +726,30 @@ found AS (SELECT 0 AS section, 0 AS nth, 'layer_spread' AS category, 'high' AS s
 listed AS (SELECT * FROM found ORDER BY section, nth LIMIT 12)""" % SEVERITY
 
 
-def _arch(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _arch_sql(where: str) -> str:
+    return ARCH.replace("{changed}", _changed(where).format(a=0.74, b=0.66, s=0.96))
+
+
+def _arch(spark, d, where: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     files, edges = view(spark, d, "files"), view(spark, d, "edges")
-    changed = files.filter(FEW).select(F.col("doc_id").alias("pos"), "path")
+    changed = files.filter(where).select(F.col("doc_id").alias("pos"), "path")
     keys = reports.key_files(files, view(spark, d, "symbols"), edges)
     hit = impact.arch_impact(changed, edges, keys)
     near = review.scoped(findings.violations(edges), hit).orderBy(findings.rank(F.col("severity")), "source", "target").limit(review.MAX_ITEMS)
     return changed, hit, review.arch_findings(changed, hit, keys, edges, near), near
 
 
-@query(ARCH + " SELECT category, severity, path FROM listed")
+@query(_arch_sql(FEW) + " SELECT category, severity, path FROM listed")
 def arch_findings(spark, d):
-    return _arch(spark, d)[2].select("category", "severity", "path")
+    return _arch(spark, d, FEW)[2].select("category", "severity", "path")
 
 
-@query(ARCH + """, n AS (SELECT (SELECT count(*) FROM seed) AS changed_file_count, (SELECT count(*) FROM imp) AS impacted_file_count, (SELECT count(*) FROM near) AS violation_count, count(*) AS finding_count, sum(%s) AS points FROM listed),
-s AS (SELECT *, (least(changed_file_count * 6, 24) + least(greatest(impacted_file_count - changed_file_count, 0) * 8, 28) + least(points, 52))::INT AS risk_score FROM n)
+@query(_arch_sql(MANY) + """, n AS (SELECT (SELECT count(*) FROM seed) AS changed_file_count, (SELECT count(*) FROM imp) AS impacted_file_count, (SELECT count(*) FROM near) AS violation_count, count(*) AS finding_count, sum(%s) AS points FROM listed),
+s AS (SELECT *, least(100, least(changed_file_count * 6, 24) + least(greatest(impacted_file_count - changed_file_count, 0) * 8, 28) + least(points, 52))::INT AS risk_score FROM n)
 SELECT changed_file_count, impacted_file_count, violation_count, finding_count, risk_score, %s AS risk_level,
   least(0.94, 0.5 + least(changed_file_count, 5) * 0.05 + least(finding_count, 4) * 0.04 + least(violation_count, 3) * 0.03)::DOUBLE AS confidence FROM s""" % (POINTS, LEVEL))
 def arch_report(spark, d):
-    return review.arch_report(*_arch(spark, d)).drop("recommendations", "summary").withColumn("confidence", F.round("confidence", 9))
+    return review.arch_report(*_arch(spark, d, MANY)).drop("recommendations", "summary").withColumn("confidence", F.round("confidence", 9))
 
 
 # --- summary and chunks

@@ -55,13 +55,13 @@ CODE = """
 # Wide classes: the methods of a class of each fiftieth file.
 MEMBERS = """
   SELECT path, k AS sym_ord, 'method' AS kind, 'get_' || k AS name, k + 1 AS line, k + 1 AS end_line, 'sym' || (doc_id % 7) || '_1' AS parent FROM (SELECT doc_id, path, %s AS k FROM files WHERE doc_id % 50 IN (1, 2, 3)) x"""
-# A stack trace a document, in four languages and without frames.
+# A stack trace a document, in four languages and without frames; paths with blanks, dots, doubled slashes, of bundles and drives.
 TRACES = """
   SELECT doc_id AS trace_id, CASE doc_id % 5
-    WHEN 0 THEN 'Traceback' || chr(10) || '  File "/srv/app/' || path || '", line ' || (doc_id % 90 + 1) || ', in go' || chr(10) || '  File "/lib/x.py", line 3, in call' || chr(10) || 'ValueError: bad ' || doc_id
-    WHEN 1 THEN 'TypeError: no ' || doc_id || chr(10) || '  at Page.show (/srv/' || path || ':' || (doc_id % 90 + 1) || ':7)' || chr(10) || '  at next (file:///srv/' || path || ':1:2)'
+    WHEN 0 THEN 'Traceback' || chr(10) || '  File " /srv//app/./' || path || ' ", line ' || (doc_id % 90 + 1) || ', in go' || chr(10) || '  File "' || CASE WHEN doc_id % 10 = 0 THEN 'webpack://lib//./x.py' WHEN doc_id % 3 = 0 THEN 'C:' || chr(92) || 'lib' || chr(92) || 'x.py' ELSE '//lib/x.py' END || '", line 3, in call ' || chr(10) || 'ValueError: bad ' || doc_id
+    WHEN 1 THEN 'TypeError: no ' || doc_id || chr(10) || '  at Page.show (/srv/' || path || ':' || (doc_id % 90 + 1) || ':7)' || chr(10) || '  at next (file:///srv/./' || path || ':1:2)'
     WHEN 2 THEN 'java.lang.IllegalStateException: x' || chr(10) || '  at com.acme.A.b(A' || doc_id || '.java:' || (doc_id % 90 + 1) || ')' || chr(10) || 'Caused by' || chr(10) || 'IOException'
-    WHEN 3 THEN 'panic: boom ' || doc_id || chr(10) || chr(9) || path || '.go:' || (doc_id % 90 + 1) || ' +0x1' || chr(10) || chr(9) || 'main.go:2'
+    WHEN 3 THEN 'panic: boom ' || doc_id || chr(10) || chr(9) || './/' || path || '.go:' || (doc_id % 90 + 1) || ' +0x1' || chr(10) || chr(9) || 'main.go:2'
     ELSE 'nothing to see' END AS text FROM files"""
 
 DUCK = {

@@ -507,3 +507,21 @@ def test_entry_without_corpus_operators(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() == 10
+
+
+def test_architecture_risk_is_capped(spark):
+    from codestrata.operators import impact
+
+    n = lambda k: F.lit(k)
+    rows = spark.range(1).select(impact.arch_risk(n(9), n(40), n(500)).alias("most"), impact.arch_risk(n(1), n(1), n(4)).alias("little")).first()
+    assert (rows.most, rows.little) == (100, 10)
+
+
+def test_frames_of_odd_paths(spark):
+    from codestrata.operators import parse
+
+    text = "\n".join(f'  File "{p}", line 3, in go ' for p in ("./src//a.ts", " src/b.ts ", "webpack://x/./a.ts", "C:\\a\\b.py", "//net/a.py", "///a.py", ".", "../a/../b.py"))
+    rows = spark.createDataFrame([(1, text), (2, "nothing"), (3, "")], "trace_id long, text string")
+    got = {r.trace_id: r for r in parse.parse_traces(rows).collect()}
+    assert got[1].files == ["src/a.ts", "src/b.ts", "webpack://x/./a.ts", "C:\\a\\b.py", "//net/a.py", "/a.py", ".", "../a/../b.py"]
+    assert {f.function for f in got[1].frames} == {"go"} and got[1].language == "python" and got[2].language == "unknown"
