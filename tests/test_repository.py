@@ -300,7 +300,7 @@ def test_traces(spark):
     f = got[2].frames[0]
     assert (got[2].language, f.file_path, f.line, f.column, f.function) == ("javascript", "/repo/frontend/app/checkout.tsx", 18, 11, "Checkout.submit")
     assert (got[3].language, got[3].error_type, got[3].message, len(got[3].files)) == ("java", "java.lang.NullPointerException", "user was null", 2)
-    assert got[4].language == "go" and got[4].error_type == "panic" and got[5].language is None
+    assert got[4].language == "go" and got[4].error_type == "panic" and got[5].language == "unknown"
 
 
 def test_bug_impact(spark):
