@@ -42,10 +42,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, segments (array of text and loss) of ``turns`` (conv_id, turn, role, text)."""
     rows = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"),
-        F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("~3")).alias("role"),
-        escape(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # in the order of the texts as they are: escapes sort otherwise
+    chats = chats.withColumn("turns", F.transform("turns", lambda t: F.struct(
+        F.replace(escape(t["role"]), F.lit("\n"), F.lit("~3")).alias("role"), escape(t["text"]).alias("text"))))
     role = lambda k: F.try_element_at("turns", k)["role"]
 
     def pieces(turn: Column, k: Column) -> Column:
@@ -102,7 +104,7 @@ WITH t AS (
   SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS before,
     length(text) + length(regexp_extract_all(text, '~'))
       + length(regexp_extract_all(text, '<\|im_start\|>|<\|im_more\|>|<\|im_end\|>|</?s>|<</?SYS>>|<\|endoftext\|>|</?SYS>>|\[/?INST\]')) AS chars
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,

@@ -140,8 +140,11 @@ def in_written_order(docs: DataFrame, part_rows: int = FILE_ROWS // 2) -> DataFr
     names and of the rows within.  Rows of another origin keep the order in which they come.
     """
     names, n = docs.columns, max(1, -(-docs.count() // part_rows))
-    row, file = {"__order_row": F.monotonically_increasing_id()}, F.input_file_name()
-    at = {"__order_part": F.coalesce(F.nullif(F.regexp_extract(file, r"part-(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(-1)), "__order_file": file, "__order_block": F.input_file_block_start(), **row}
+    own = "__order"
+    while any(c.lower().startswith(own) for c in names):
+        own += "_"
+    row, file = {f"{own}_row": F.monotonically_increasing_id()}, F.input_file_name()
+    at = {f"{own}_part": F.coalesce(F.nullif(F.regexp_extract(file, r"part-(\d+)[^/]*$", 1), F.lit("")).cast("long"), F.lit(-1)), f"{own}_file": file, f"{own}_block": F.input_file_block_start(), **row}
     try:
         out = docs.withColumns(at)
     except AnalysisException:  # made of several sources: there is no one file to name

@@ -452,12 +452,14 @@ def dedup_texts(docs: DataFrame, rejoin: bool = False, hot: int = HOT_ANCHOR, to
     key = ["__dedup_id", "__dedup_th"]
     names = docs.columns
     text = F.col("text").cast("string")
+    # columns go by their places, so that none clashes with the names of this function
+    at, own = names.index("text"), [f"c{i}" for i in range(len(names))]
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias(key[0]), F.xxhash64(text).alias(key[1]),
-        *[text.alias("text") if c == "text" else F.col(c) for c in names],
+        *[(text if i == at else F.col(f"`{c}`")).alias(own[i]) for i, c in enumerate(names)],
     )
     n_shards = max(8, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES))
-    anchors = rows.select(*key, "text").mapInArrow(_anchors, "key long, anchor long, n long, docs binary")
+    anchors = rows.select(*key, own[at]).mapInArrow(_anchors, "key long, anchor long, n long, docs binary")
     anchors = anchors.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).filter("n = 0 OR total > 1")
     is_hot = F.col("total") > hot
     anchors = checkpoint(anchors.filter((F.octet_length("docs") > 0) | is_hot).select("anchor", "docs", "n", is_hot.alias("hot")))
@@ -469,12 +471,12 @@ def dedup_texts(docs: DataFrame, rejoin: bool = False, hot: int = HOT_ANCHOR, to
     wanted = wanted.mapInArrow(_unpack, f"{key[0]} long, {key[1]} long, anchor long, hot boolean")
     wanted = wanted.groupBy(*key).agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("frequent"))
     # both joins read the same exchange of the texts: left joins, and all columns each time
-    found = rows.join(wanted, key, "left").mapInArrow(_segments(n_shards, 2 + names.index("text"), 2 + len(names)), SEGMENT)
+    found = rows.join(wanted, key, "left").mapInArrow(_segments(n_shards, 2 + at, 2 + len(names)), SEGMENT)
     spans = found.groupBy("shard").applyInPandas(_shard, f"{key[0]} long, {key[1]} long, start int, stop int")
     spans = spans.groupBy(*key).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     kind = "struct<n_words: long, n_removed: long, spans: array<struct<start: int, stop: int>>>"
-    out = T.StructType([*rows.select(*names).schema.fields, T.StructField(told, T._parse_datatype_string(kind))])
-    return rows.join(spans, key, "left").mapInArrow(_apply(2 + names.index("text"), to_arrow_schema(out), rejoin), out)
+    out = T.StructType([*docs.withColumn("text", text).schema.fields, T.StructField(told, T._parse_datatype_string(kind))])
+    return rows.join(spans, key, "left").mapInArrow(_apply(2 + at, to_arrow_schema(out), rejoin), out)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

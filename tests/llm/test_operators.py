@@ -791,3 +791,25 @@ def test_pipeline_near_duplicates_with_repeated_ids(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(1, a, "x"), (5, b, "y"), (7, c, "z"), (None, a, "n"), (None, None, None), (9, None, "e")], key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_chat_order_of_ties(spark):
+    """Ties go by the texts as they are, not as escaped; null turns come first."""
+    rows = [(1, 5, "user", "abc"), (1, 5, "user", "<s>x"), (1, 5, "user", "~"), (1, None, "user", "zzz"), (1, 5, "assistant", "[INST]")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(turns).select(chat.read_turns(F.col("formatted")).alias("t")).first().t
+    assert [tuple(t) for t in got] == [(r, t) for _, _, r, t in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3].encode()))]
+
+
+def test_reserved_names_of_other_columns(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, words + f" own{i}", i * 10, f"t{i}", -i, "s", [1], [2]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __dedup_id long, __DEDUP_TH string, key long, starts string, c0 array<int>, c1 array<int>")
+    out = substring.dedup_texts(docs)
+    assert out.columns[:-1] == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(tuple(got[i])[2:-1] == rows[i][2:] for i in range(4)) and [got[i].text for i in range(4)] == [rows[0][1], "own1", "own2", "own3"]
+    kept = spark.createDataFrame([(i, 100 - i, "p", 7) for i in range(50)], "doc_id long, __order_row long, __order_part string, __Order__file int")
+    kept.coalesce(1).write.parquet(f"{tmp_path}/x")
+    back = mixing.in_written_order(spark.read.parquet(f"{tmp_path}/x"))
+    assert back.columns == kept.columns and [tuple(r) for r in back.collect()] == [(i, 100 - i, "p", 7) for i in range(50)]
