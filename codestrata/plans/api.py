@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
+from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
 from ..sources import repository
 
 
@@ -16,7 +16,7 @@ class Repository:
     """A scanned repository.  Tables are parsed once and kept; close() frees them."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, name: str = "repository", embedder: Callable | None = chunks.topic_embedding, syntax: bool = False):
-        """``syntax`` reads Python files by their syntax tree instead of line by line."""
+        """``syntax`` reads Python files by their syntax tree, and types and callables of brace languages by their blocks, instead of line by line."""
         self.spark, self.name, self.embedder, self.syntax = spark, name, embedder, syntax
         self.entries = files.persist()
 
@@ -54,7 +54,10 @@ class Repository:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return parse.symbols_of(self.parsed)
+        rows = parse.symbols_of(self.parsed)
+        if not self.syntax:
+            return rows
+        return blocks.with_spans(rows, repository.read_text(self.files.filter(F.col("language").isNotNull()), "replace").select("path", "text"))
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
+from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
 from ..sources import repository
 from .session import passing_folder, settle
 from .virtual import duck, view
@@ -309,10 +309,33 @@ def complexity(spark, d):
     return table(spark, d, "documents").select("doc_id", findings.complexity(F.col("text")).alias("complexity"))
 
 
-DEBT = CYCLES.replace("WITH RECURSIVE ", "WITH RECURSIVE " + duck("files", "edges", "symbols", "members").removeprefix("WITH ") + ", ") + """,
-all_symbols AS (SELECT path, kind, name, line, end_line, NULL AS parent FROM symbols UNION ALL SELECT path, kind, name, line, end_line, parent FROM members),
-dn AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM files),
-db AS (SELECT s.path, s.line, lower(array_to_string(string_split(text, chr(10))[s.line:s.end_line], chr(10))) AS t FROM all_symbols s JOIN files f ON f.path = s.path WHERE kind IN ('function', 'method')),
+# declarations line by line: a block ends with the first line that returns to the depth before its own
+SPANS = duck("braces") + r""", bl AS (SELECT path, lang, i AS line, x[i] AS s FROM (SELECT path, x, regexp_extract(path, '[a-z]+$') AS lang, unnest(range(1, len(x) + 1)) AS i FROM (SELECT path, string_split(text, chr(10)) AS x FROM braces))),
+bm AS (SELECT *, regexp_replace(s, '"[^"]*"|`[^`]*`|//.*$|/\*.*\*/', '', 'g') AS m FROM bl),
+bd AS (SELECT *, sum(length(replace(m, '}', '')) - length(replace(m, '{', ''))) OVER (PARTITION BY path ORDER BY line) AS after FROM bm),
+bh AS (SELECT *, CASE lang
+    WHEN 'ts' THEN CASE WHEN regexp_matches(m, '^export interface ') THEN 'interface' WHEN regexp_matches(m, '^export class ') THEN 'class' WHEN regexp_matches(m, '^function ') THEN 'function' WHEN regexp_matches(m, '^  \w+\(.*\{$') THEN 'method' END
+    WHEN 'java' THEN CASE WHEN regexp_matches(m, '^interface ') THEN 'interface' WHEN regexp_matches(m, '^public class ') THEN 'class' WHEN regexp_matches(m, '^  [\w<>]+( [\w<>]+)* \w+\([^)]*\)( \{|;)$') THEN 'method' END
+    WHEN 'go' THEN CASE WHEN regexp_matches(m, '^type ') THEN 'class' WHEN regexp_matches(m, '^func \(') THEN 'method' WHEN regexp_matches(m, '^func ') THEN 'function' END
+    WHEN 'rs' THEN CASE WHEN regexp_matches(m, '^pub struct ') THEN 'class' WHEN regexp_matches(m, '^trait ') THEN 'interface' WHEN regexp_matches(m, '^impl ') THEN 'impl' WHEN regexp_matches(m, '^ +fn ') THEN 'method' END
+    ELSE CASE WHEN regexp_matches(m, '^struct ') THEN 'class' WHEN regexp_matches(m, '^static int ') THEN 'function' END END AS kind,
+  regexp_extract(m, CASE WHEN lang = 'rs' AND starts_with(m, 'impl') THEN 'for (\w+)' WHEN regexp_matches(m, '\b(class|interface|struct|trait|type) ') THEN '(?:class|interface|struct|trait|type) (\w+)' ELSE '(\w+)\([^()]*\)[^()]*$' END, 1) AS name FROM bd),
+be AS (SELECT h.*, CASE WHEN m LIKE '%;' AND m NOT LIKE '%{%' THEN h.line ELSE (SELECT min(d.line) FROM bd d WHERE d.path = h.path AND d.line > h.line AND d.after < h.after) END AS end_line FROM bh h WHERE kind IS NOT NULL),
+bs AS (SELECT path, kind, name, line, end_line, lang = 'ts' AND starts_with(s, 'export') AS exported, (SELECT arg_max(p.name, p.line) FROM be p WHERE p.path = e.path AND p.line < e.line AND p.end_line >= e.end_line) AS parent,
+  CASE WHEN lang IN ('ts', 'java') THEN array_to_string(regexp_extract_all(regexp_extract(s, ' (extends .*)\{', 1), '\b(Base|Shape\d*)\b'), ',') ELSE '' END AS inherits, length(regexp_extract(s, '^ *')) AS col FROM be e WHERE kind <> 'impl')"""
+
+
+@query(SPANS + " SELECT path, kind, name, line::INT AS line, end_line::INT AS end_line, col::INT AS col, parent, exported, inherits FROM bs")
+def brace_symbols(spark, d):
+    s = blocks.declarations(view(spark, d, "braces"))
+    return s.select("path", "kind", "name", "line", "end_line", "col", "parent", "exported", F.array_join("inherits", ",").alias("inherits"))
+
+
+DEBT = CYCLES.replace("WITH RECURSIVE ", "WITH RECURSIVE " + duck("files", "edges", "symbols", "members").removeprefix("WITH ") + ", " + SPANS.removeprefix("WITH ") + ", ") + """,
+all_symbols AS (SELECT path, kind, name, line, end_line, NULL AS parent FROM symbols UNION ALL SELECT path, kind, name, line, end_line, parent FROM members UNION ALL SELECT path, kind, name, line, end_line, parent FROM bs),
+all_files AS (SELECT path, text FROM files UNION ALL SELECT path, text FROM braces),
+dn AS (SELECT path, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM all_files),
+db AS (SELECT s.path, s.line, lower(array_to_string(string_split(text, chr(10))[s.line:s.end_line], chr(10))) AS t FROM all_symbols s JOIN all_files f ON f.path = s.path WHERE kind IN ('function', 'method')),
 dc AS (SELECT path, line, 1 + %s AS score FROM db),
 a AS (SELECT 'large_file' AS category, CASE WHEN n >= 1000 THEN 'high' ELSE 'medium' END AS severity, path, NULL::INT AS line, 0 AS rule_ord FROM dn WHERE n >= 500
   UNION ALL SELECT 'parse_error', 'high', path, NULL, 0 FROM files WHERE doc_id %% 333 = 7
@@ -325,16 +348,17 @@ a AS (SELECT 'large_file' AS category, CASE WHEN n >= 1000 THEN 'high' ELSE 'med
 SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
-def _members(spark, d) -> DataFrame:
+def _members(spark, d, braces: DataFrame) -> DataFrame:
     symbols, members = view(spark, d, "symbols"), view(spark, d, "members")
-    return symbols.unionByName(members, allowMissingColumns=True)
+    return symbols.unionByName(members, allowMissingColumns=True).unionByName(blocks.declarations(braces).drop("sym_ord"), allowMissingColumns=True)
 
 
 def _debt(spark, d) -> tuple[DataFrame, DataFrame]:
-    """All categories: cycles of the rings, methods of the wide classes, some files marked as not parsed."""
-    files, symbols = view(spark, d, "files"), _members(spark, d)
+    """All categories: cycles of the rings, methods of the wide classes, spans of brace languages, some files marked as not parsed."""
+    braces = view(spark, d, "braces")
+    files, symbols = view(spark, d, "files").unionByName(braces, allowMissingColumns=True), _members(spark, d, braces)
     scored = findings.complexities(files, symbols)
-    errors = files.filter("doc_id % 333 = 7").select("path")
+    errors = view(spark, d, "files").filter("doc_id % 333 = 7").select("path")
     return findings.debt_findings(files, symbols, view(spark, d, "edges"), graphs.cycles(view(spark, d, "rings")), errors, scored), scored
 
 

@@ -52,6 +52,20 @@ CODE = """
   SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'web/m' || doc_id || '.ts' WHEN doc_id % 10 = 9 THEN 'app/m' || doc_id || '/__init__.py' ELSE 'app/m' || doc_id || '.py' END AS path,
     CASE WHEN doc_id % 4 = 3 THEN 'TypeScript' ELSE 'Python' END AS language, CASE WHEN doc_id % 4 = 3 THEN {ts} ELSE {py} END AS text
   FROM documents CROSS JOIN (SELECT count(*) AS n FROM documents) y""".replace("{ts}", " || chr(10) || ".join(TYPESCRIPT)).replace("{py}", " || chr(10) || ".join(PYTHON))
+# Files of five brace languages, with braces in strings and comments, and bodies of 0 to 169 more lines.
+MORE = "CASE WHEN doc_id % 170 > 0 THEN chr(10) || repeat('    step(1); // }' || chr(10), CAST(doc_id % 170 - 1 AS INT)) || '    step(2); /* { */' ELSE '' END"
+BRACES = {
+    0: ("ts", "'import x from \"./x\"'", "'export interface Shape' || (doc_id % 7) || ' extends Base {'", "'  area: number;'", "'}'", "'export class Box' || (doc_id % 7) || ' extends Base implements Shape' || (doc_id % 7) || ' {'",
+        "'  grow(n: number): string {'", "'    const s = \"}{\"; // {' || {more}", "'    if (n) {'", "'      return `}`;'", "'    }'", "'  }'", "'}'", "'function help' || (doc_id % 5) || '(a) {'", "'  return a;'", "'}'"),
+    1: ("java", "'import java.util.List;'", "'public class Box' || (doc_id % 7) || ' extends Base implements Shape {'", "'  private int n;'", "'  public List<String> grow(int n) {'", "'    String s = \"}{\";' || {more}",
+        "'    for (int i = 0; i < n; i++) {'", "'      step(i);'", "'    }'", "'    return make(s);'", "'  }'", "'}'", "'interface Shape' || (doc_id % 7) || ' {'", "'  int area(int a);'", "'}'"),
+    2: ("go", "'package box'", "'type Box' || (doc_id % 7) || ' struct {'", "'  N int'", "'}'", "'func (b Box) Grow(n int) string {'", "'  s := \"}{\"' || {more}", "'  if n > 0 {'", "'    step(n)'", "'  }'", "'  return s'", "'}'", "'func help' || (doc_id % 5) || '() {'", "'}'"),
+    3: ("rs", "'pub struct Box' || (doc_id % 7) || ' {'", "'  n: i32,'", "'}'", "'trait Shape {'", "'  fn area(&self) -> i32;'", "'}'", "'impl Shape for Box {'", "'  fn grow(&self) -> i32 {'", "'    let s = \"}{\";' || {more}",
+        "'    if self.n > 0 {'", "'      step(1);'", "'    }'", "'    1'", "'  }'", "'}'"),
+    4: ("c", "'#include <a.h>'", "'struct Box' || (doc_id % 7) || ' {'", "'  int n;'", "'};'", "'/* int no(void) { */'", "'static int grow(int n) {'", "'  char *s = \"}{\";' || {more}", "'  if (n) {'", "'    step(n);'", "'  }'", "'  return n;'", "'}'"),
+}
+BRACE = "SELECT doc_id, 'lib/b' || doc_id || CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '.{v[0]}'" for k, v in BRACES.items()) + " END AS path, CASE doc_id % 5 " + " ".join(
+    f"WHEN {k} THEN " + " || chr(10) || ".join(v[1:]).replace("{more}", MORE) for k, v in BRACES.items()) + " END AS text FROM documents"
 # Wide classes: the methods of a class of each fiftieth file.
 MEMBERS = """
   SELECT path, k AS sym_ord, 'method' AS kind, 'get_' || k AS name, k + 1 AS line, k + 1 AS end_line, 'sym' || (doc_id % 7) || '_1' AS parent FROM (SELECT doc_id, path, %s AS k FROM files WHERE doc_id % 50 IN (1, 2, 3)) x"""
@@ -67,12 +81,12 @@ TRACES = """
 DUCK = {
     "files": FILES.replace("%s", "strlen(text)"), "edges": DEPENDENCIES.replace("%s", "unnest(range(0, doc_id % 10 + 1))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "unnest(range(1, doc_id % 4 + 1))"), "nodes": NODES.format(m="(3 * n // 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES,
+    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES, "braces": BRACE,
 }
 SPARK = {
     "files": FILES.replace("%s", "octet_length(text)"), "edges": DEPENDENCIES.replace("%s", "explode(sequence(0, doc_id % 10))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "explode(slice(array(1, 2, 3), 1, cast(doc_id % 4 AS int)))"), "nodes": NODES.format(m="(3 * n div 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES,
+    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES, "braces": BRACE,
 }
 
 
