@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,24 +135,52 @@ MAX_CONTRIBUTIONS, MAX_SCANNED_BYTES = 50, 512_000
 KINDS = ("bug", "security", "code_smell", "missing_test", "missing_docs", "performance")
 
 
+# What a match of each pattern holds, in the order of the patterns.
+NEEDED = (
+    ("except",), ("except Exception",), ("TODO", "FIXME", "HACK", "XXX", "BUG"), ("has_key", "in"), ("None",), ("print",), ("pass",), ("global",), ("except",), ("eval",), ("exec",), ("shell",),
+    ("subprocess.call", "os.system", "os.popen"), ("pickle.load",), ("yaml.load",), ("assert",), ("verify", "VERIFY_NONE"), ("pass",), ("pass",), ("pass",), ("print",), ("ignore",), (".encode(",), (".append(",), ("+=",), ("import",),
+)
+#: Begins each match while lines are counted; a text that holds it has its neighbour instead.
+MARK, OTHER = "\ue000", "\ue001"
+
+
+def java_pattern(pattern: str, flags: int = 0) -> str:
+    """A pattern of this module for Spark: line ends are \\n alone, words and white space are those of Unicode."""
+    word, space = r"[\p{L}\p{N}_]", r"[\s\x1c-\x1f]"
+    if pattern.startswith(r"\b"):
+        pattern = rf"(?<!{word})" + pattern[2:]
+    pattern = pattern.replace(r"\b", rf"(?!{word})").replace(r"\w", word).replace(r"\s", space)
+    return ("(?dUm)" if flags & re.M else "(?dU)") + pattern
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """The files whose texts are searched."""
+    return files.filter(F.col("text").isNotNull() & (F.col("size_bytes") <= MAX_SCANNED_BYTES))
+
+
 def contribution_findings(files: DataFrame) -> DataFrame:
-    """kind, category, severity, path, line, evidence, rule_ord of each match in (path, text), and Python files of over 20 lines without a docstring."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = [(k, kind, cat, sev, re.compile(p, f)) for k, (kind, cat, sev, p, f) in enumerate(PATTERNS)]
-        for part in batches:
-            out = []
-            for path, text in zip(part["path"], part["text"]):
-                lines = text.splitlines()
-                if path.lower().endswith(".py") and len(lines) > 20 and '"""' not in text and "'''" not in text:
-                    out.append(("missing_docs", "missing_docs", "low", path, 1, "", len(rules)))
-                for k, kind, cat, sev, pattern in rules:
-                    for m in pattern.finditer(text):
-                        at = text.count("\n", 0, m.start()) + 1
-                        out.append((kind, cat, sev, path, at, (lines[at - 1].strip() if at <= len(lines) else "")[:200], k))
-            yield pd.DataFrame(out, columns=["kind", "category", "severity", "path", "line", "evidence", "rule_ord"])
-
-    rows = files.filter(F.col("text").isNotNull() & (F.col("size_bytes") <= MAX_SCANNED_BYTES)).select("path", "text")
-    return rows.mapInPandas(run, "kind string, category string, severity string, path string, line int, evidence string, rule_ord int")
+    """kind, category, severity, path, line, evidence, rule_ord of each match in (path, text), and Python files of over 20 lines without a docstring.
+
+    A pattern marks the beginnings of its matches, and the marks of each line are counted: one
+    projection, in time linear in the text.  A text without what every match of a pattern
+    holds is not searched for it, and a text that holds nothing of any is not cut into lines.
+    """
+    text = F.replace(F.col("text"), F.lit(MARK), F.lit(OTHER))
+    rows = read_files(files).select("path", text.alias("text"), X.lines(F.col("text")).alias("lines"))
+    found = []
+    for k, ((kind, category, severity, pattern, flags), needed) in enumerate(zip(PATTERNS, NEEDED)):
+        marked = F.split(F.regexp_replace("text", java_pattern(pattern, flags), MARK + "$0"), "\n", -1)
+        hits = F.filter(F.transform(marked, lambda x, i: F.struct((i + 1).alias("line"), X.count_of(x, MARK).alias("n"))), lambda h: h["n"] > 0)
+        tell = lambda h: F.struct(
+            F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), h["line"].alias("line"), h["n"].alias("n"), F.lit(k).alias("rule_ord"))  # noqa: B023
+        found.append(F.when(_any(F.col("text"), *needed), F.transform(hits, tell)))
+    none = F.struct(*[F.lit("missing_docs").alias(c) for c in ("kind", "category")], F.lit("low").alias("severity"), F.lit(0).alias("line"), F.lit(1).alias("n"), F.lit(len(PATTERNS)).alias("rule_ord"))
+    bare = F.endswith(F.lower("path"), F.lit(".py")) & (F.size("lines") > 20) & ~_any(F.col("text"), '"""', "'''")
+    found.append(F.when(bare, F.array(none)))
+    rows = rows.select("path", "lines", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("x"))
+    rows = rows.select("path", "x.*", F.coalesce(F.substring(X.strip(F.get("lines", F.col("x.line") - 1)), 1, 200), F.lit("")).alias("evidence"))
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), "n")))
+    return rows.select("kind", "category", "severity", "path", F.greatest("line", F.lit(1)).alias("line"), "evidence", "rule_ord")
 
 
 def contribution_title(category: Column) -> Column:

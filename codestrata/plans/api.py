@@ -160,7 +160,7 @@ class Repository:
         """The listed findings, and counts, score and confidence over them."""
         files = repository.read_text(self.files.filter(F.col("language").isNotNull()), "ignore")
         listed = findings.first_contributions(findings.focused(findings.contribution_findings(files), focus))
-        return listed, findings.contribution_score(listed, F.lit(files.filter(F.col("size_bytes") <= findings.MAX_SCANNED_BYTES).count()))
+        return listed, findings.contribution_score(listed, F.lit(findings.read_files(files).count()))
 
     def _names(self, names: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(names)), "pos long, query string")

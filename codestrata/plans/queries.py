@@ -581,28 +581,41 @@ def parse_errors(spark, d):
     return _parsed(spark, d, syntax=True).filter("has_error").select("path")
 
 
-CONTRIBUTION = CODE + r""", p AS (SELECT path, line, s, unnest([
-  CASE WHEN regexp_matches(s, 'TODO|FIXME|HACK|XXX|BUG') THEN {'k': 'bug', 'c': 'todo_marker', 'v': 'low'} END, CASE WHEN regexp_matches(s, '==\s*None|None\s*==') THEN {'k': 'bug', 'c': 'none_comparison', 'v': 'low'} END,
-  CASE WHEN regexp_matches(s, '\bprint\s*\(') THEN {'k': 'bug', 'c': 'debug_print', 'v': 'low'} END, CASE WHEN regexp_matches(s, '\bprint\s*\(') THEN {'k': 'code_smell', 'c': 'print_statement', 'v': 'low'} END,
-  CASE WHEN regexp_matches(s, 'eval\s*\(') THEN {'k': 'security', 'c': 'eval_usage', 'v': 'critical'} END, CASE WHEN regexp_matches(s, 'os\.system') THEN {'k': 'security', 'c': 'shell_command', 'v': 'high'} END,
-  CASE WHEN regexp_matches(s, 'assert\s+') THEN {'k': 'security', 'c': 'assert_in_code', 'v': 'medium'} END]) AS x FROM l),
-g AS (SELECT x.k AS kind, x.c AS category, x.v AS severity, path, line, trim(s) AS evidence FROM p WHERE x IS NOT NULL
-  UNION ALL SELECT 'missing_docs', 'missing_docs', 'low', path, 1, '' FROM l GROUP BY path HAVING ends_with(path, '.py') AND count(*) > 20)"""
+# every match of every pattern: texts cut at the matches, and the line ends before each counted
+def _rule_sql(k: int, kind: str, category: str, severity: str, pattern: str, flags: int) -> str:
+    more = ""
+    if "(?!" in pattern:  # not in this dialect: the rest of the line is looked at afterwards
+        pattern, more = pattern.replace("(?!.*Loader)", "[^\\n]*"), " WHERE NOT contains(m[i], 'Loader')"
+    literal = ("(?m)" * bool(flags) + pattern).replace("'", "''")
+    return f"""SELECT path, text, {k} AS rule_ord, '{kind}' AS kind, '{category}' AS category, '{severity}' AS severity, length(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], '')) - length(replace(array_to_string(g[1:i], '') || array_to_string(m[1:i - 1], ''), chr(10), '')) + 1 AS line
+  FROM (SELECT path, text, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT path, text, string_split_regex(text, '{literal}') AS g, regexp_extract_all(text, '{literal}') AS m FROM seen)){more}"""
+
+
+CONTRIBUTION = duck("code", "smells") + ", seen AS (SELECT path, text FROM code UNION ALL SELECT path, text FROM smells), hits AS (" + " UNION ALL ".join(_rule_sql(k, *rule) for k, rule in enumerate(findings.PATTERNS)) + r"""),
+g AS (SELECT kind, category, severity, path, line, trim(string_split(text, chr(10))[line]) AS evidence, rule_ord FROM hits
+  UNION ALL SELECT 'missing_docs', 'missing_docs', 'low', path, 1, '', 26 FROM seen WHERE ends_with(path, '.py') AND len(string_split(regexp_replace(text, '\n$', ''), chr(10))) > 20 AND NOT contains(text, repeat(chr(34), 3)) AND NOT contains(text, repeat(chr(39), 3)))"""
+
+
+def _searched(spark, d) -> DataFrame:
+    return view(spark, d, "code").select("path", "text", "size_bytes").unionByName(view(spark, d, "smells").select("path", "text", "size_bytes"))
 
 
 @query(CONTRIBUTION + " SELECT kind, category, severity, path, line::INT AS line, evidence FROM g")
 def contribution_findings(spark, d):
-    return findings.contribution_findings(view(spark, d, "code")).drop("rule_ord")
+    return findings.contribution_findings(_searched(spark, d)).drop("rule_ord")
 
 
-@query(CONTRIBUTION + """, t AS (SELECT * FROM g WHERE contains(category, 'eval') OR contains(path, 'm1') ORDER BY """ + SEVERITY + """, path, line LIMIT 50),
+@query(CONTRIBUTION + """, t AS (SELECT * FROM (SELECT DISTINCT * FROM g) WHERE contains(replace(category, '_', ' '), 'eval') OR contains(path, 'm1') ORDER BY """ + SEVERITY + """, path, line, rule_ord LIMIT 50),
 n AS (SELECT count(*) AS finding_count, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM t)
-SELECT finding_count, critical, high, medium, low, greatest(5, least(95, 95 - critical * 15 - high * 8 - medium * 3 - low))::INT AS score, 0.9::DOUBLE AS confidence FROM n""")
+SELECT finding_count, critical, high, medium, low, greatest(5, least(95, 95 - critical * 15 - high * 8 - medium * 3 - low))::INT AS score,
+  least(0.92, 0.5 + least((SELECT count(*) FROM seen WHERE strlen(text) <= 512000), 10) * 0.04)::DOUBLE AS confidence FROM n""")
 def contribution_score(spark, d):
     """Findings about eval and those of files with m1 in their path, the first 50 by severity."""
-    found = findings.contribution_findings(view(spark, d, "code"))
+    files = _searched(spark, d)
+    found = findings.contribution_findings(files)
     both = findings.focused(found, "eval").unionByName(findings.focused(found, "M1")).distinct()
-    return findings.contribution_score(findings.first_contributions(both), F.lit(10)).drop(*[f"{k}_count" for k in findings.KINDS])
+    read = F.lit(findings.read_files(files).count())
+    return findings.contribution_score(findings.first_contributions(both), read).drop(*[f"{k}_count" for k in findings.KINDS])
 
 
 # --- files, names and texts

@@ -66,6 +66,15 @@ BRACES = {
 }
 BRACE = "SELECT doc_id, 'lib/b' || doc_id || CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '.{v[0]}'" for k, v in BRACES.items()) + " END AS path, CASE doc_id % 5 " + " ".join(
     f"WHEN {k} THEN " + " || chr(10) || ".join(v[1:]).replace("{more}", MORE) for k, v in BRACES.items()) + " END AS text FROM documents"
+# Python files with what the contribution rules look for: two rules or three a file, some over two lines.
+SMELL = (
+    "try:\n  go()\nexcept :\n  stop()", "try:\n  go()\nexcept Exception as e:\n  tell(e)", "x = 1  # TODO FIXME\n# BUG", "if d.has_key(k): go()\nif a in b and c in d: go()", "if x == None or None == y:\n  go()", "print (x); print(y)",
+    "def f():\n  pass  \n\n", "global state\nglobal\n  other", "try: go()\nexcept ValueError: pass", "x = eval\n(y)", "exec (code)\nexec(more)", "run(a, shell = True)", "os.system(a)\nsubprocess.call(b); os.popen(c)", "pickle.load(f)\npickle.loads (g)",
+    "yaml.load(f)\nyaml.load(f, Loader=L)", "assert\n  x", "get(u, verify = False)\nssl.VERIFY_NONE", "def f(a) -> int:\n    pass", "class A(B):\n  pass", "except ValueError as e:\n    pass", "print(1)\nreprint(2)", "  # type: ignore\nx = 1  # type: ignore",
+    "b = a.encode('utf-8')", "for x in y:\n  out.append(x)", "s += 'a'\ns = 'b' += t", "from m import *",
+)
+SMELLS = "SELECT doc_id, 'src/s' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.ts' ELSE '.py' END AS path, {n} AS n, 'import os' || chr(10) || {a} || chr(10) || {b} || chr(10) || repeat('x = 0' || chr(10), CAST(doc_id % 23 AS INT)) || CASE WHEN doc_id % 4 = 1 THEN '\"\"\"docs\"\"\"' ELSE '' END AS text FROM documents".format(
+    n="doc_id % 26", **{c: f"CASE (doc_id * {m} + {k}) % 26 " + " ".join(f"WHEN {i} THEN " + " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n")) for i, t in enumerate(SMELL)) + " END" for c, m, k in (("a", 1, 0), ("b", 5, 3))})
 # Wide classes: the methods of a class of each fiftieth file.
 MEMBERS = """
   SELECT path, k AS sym_ord, 'method' AS kind, 'get_' || k AS name, k + 1 AS line, k + 1 AS end_line, 'sym' || (doc_id % 7) || '_1' AS parent FROM (SELECT doc_id, path, %s AS k FROM files WHERE doc_id % 50 IN (1, 2, 3)) x"""
@@ -81,12 +90,12 @@ TRACES = """
 DUCK = {
     "files": FILES.replace("%s", "strlen(text)"), "edges": DEPENDENCIES.replace("%s", "unnest(range(0, doc_id % 10 + 1))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "unnest(range(1, doc_id % 4 + 1))"), "nodes": NODES.format(m="(3 * n // 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES, "braces": BRACE,
+    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS,
 }
 SPARK = {
     "files": FILES.replace("%s", "octet_length(text)"), "edges": DEPENDENCIES.replace("%s", "explode(sequence(0, doc_id % 10))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "explode(slice(array(1, 2, 3), 1, cast(doc_id % 4 AS int)))"), "nodes": NODES.format(m="(3 * n div 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES, "braces": BRACE,
+    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS,
 }
 
 
@@ -104,7 +113,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     out = spark.sql(sql, **tables)
-    if name == "code":
+    if name in ("code", "smells"):
         out = out.withColumn("size_bytes", F.octet_length("text").cast("long"))
     if name == "members":
         out = out.withColumns({"line": F.col("line").cast("int"), "end_line": F.col("end_line").cast("int"), "inherits": F.array().cast("array<string>")})

@@ -525,3 +525,25 @@ def test_frames_of_odd_paths(spark):
     got = {r.trace_id: r for r in parse.parse_traces(rows).collect()}
     assert got[1].files == ["src/a.ts", "src/b.ts", "webpack://x/./a.ts", "C:\\a\\b.py", "//net/a.py", "/a.py", ".", "../a/../b.py"]
     assert {f.function for f in got[1].frames} == {"go"} and got[1].language == "python" and got[2].language == "unknown"
+
+
+def test_contribution_matches_equal_python(spark):
+    """Marks in texts count the matches that Python finds, at their lines."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["eval(", "eval\n(", "except:", "except :\n", " pass\n", "pass  \n\n", "assert\n\n", "assert x", "global\u00a0x", "\u00e9print (", "print(", "yaml.load(a)", "yaml.load(a, Loader=b)\n", "for x in y:\n  z.append(", "class A:\n  pass\n",
+             "def f() -> int:\n\n  pass", "\r\n", "\x1c", "\u2028", " ", "# type: ignore", "\n", "\ue000", "TODOTODO", "import *", "+= '", "in a and b in c", "None == None", "except ValueError: pass", "\x0b"]
+    rows = [(f"a{i}.ts", "".join(rng.choices(parts, k=rng.randint(0, 30)))) for i in range(300)] + [("none.ts", None), ("empty.py", "")]
+    want = []
+    for path, text in rows:
+        lines = (text or "").splitlines()
+        for k, (kind, category, severity, pattern, flags) in enumerate(findings.PATTERNS):
+            for m in re.finditer(pattern, text or "", flags):
+                at = text.count("\n", 0, m.start()) + 1
+                want.append((kind, category, severity, path, at, (lines[at - 1].strip() if at <= len(lines) else "")[:200].replace("\ue000", ""), k))
+    files = spark.createDataFrame(rows, "path string, text string").withColumn("size_bytes", F.lit(1))
+    got = findings.contribution_findings(files)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString().replace("PythonSQL", "")
+    assert sorted((r[0], r[1], r[2], r[3], r[4], r[5].replace("\ue000", ""), r[6]) for r in got.collect()) == sorted(want) and len({x[1] for x in want}) > 15
