@@ -7,10 +7,12 @@ Python data source: one partition for each top-level entry, so that executors sh
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,46 +29,128 @@ LANGUAGES = {
     ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".hpp": "C++", ".go": "Go", ".java": "Java",
     ".js": "JavaScript", ".jsx": "JavaScript", ".py": "Python", ".rs": "Rust", ".ts": "TypeScript", ".tsx": "TypeScript",
 }
-MAX_ARCHIVE = 100 * 1024 * 1024
+MAX_ARCHIVE, MAX_UNPACKED = 100 * 1024 * 1024, 1 << 30
+#: Input partitions of a folder or an archive, unless these become smaller or larger than the bytes given.
+PARTS, MIN_PART, MAX_PART, OPEN_BYTES = 64, 1 << 18, 1 << 25, 1 << 12
 
 FILE = "path string, is_dir boolean, size_bytes long, modified_at timestamp, content binary"
 
 
-class _Entry(InputPartition):
-    def __init__(self, names: list[str], top: bool):
-        self.names, self.top = names, top
+class _Part(InputPartition):
+    """Entries (path, is_dir) of a folder, or members of an archive by their places."""
+
+    def __init__(self, names: list, archive: str | None = None):
+        self.names, self.archive = names, archive
+
+
+def _even(entries: list[tuple[object, int]], parts: int) -> Iterator[list]:
+    """Entries with their bytes in about this many runs of about equal bytes, in their order; each weighs OPEN_BYTES at least."""
+    whole = sum(max(n, OPEN_BYTES) for _, n in entries)
+    most = min(MAX_PART, max(MIN_PART, -(-whole // parts)))
+    run, held = [], 0
+    for entry, n in entries:
+        n = max(n, OPEN_BYTES)
+        if run and held + n / 2 > most:
+            yield run
+            run, held = [], 0
+        run.append(entry)
+        held += n
+    if run:
+        yield run
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, ignored: frozenset):
+    """Names and sizes are listed first; tasks read files of about equal bytes, whatever folder they lie in."""
+
+    def __init__(self, root: str, ignored: frozenset, parts: int):
         if not os.path.isdir(root):
             raise ValueError(f"not a directory: {root}")
-        self.root, self.ignored = root, ignored
+        self.root, self.ignored, self.parts = root, ignored, parts
 
-    def partitions(self):
-        names = sorted(os.listdir(self.root))
-        dirs = [n for n in names if n not in self.ignored and os.path.isdir(os.path.join(self.root, n)) and not os.path.islink(os.path.join(self.root, n))]
-        return [_Entry([], True), *[_Entry([d], False) for d in dirs]]
-
-    def row(self, full: str, path: str):
-        info = os.stat(full)
-        with open(full, "rb") as f:
-            content = f.read()
-        return path, False, info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc), content
-
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        start = os.path.join(self.root, *partition.names)
-        for folder, dirs, files in os.walk(start):
+    def entries(self) -> Iterator[tuple[tuple[str, bool], int]]:
+        for folder, dirs, files in os.walk(self.root):
             dirs[:] = sorted(d for d in dirs if d not in self.ignored and not os.path.islink(os.path.join(folder, d)))
             inside = os.path.relpath(folder, self.root).replace(os.sep, "/")
             if inside != ".":
-                yield inside, True, None, None, None
+                yield (inside, True), 0
             for name in sorted(files):
                 full = os.path.join(folder, name)
                 if os.path.isfile(full) and not os.path.islink(full):
-                    yield self.row(full, name if inside == "." else f"{inside}/{name}")
-            if partition.top:
-                return
+                    yield (name if inside == "." else f"{inside}/{name}", False), os.path.getsize(full)
+
+    def partitions(self):
+        return [_Part(names) for names in _even(list(self.entries()), self.parts)] or [_Part([])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for path, is_dir in partition.names:
+            if is_dir:
+                yield path, True, None, None, None
+                continue
+            full = os.path.join(self.root, path)
+            info = os.stat(full)
+            with open(full, "rb") as f:
+                content = f.read()
+            yield path, False, info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc), content
+
+
+class _ArchiveReader(DataSourceReader):
+    """The central directories are read and judged first; tasks unpack members of about equal bytes."""
+
+    def __init__(self, path: str, parts: int, packed: int, unpacked: int):
+        self.path, self.parts, self.packed, self.unpacked = path, parts, packed, unpacked
+
+    def partitions(self):
+        store, root = _store(self.path)
+        infos = store.get_file_info(FileSelector(root, recursive=False)) if store.get_file_info(root).type == FileType.Directory else [store.get_file_info(root)]
+        out = []
+        for info in sorted(infos, key=lambda i: i.path):
+            if info.type != FileType.File or not info.path.lower().endswith(".zip"):
+                continue
+            if info.size > self.packed:
+                raise ValueError(f"archive too large: {info.path}")
+            with store.open_input_file(info.path) as f, zipfile.ZipFile(f) as z:
+                members = [(k, m) for k, m in enumerate(z.infolist()) if not m.is_dir()]
+            for _, m in members:
+                if _unsafe(m.filename):
+                    raise ValueError(f"unsafe archive member: {m.filename}")
+            if sum(m.file_size for _, m in members) > self.unpacked:
+                raise ValueError(f"archive too large when unpacked: {info.path}")
+            out += [_Part(run, info.path) for run in _even([(k, m.file_size) for k, m in members], self.parts)]
+        return out or [_Part([])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        if not partition.names:
+            return
+        with _store(self.path)[0].open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
+            infos = z.infolist()
+            for k in partition.names:
+                with z.open(infos[k]) as member:
+                    content = member.read(infos[k].file_size + 1)
+                if len(content) != infos[k].file_size:
+                    raise ValueError(f"archive member is not of its stated size: {infos[k].filename}")
+                yield partition.archive, infos[k].filename, content
+
+
+def _store(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _unsafe(name: str) -> bool:
+    return name.startswith(("/", "\\")) or re.match("[A-Za-z]:", name) is not None or ".." in re.split(r"[/\\]", name)
+
+
+class ArchiveSource(DataSource):
+    """spark.read.format("archive").load(a .zip file, or a folder of them)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive"
+
+    def schema(self) -> str:
+        return "archive string, path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ArchiveReader(self.options["path"], int(self.options.get("parts", PARTS)), int(self.options.get("max_archive", MAX_ARCHIVE)), int(self.options.get("max_unpacked", MAX_UNPACKED)))
 
 
 class RepositorySource(DataSource):
@@ -80,7 +164,7 @@ class RepositorySource(DataSource):
         return FILE
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], frozenset(IGNORED))
+        return _Reader(self.options["path"], frozenset(IGNORED), int(self.options.get("parts", PARTS)))
 
 
 def language(path: Column) -> Column:
@@ -91,10 +175,10 @@ def language(path: Column) -> Column:
     return out
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
+def scan(spark: SparkSession, folder: str, parts: int = PARTS) -> DataFrame:
     """Files and folders: path, is_dir, extension, language, size_bytes, sha256, modified_at, content, file_ord."""
     spark.dataSource.register(RepositorySource)
-    return describe(spark.read.format("repository").load(folder))
+    return describe(spark.read.format("repository").option("parts", parts).load(folder))
 
 
 def describe(files: DataFrame) -> DataFrame:
@@ -133,26 +217,14 @@ def safe_member(name: Column) -> Column:
     return ~F.startswith(name, F.lit("/")) & ~F.startswith(name, F.lit("\\")) & ~F.rlike(name, F.lit("^[A-Za-z]:")) & ~F.array_contains(F.split(name, r"[/\\]", -1), "..")
 
 
-def read_zip(spark: SparkSession, paths: str) -> DataFrame:
-    """(archive, path, content) of the members of .zip files, one row a member; one over MAX_ARCHIVE bytes is an error."""
-    def members(batches):
-        import io
-
-        import pandas as pd
-
-        for part in batches:
-            for archive, content in zip(part["path"], part["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)]})
+def read_zip(spark: SparkSession, path: str, parts: int = PARTS, max_unpacked: int = MAX_UNPACKED) -> DataFrame:
+    """(archive, path, content) of the members of a .zip file, or of those of a folder.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths)
-    over = F.raise_error(F.concat(F.lit("archive too large: "), F.col("path"))).cast("binary")
-    files = files.select("path", F.when(F.col("length") > MAX_ARCHIVE, over).otherwise(F.col("content")).alias("content"))
-    rows = files.select("path", "content").mapInPandas(members, "archive string, path string, content binary")
-    unsafe = ~safe_member(F.col("path"))
-    return rows.withColumn("content", F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe archive member: "), F.col("path"))).cast("binary")).otherwise(F.col("content")))
+    An archive over MAX_ARCHIVE bytes, or over ``max_unpacked`` by its directory, or with a member
+    that leaves its folder, is an error before anything is unpacked.
+    """
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("archive").options(parts=parts, max_archive=MAX_ARCHIVE, max_unpacked=max_unpacked).load(path)
 
 
 def github_url(url: Column) -> Column:

@@ -547,3 +547,34 @@ def test_contribution_matches_equal_python(spark):
     got = findings.contribution_findings(files)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString().replace("PythonSQL", "")
     assert sorted((r[0], r[1], r[2], r[3], r[4], r[5].replace("\ue000", ""), r[6]) for r in got.collect()) == sorted(want) and len({x[1] for x in want}) > 15
+
+
+def test_scan_deals_a_deep_folder_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "MIN_PART", 1)
+    deep = tmp_path / "src" / "a" / "b"
+    deep.mkdir(parents=True)
+    for i in range(80):
+        (deep / f"f{i:02}.py").write_text("x" * 10_000)
+    parts = R._Reader(str(tmp_path), frozenset(R.IGNORED), 8).partitions()
+    assert len(parts) in (8, 9) and max(len(p.names) for p in parts) <= 12
+    got = {(r.path, r.is_dir) for r in R.scan(spark, str(tmp_path), 8).select("path", "is_dir").collect()}
+    assert got == {("src", True), ("src/a", True), ("src/a/b", True), *[(f"src/a/b/f{i:02}.py", False) for i in range(80)]}
+
+
+def test_archive_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    name = str(tmp_path / "one.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for i in range(40):
+            z.writestr(f"d/{i}.txt", "y" * 20_000)
+    monkeypatch.setattr(R, "MIN_PART", 1)
+    assert len(R._ArchiveReader(name, 4, 1 << 30, 1 << 30).partitions()) == 4
+    rows = R.read_zip(spark, name).collect()
+    assert {r.path for r in rows} == {f"d/{i}.txt" for i in range(40)} and {len(r.content) for r in rows} == {20_000}
+    with pytest.raises(Exception, match="unpacked"):
+        R.read_zip(spark, name, max_unpacked=100).collect()
+    bad = str(tmp_path / "bad.zip")
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("ok.txt", "1")
+        z.writestr("../up.txt", "2")
+    with pytest.raises(Exception, match="unsafe"):
+        R.read_zip(spark, bad).collect()
