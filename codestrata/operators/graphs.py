@@ -5,6 +5,11 @@ Edge order is carried as ``edge_ord``; first and last wins are minima and maxima
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,16 +130,113 @@ def on_cycles(edges: DataFrame, hops: int = 2) -> DataFrame:
     return kept if kept is not None else e.withColumn("component", F.lit(None).cast("string"))
 
 
+#: Tasks that share the start files of a component, and cycles that a task hands on at once.
+START_DEALS, CYCLE_ROWS = 32, 5_000
+#: Paths of so many files are no longer grown row by row.
+GROWN_FILES = 12
+
+
+def component_of(start: str, after: dict[str, list[str]], before: dict[str, list[str]]) -> set[str]:
+    """Files from ``start`` on, in their order, that it reaches and that reach it."""
+    def reach(step: dict[str, list[str]]) -> set[str]:
+        seen, todo = {start}, [start]
+        while todo:
+            new = [x for x in step.get(todo.pop(), ()) if x > start and x not in seen]
+            seen.update(new)
+            todo += new
+        return seen
+
+    return reach(after) & reach(before)
+
+
+def circuits(start: str, after: dict[str, list[str]], steps: list[int] | None = None) -> Iterator[list[str]]:
+    """Elementary cycles through ``start`` in a strongly connected graph, by Johnson's blocking lists.
+
+    A file that led to no cycle stays blocked until a file behind it comes free, so the time
+    between two cycles is linear in the edges, however many dead paths there are.
+    """
+    path, blocked, waiting = [start], {start}, defaultdict(set)
+    todo = [(iter(after[start]), [False])]
+    while todo:
+        step, closed = todo[-1]
+        for following in step:
+            if steps is not None:
+                steps[0] += 1
+            if following == start:
+                yield path.copy()
+                closed[0] = True
+            elif following not in blocked:
+                path.append(following)
+                blocked.add(following)
+                todo.append((iter(after[following]), [False]))
+                break
+        else:
+            todo.pop()
+            here = path.pop()
+            if closed[0]:
+                if todo:
+                    todo[-1][1][0] = True
+                free = [here]
+                while free:
+                    x = free.pop()
+                    if x in blocked:
+                        blocked.discard(x)
+                        free += waiting.pop(x, ())
+            else:
+                for following in after[here]:
+                    waiting[following].add(here)
+
+
+def _cycles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(edges: list[tuple[str, str]], deal: int, deals: int) -> Iterator[list[str]]:
+        after, before = defaultdict(list), defaultdict(list)
+        for s, t in sorted(edges):
+            after[s].append(t)
+            before[t].append(s)
+        for start in sorted(after)[deal::deals]:
+            inside = component_of(start, after, before)
+            if len(inside) > 1:
+                yield from circuits(start, {x: [y for y in after[x] if y in inside] for x in inside})
+
+    def groups() -> Iterator[tuple]:
+        key, edges = None, []
+        for part in batches:
+            for component, deal, deals, s, t in zip(*(part[c] for c in ("component", "deal", "deals", "source", "target"))):
+                if key != (component, deal, deals):
+                    if edges:
+                        yield edges, *key[1:]
+                    key, edges = (component, deal, deals), []
+                edges.append((s, t))
+        if edges:
+            yield edges, *key[1:]
+
+    made = (c for group in groups() for c in found(*group))
+    while rows := list(itertools.islice(made, CYCLE_ROWS)):
+        yield pd.DataFrame({"files": rows})
+
+
+def component_cycles(edges: DataFrame) -> DataFrame:
+    """Elementary cycles of (source, target, component) as arrays that begin at their least file.
+
+    A cycle is found from its least file.  The start files of a component are dealt to tasks,
+    each of which holds the edges of one component and hands its cycles on as it finds them.
+    """
+    deals = edges.groupBy("component").agg(F.least(F.count_distinct("source"), F.lit(START_DEALS)).cast("int").alias("deals"))
+    rows = edges.join(deals, "component").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    return rows.repartition("component", "deal").sortWithinPartitions("component", "deal").mapInPandas(_cycles_of, "files array<string>")
+
+
 def cycles(edges: DataFrame, max_length: int | None = None, many: float = 4) -> DataFrame:
     """All elementary cycles of 2 files or more (to ``max_length`` if given), as arrays that begin at their least file.
 
     Paths grow from each file through greater ones only, so that each cycle is found once,
-    until no path is left.  Once there are ``many`` paths an edge, paths and edges that leave
-    their strongly connected component are dropped; what then grows is the output itself, whose
-    size can be exponential in a component's.
+    until no path is left: most graphs have few.  Once there are ``many`` paths an edge, or
+    paths of GROWN_FILES files, the strongly connected components are parted and searched for
+    all their cycles instead (``component_cycles``), where dead paths are no rows.
     """
     e = settle(internal(edges).filter("source <> target").select("source", "target").distinct())
-    n, pruned = e.count(), False
+    n = e.count()
+    step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
     paths = e.filter("target > source").select(F.array("source", "target").alias("files"))
     found, length = None, 2
     while max_length is None or length <= max_length:
@@ -142,21 +244,15 @@ def cycles(edges: DataFrame, max_length: int | None = None, many: float = 4) ->
         n_paths = paths.count()
         if not n_paths:
             break
-        if not pruned and n_paths >= many * n:
-            pruned, e = True, on_cycles(e)
-            own = settle(e.select(F.col("source").alias("path"), "component").distinct())
-            ends = paths.select("files", F.col("files")[0].alias("a"), F.element_at("files", -1).alias("z"))
-            ends = ends.join(own.withColumnsRenamed({"path": "a", "component": "ca"}), "a").join(own.withColumnsRenamed({"path": "z", "component": "cz"}), "z")
-            paths = settle(ends.filter("ca = cz").select("files"))  # what lies between is of that component too
-        step = e.select(F.col("source").alias("last"), F.col("target").alias("next"))
+        if n_paths >= many * n or length > GROWN_FILES:
+            whole = component_cycles(on_cycles(e))
+            return whole if max_length is None else whole.filter(F.size("files") <= max_length)
         grown = paths.withColumn("last", F.element_at("files", -1)).join(step, "last")
         closed = grown.filter(F.col("next") == F.col("files")[0]).select("files")
         found = closed if found is None else found.unionByName(closed)
-        if length % 16 == 0:  # else the plan grows with the length
-            found = settle(found)
         paths = grown.filter((F.col("next") > F.col("files")[0]) & ~F.array_contains("files", F.col("next"))).select(F.concat("files", F.array("next")).alias("files"))
         length += 1
-    return found if found is not None else paths.limit(0)
+    return found if found is not None else paths.filter(F.lit(False))
 
 
 def cycle_edges(cycle: DataFrame, edges: DataFrame) -> DataFrame:

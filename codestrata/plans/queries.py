@@ -170,6 +170,12 @@ def cycle_edges(spark, d):
     return graphs.cycle_edges(graphs.cycles(e), e).select(F.array_join("files", ",").alias("files"), "source", "target")
 
 
+@query(CYCLES.replace(duck("rings", recursive=True), duck("dense", recursive=True)).replace("FROM rings", "FROM dense") + " SELECT array_to_string(files, ',') AS files, len(files)::INT AS length FROM c")
+def dense_cycles(spark, d):
+    """Cycles of long rings and of groups with more paths than edges."""
+    return graphs.cycles(view(spark, d, "dense")).select(F.array_join("files", ",").alias("files"), F.size("files").alias("length"))
+
+
 @query(EDGES + """ SELECT 'unused_file' AS kind, path, 0.68::DOUBLE AS confidence FROM files WHERE path NOT IN (SELECT target FROM edges WHERE target IS NOT NULL)
   AND split_part(path, '/', 1) <> 'tests'""")
 def dead_files(spark, d):

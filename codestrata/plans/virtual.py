@@ -24,6 +24,11 @@ DEPENDENCIES = """
 RINGS = """
   SELECT 'src/m' || s || '.ts' AS source, 'src/m' || t || '.ts' AS target, s AS edge_ord FROM (
     SELECT doc_id AS s, doc_id - doc_id % 5 + (doc_id + 1) % 5 AS t FROM documents UNION ALL SELECT doc_id, doc_id + 2 FROM documents WHERE doc_id % 5 = 0) r"""
+# Long rings of 16 files and dense groups of 6 that all import each other but for one pair, with a chain of dead ends behind.
+DENSE = """
+  SELECT 'ring/m' || doc_id || '.ts' AS source, 'ring/m' || (doc_id - doc_id % 16 + (doc_id + 1) % 16) || '.ts' AS target, doc_id AS edge_ord FROM documents WHERE doc_id % 64 < 16
+  UNION ALL SELECT 'dense/m' || doc_id || '.ts', 'dense/m' || (doc_id - doc_id % 6 + k) || '.ts', doc_id FROM (SELECT doc_id, %s AS k FROM documents WHERE doc_id % 60 < 6) x WHERE doc_id % 6 <> k AND NOT (doc_id % 6 = 5 AND k = 0)
+  UNION ALL SELECT 'dense/m' || doc_id || '.ts', 'dense/z' || (doc_id + k) || '.ts', doc_id FROM (SELECT doc_id, %s AS k FROM documents WHERE doc_id % 60 < 6) x"""
 SYMBOLS = """
   SELECT doc_id, path, k AS sym_ord, CASE WHEN k = 1 THEN 'class' WHEN k = 2 THEN 'import' ELSE 'function' END AS kind, 'sym' || (doc_id % 7) || '_' || k AS name,
     k * 3 AS line, k * 3 + doc_id % 200 AS end_line FROM (SELECT doc_id, path, %s AS k FROM files) x"""
@@ -90,12 +95,12 @@ TRACES = """
 DUCK = {
     "files": FILES.replace("%s", "strlen(text)"), "edges": DEPENDENCIES.replace("%s", "unnest(range(0, doc_id % 10 + 1))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "unnest(range(1, doc_id % 4 + 1))"), "nodes": NODES.format(m="(3 * n // 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS,
+    "code": CODE, "members": MEMBERS.replace("%s", "unnest(range(1, doc_id % 50 * 8 + 1))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS, "dense": DENSE.replace("%s", "unnest(range(0, 6))"),
 }
 SPARK = {
     "files": FILES.replace("%s", "octet_length(text)"), "edges": DEPENDENCIES.replace("%s", "explode(sequence(0, doc_id % 10))"), "rings": RINGS,
     "symbols": SYMBOLS.replace("%s", "explode(slice(array(1, 2, 3), 1, cast(doc_id % 4 AS int)))"), "nodes": NODES.format(m="(3 * n div 4)"), "calls": CALLS,
-    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS,
+    "code": CODE, "members": MEMBERS.replace("%s", "explode(sequence(1, cast(doc_id % 50 * 8 AS int)))"), "traces": TRACES, "braces": BRACE, "smells": SMELLS, "dense": DENSE.replace("%s", "explode(sequence(0, 5))"),
 }
 
 

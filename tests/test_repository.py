@@ -578,3 +578,44 @@ def test_archive_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
         z.writestr("../up.txt", "2")
     with pytest.raises(Exception, match="unsafe"):
         R.read_zip(spark, bad).collect()
+
+
+def slow_cycles(edges):
+    after, out = {}, set()
+    for s, t in edges:
+        if s != t:
+            after.setdefault(s, set()).add(t)
+
+    def go(path):
+        for x in after.get(path[-1], ()):
+            if x == path[0]:
+                out.add(tuple(path))
+            elif x > path[0] and x not in path:
+                go([*path, x])
+
+    for s in after:
+        go([s])
+    return sorted(out)
+
+
+def test_cycles_of_dense_components(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    edges = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(7) for j in range(7) if rng.random() < 0.55] + [("a0", "b0"), ("b1", "x"), ("x", "y")]
+    monkeypatch.setattr(graphs, "CYCLE_ROWS", 3)
+    df = spark.createDataFrame(edges, "source string, target string")
+    want = slow_cycles(edges)
+    assert sorted(tuple(r.files) for r in graphs.cycles(df, many=0.5).collect()) == want and len(want) > 200
+    assert sorted(tuple(r.files) for r in graphs.cycles(df, 3, many=0.5).collect()) == [c for c in want if len(c) <= 3]
+    ring = [(f"f{i:02}", f"f{(i + 1) % 40:02}") for i in range(40)]
+    assert [r.files for r in graphs.cycles(spark.createDataFrame(ring, "source string, target string")).collect()] == [[s for s, _ in ring]]
+
+
+def test_dead_paths_are_not_walked():
+    """A million paths lead from b through ten layers of four files back to b alone."""
+    layers = [[f"l{k}_{i}" for i in range(4)] for k in range(10)]
+    after = {"a": ["b"], "b": ["a", *layers[0]], "c": ["b"], **{x: [*nxt] for now, nxt in zip(layers, [*layers[1:], ["c"]]) for x in now}}
+    steps = [0]
+    assert list(graphs.circuits("a", after, steps)) == [["a", "b"]] and steps[0] < 400
+    assert graphs.component_of("b", after, {y: [x for x in after if y in after[x]] for y in after}) == set(after) - {"a"}
