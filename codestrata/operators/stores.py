@@ -1,40 +1,45 @@
-"""Stores of scans, graphs and vectors by repository: Parquet partitions that are replaced whole."""
+"""Stores of scans and graphs by repository, in versions committed at once, and of vectors in partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import knowledge
-from .memory import read_repository, replace_repository
+from .memory import read_repository
+from .snapshots import Snapshots, with_ids
 
 SCAN_FILE = ("path", "extension", "language", "size_bytes", "sha256", "modified_at")
-FILE_SCHEMA = "path string, extension string, language string, size_bytes long, sha256 string, modified_at timestamp"
 
 
-def repository_id(path: Column) -> Column:
-    """The id of a repository, the same at every scan."""
-    return F.xxhash64(path)
+def save_scan(files: DataFrame, directories: DataFrame, folder: str, repository: str) -> int:
+    """Replace the stored scan of a repository by one commit: its record, directories and files.
 
-
-def save_scan(files: DataFrame, directories: DataFrame, folder: str, repository: str) -> None:
-    """Replace the stored scan of a repository: its record, directories and files."""
-    record = files.sparkSession.range(1).select(repository_id(F.lit(repository)).alias("id"), F.lit(repository).alias("path"), F.current_timestamp().alias("scanned_at"))
-    replace_repository(directories.select("path"), f"{folder}/directories", repository, unique=["path"])
-    replace_repository(files.select(*SCAN_FILE), f"{folder}/files", repository, unique=["path"])
-    replace_repository(record, f"{folder}/repositories", repository)  # last: it tells that the others are there
+    A repository keeps its number, and a file its id, from scan to scan.  Returns the version.
+    """
+    spark = files.sparkSession
+    store = Snapshots(spark, f"{folder}/scans")
+    former = store.manifest(repository)
+    known = store.load(repository, former)["files"] if former else None
+    record = spark.range(1).select(F.lit(store.repository_id(repository)).cast("long").alias("id"), F.lit(repository).alias("path"), F.current_timestamp().alias("scanned_at"))
+    return store.save(repository, {
+        "record": record, "directories": _unique(directories.select("path"), "path"), "files": with_ids(_unique(files.select(*SCAN_FILE), "path"), known, "path"),
+    })
 
 
 def load_scan(spark: SparkSession, folder: str, repository: str) -> dict[str, DataFrame]:
     """record, directories and files, by path; KeyError where the repository was not saved."""
-    record = read_repository(spark, f"{folder}/repositories", repository)
+    got = Snapshots(spark, f"{folder}/scans").load(repository)
+    return {"record": got["record"], "directories": got["directories"].orderBy("path"), "files": got["files"].orderBy("path")}
 
-    def part(name: str, schema: str) -> DataFrame:  # a repository may have none of either
-        return spark.read.schema(f"{schema}, repository_path string").parquet(f"{folder}/{name}").filter(F.col("repository_path") == repository).orderBy("path")
 
-    return {"record": record, "directories": part("directories", "path string"), "files": part("files", FILE_SCHEMA)}
+def _unique(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows; ValueError if a key stands twice."""
+    if not rows.groupBy(*key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"repeated key {list(key)}")
+    return rows
 
 
 def identifiers_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,20 +52,18 @@ def identifiers_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return nodes, edges
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, repository: str, matched: bool = False) -> None:
-    """Replace the stored graph of a repository; ``matched`` leaves out edges without both nodes."""
+def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, repository: str, matched: bool = False) -> int:
+    """Replace the stored graph of a repository, nodes and edges by one commit; ``matched`` leaves out edges without both nodes."""
     nodes, edges = identifiers_only(nodes, edges)
     if matched:
         edges = knowledge.matched_edges(nodes, edges)
-    replace_repository(nodes, f"{folder}/nodes", repository, unique=["id"])
-    replace_repository(edges, f"{folder}/edges", repository, unique=["source", "relationship", "target"])
+    return Snapshots(nodes.sparkSession, f"{folder}/graphs").save(repository, {"nodes": _unique(nodes, "id"), "edges": _unique(edges, "source", "relationship", "target")})
 
 
 def load_graph(spark: SparkSession, folder: str, repository: str) -> tuple[DataFrame, DataFrame]:
     """Nodes by id and edges by their ends; KeyError where the repository was not saved."""
-    nodes = read_repository(spark, f"{folder}/nodes", repository, "id")
-    edges = spark.read.parquet(f"{folder}/edges").filter(F.col("repository_path") == repository).orderBy("source", "relationship", "target")
-    return nodes, edges
+    got = Snapshots(spark, f"{folder}/graphs").load(repository)
+    return got["nodes"].orderBy("id"), got["edges"].orderBy("source", "relationship", "target")
 
 
 def whole_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
+from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores, snapshots
 from ..sources import repository
 
 
@@ -117,6 +117,18 @@ class Repository:
     def store_vectors(self, folder: str) -> None:
         memory.replace_repository(self.embeddings(), folder, self.name, unique=["id"])
 
+    def index(self, folder: str) -> dict[str, int]:
+        """Bring the stored index up to date: only changed files are parsed, cut and embedded."""
+        if self.embedder is None:
+            raise ValueError("no embedder is set")
+
+        def make(changed: DataFrame) -> dict[str, DataFrame]:
+            parsed = parse.parse(changed, self.syntax).persist()
+            cut = chunks.file_chunks(changed).unionByName(chunks.symbol_chunks(changed, parse.symbols_of(parsed)))
+            return {"parsed": parsed, "vectors": chunks.embed(cut, self.embedder)}
+
+        return snapshots.reindex(snapshots.Snapshots(self.spark, folder), self.name, self.sources.filter("text IS NOT NULL").select("path", "sha256", "language", "text"), make)
+
     def _near(self) -> DataFrame | None:
         """Neighbours of files; None where the graph cannot be built: retrieval goes on without it."""
         try:

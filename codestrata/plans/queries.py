@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, stores
+from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, snapshots, stores
 from ..sources import repository
 from .session import passing_folder, settle
 from .virtual import duck, view
@@ -872,6 +872,19 @@ def stored_vectors(spark, d):
         return settle(stores.load_vectors(spark, folder, "repo").select("id", "path", F.sha2("content", 256).alias("content")))
 
 
+@query(duck("code") + ", n AS (SELECT path, doc_id, text || CASE WHEN doc_id % 10 = 3 THEN chr(10) || 'more = 1' ELSE '' END AS text FROM code WHERE doc_id % 50 <> 7) SELECT path, sha256(text) AS content, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END::BIGINT AS version FROM n")
+def incremental_index(spark, d):
+    """Files indexed, then a tenth of them changed and a fiftieth gone: the version that cut and embedded each."""
+    code = view(spark, d, "code").select("doc_id", "path", "language", "text")
+    more = code.filter("doc_id % 50 <> 7").withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("\nmore = 1"))).otherwise(F.col("text")))
+    make = lambda changed: {"parsed": parse.parse(changed), "vectors": chunks.embed(chunks.file_chunks(changed))}
+    with passing_folder(spark) as folder:
+        store = snapshots.Snapshots(spark, folder)
+        for files in (code, more):
+            snapshots.reindex(store, "repo", files.select("path", F.sha2("text", 256).alias("sha256"), "language", "text"), make)
+        return settle(snapshots.live(store, "repo", "vectors").select("path", F.sha2("content", 256).alias("content"), F.col("segment").alias("version")))
+
+
 # --- documents
 
 

@@ -619,3 +619,65 @@ def test_dead_paths_are_not_walked():
     steps = [0]
     assert list(graphs.circuits("a", after, steps)) == [["a", "b"]] and steps[0] < 400
     assert graphs.component_of("b", after, {y: [x for x in after if y in after[x]] for y in after}) == set(after) - {"a"}
+
+
+def test_a_version_is_committed_at_once(spark, tmp_path, monkeypatch):
+    from codestrata.operators import snapshots
+
+    files = lambda *paths: R.from_rows(spark, [(p, f"text of {p}") for p in paths])
+    folder = str(tmp_path / "s")
+    one, two = files("a/x.py", "b.py"), files("a/x.py", "c.py", "d/e.py")
+    assert stores.save_scan(one, R.directories(one), folder, "r") == 1 and stores.save_scan(two, R.directories(two), folder, "other") == 1
+    before = {r.path: r.id for r in stores.load_scan(spark, folder, "r")["files"].collect()}
+    stage, seen = snapshots.Snapshots.stage, []
+
+    def stops(self, repository, name, table):
+        seen.append(name)
+        if name == "files":
+            raise OSError("lost")
+        return stage(self, repository, name, table)
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.Snapshots, "stage", stops)
+        with pytest.raises(OSError):
+            stores.save_scan(two, R.directories(two), folder, "r")
+    assert seen == ["record", "directories", "files"]
+    got = stores.load_scan(spark, folder, "r")  # the former state, whole
+    assert {r.path: r.id for r in got["files"].collect()} == before and [r.path for r in got["directories"].collect()] == ["a"]
+    assert [stores.save_scan(two, R.directories(two), folder, "r") for _ in range(3)] == [2, 3, 4]
+    got = stores.load_scan(spark, folder, "r")
+    after = {r.path: r.id for r in got["files"].collect()}
+    assert after["a/x.py"] == before["a/x.py"] and len(set(after.values())) == 3 and "b.py" not in after and set(after.values()) & {before["b.py"]} == set()
+    assert [r.path for r in got["directories"].collect()] == ["a", "d"] and got["record"].first().id == 1 and stores.load_scan(spark, folder, "other")["record"].first().id == 2
+    store = snapshots.Snapshots(spark, f"{folder}/scans")
+    assert len(store._names(f"{store.home('r')}/versions")) == 2
+    with pytest.raises(snapshots.Conflict):
+        store.commit("r", {}, {"version": 3})
+
+
+def test_index_follows_changes(spark, tmp_path, monkeypatch):
+    from codestrata.operators import snapshots
+
+    texts, folder = {f"m{i}.py": f"def f{i}():\n    return {i}\n" for i in range(20)}, str(tmp_path / "i")
+
+    def index():
+        r = Repository.of(spark, sorted(texts.items()))
+        out = r.index(folder)
+        r.close()
+        return out
+
+    assert index() == {"version": 1, "files": 20, "changed": 20, "gone": 0}
+    texts["m3.py"] += "x = f3()\n"
+    texts["new.py"] = "y = 1\n"
+    del texts["m5.py"]
+    assert index() == {"version": 2, "files": 20, "changed": 2, "gone": 1}
+    assert index() == {"version": 3, "files": 20, "changed": 0, "gone": 0}
+    monkeypatch.setattr(snapshots, "MOST_SEGMENTS", 2)
+    texts["m4.py"] += "z = 1\n"
+    assert index()["changed"] == 1
+    store = snapshots.Snapshots(spark, folder)
+    assert len(store.manifest("repository")["tables"]["vectors"]) == 1
+    parsed = {r.path: r.segment for r in snapshots.live(store, "repository", "parsed").collect()}
+    assert parsed == {p: 4 if p == "m4.py" else 2 if p in ("m3.py", "new.py") else 1 for p in texts}
+    whole = snapshots.live(store, "repository", "vectors").filter("symbol_name IS NULL")
+    assert {r.path: r.content for r in whole.collect()} == texts
