@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import blocks, chunks, findings, graphs, impact, knowledge, memory, parse, reports, retrieval, review, snapshots, stores
 from ..sources import repository
+from ..streaming import machine
 from .session import passing_folder, settle
 from .virtual import duck, view
 
@@ -484,6 +485,32 @@ def import_progress(spark, d):
     return memory.latest_events(e).select("import_id", "status", "event_count")
 
 
+# event by event: the stage before, a day of silence, and what may follow
+MACHINE = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'validating' WHEN 'click' THEN 'cloning' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS stage,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT user_id, 0::BIGINT AS rn, 'none' AS stage, NULL::TIMESTAMP AS since, 0 AS attempt, 0 AS accepted, 0 AS rejected, 0 AS stuck FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, rn, CASE WHEN ok THEN named ELSE stage END, CASE WHEN ok THEN ts ELSE since END, attempt + (ok AND named = 'queued')::INT, accepted + ok::INT, rejected + (NOT ok)::INT, stuck
+  FROM (SELECT *, (named = 'queued' AND stage IN ('none', 'completed', 'failed')) OR (named = 'validating' AND stage = 'queued') OR (named = 'cloning' AND stage = 'validating') OR (named = 'completed' AND stage = 'cloning') OR (named = 'failed' AND stage IN ('queued', 'validating', 'cloning')) AS ok
+    FROM (SELECT s.user_id, e.rn, e.ts, e.stage AS named, s.attempt, s.accepted, s.rejected, CASE WHEN s.stage IN ('queued', 'validating', 'cloning') AND s.since + INTERVAL 1 DAY <= e.ts THEN 'failed' ELSE s.stage END AS stage,
+        CASE WHEN s.stage IN ('queued', 'validating', 'cloning') AND s.since + INTERVAL 1 DAY <= e.ts THEN s.since + INTERVAL 1 DAY ELSE s.since END AS since,
+        s.stuck + (s.stage IN ('queued', 'validating', 'cloning') AND s.since + INTERVAL 1 DAY <= e.ts)::INT AS stuck FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1) x) y),
+z AS (SELECT s.*, s.stage IN ('queued', 'validating', 'cloning') AND s.since + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS over FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+"""
+
+
+@query(MACHINE + "SELECT user_id AS import_id, CASE WHEN over THEN 'failed' WHEN stage <> 'none' THEN stage END AS status, attempt AS attempts, accepted::BIGINT AS accepted, rejected::BIGINT AS rejected, (stuck + over::INT)::BIGINT AS stuck FROM z")
+def import_states(spark, d):
+    """Each user's events as an import's, judged by a stream that reads what is there."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    stages = {"signup": "queued", "view": "validating", "click": "cloning", "purchase": "completed"}
+    stage = F.lit("failed")
+    for event, name in stages.items():
+        stage = F.when(F.col("event_type") == event, name).otherwise(stage)
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("import_id"), "event_id", F.col("ts").alias("at"), stage.alias("stage"))
+    with passing_folder(spark) as folder:
+        return settle(machine.imports(machine.run_available(spark, events, folder)))
+
+
 @query("SELECT page_id, (SELECT count(*) FROM (SELECT unnest(string_split(html, '<')) AS x) WHERE starts_with(x, '/'))::INT AS changed FROM pages")
 def diff_count(spark, d):
     """Diff lines of pages, each closing tag made a removed line."""
