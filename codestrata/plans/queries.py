@@ -332,6 +332,15 @@ bs AS (SELECT path, kind, name, line, end_line, lang = 'ts' AND starts_with(s, '
   CASE WHEN lang IN ('ts', 'java') THEN array_to_string(regexp_extract_all(regexp_extract(s, ' (extends .*)\{', 1), '\b(Base|Shape\d*)\b'), ',') ELSE '' END AS inherits, length(regexp_extract(s, '^ *')) AS col FROM be e WHERE kind <> 'impl')"""
 
 
+@query(SPANS + """, sy AS (SELECT *, 'symbol:' || path || ':' || kind || ':' || coalesce(parent || '.', '') || name AS sid FROM bs)
+SELECT DISTINCT 'file:' || path AS source, 'DEFINES' AS relationship, sid AS target FROM sy UNION SELECT sid, 'INHERITS', 'external:symbol:' || unnest(string_split(inherits, ',')) FROM sy WHERE inherits <> ''""")
+def kg_inheritance(spark, d):
+    """What files of brace languages define, and what their types extend and implement."""
+    f = view(spark, d, "braces").withColumn("language", repository.language(F.col("path")))
+    edges = knowledge.nodes_and_edges("repo", repository.directories(f), f, blocks.declarations(f), view(spark, d, "edges"), _resolved(spark, d))[1]
+    return edges.filter("relationship IN ('DEFINES', 'INHERITS')").select("source", "relationship", "target")
+
+
 @query(SPANS + " SELECT path, kind, name, line::INT AS line, end_line::INT AS end_line, col::INT AS col, parent, exported, inherits FROM bs")
 def brace_symbols(spark, d):
     s = blocks.declarations(view(spark, d, "braces"))
@@ -918,21 +927,30 @@ def incremental_index(spark, d):
 MERMAID = r"""'n_' || left(coalesce(nullif(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'node'), 80) || '["' || {c} || '"]'"""
 
 
-@query(EDGES + ", f AS (SELECT source, target, edge_ord FROM edges WHERE target IS NOT NULL ORDER BY edge_ord LIMIT 12) SELECT 'flowchart LR' || chr(10) || string_agg('  ' || "
-       + MERMAID.replace("{c}", "source") + " || ' --> ' || " + MERMAID.replace("{c}", "target") + ", chr(10) ORDER BY edge_ord) AS code FROM f")
+DRAWN = lambda c: MERMAID.replace("{c}", c)
+
+
+@query(RESOLVED.replace("WITH ", KEY + ", ", 1) + """, f AS (SELECT 0 AS sec, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth, path FROM k QUALIFY nth <= 8
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY kind NOT IN ('class', 'interface'), path, line, name) AS nth, path FROM symbols WHERE kind <> 'import' QUALIFY nth <= 8
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY edge_ord) AS nth, source FROM edges QUALIFY nth <= 8),
+ev AS (SELECT path, min((sec, nth)) AS place FROM f GROUP BY path ORDER BY place LIMIT 8),
+de AS (SELECT source, target, edge_ord FROM edges WHERE target IS NOT NULL ORDER BY edge_ord LIMIT 12),
+ca AS (SELECT * FROM r WHERE source IS NOT NULL AND target IS NOT NULL ORDER BY path, l_orderkey, l_linenumber LIMIT 12)
+SELECT 'architecture' AS kind, 'flowchart TD' || chr(10) || '  repo["Parts"]' || chr(10) || string_agg('  repo --> ' || """ + DRAWN("path") + """, chr(10) ORDER BY place) AS code FROM ev
+UNION ALL SELECT 'dependency', 'flowchart LR' || chr(10) || string_agg('  ' || """ + DRAWN("source") + " || ' --> ' || " + DRAWN("target") + """, chr(10) ORDER BY edge_ord) FROM de
+UNION ALL SELECT 'call', 'flowchart LR' || chr(10) || string_agg('  ' || """ + DRAWN("source") + """ || ' -->|"' || callee || '"| ' || """ + DRAWN("target") + ", chr(10) ORDER BY path, l_orderkey, l_linenumber) FROM ca")
 def dependency_diagram(spark, d):
-    none = spark.createDataFrame([], "path string, callee string, source string, target string, call_ord int")
-    return spark.createDataFrame([(reports.diagrams("x", [], view(spark, d, "edges"), none)["dependency"],)], "code string")
+    """All three diagrams of a repository."""
+    files, symbols, edges = view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges")
+    return reports.diagram_rows("Parts", reports.evidence_paths(files, symbols, edges), edges, _resolved(spark, d))
 
 
 @query(KEY + """, t AS (SELECT *, row_number() OVER (ORDER BY symbol_count + dependency_count + dependent_count DESC, path) AS nth FROM k QUALIFY nth <= 8),
 m AS (SELECT * FROM t WHERE list_contains(regexp_extract_all(lower(path), '[a-z0-9_]+'), 'core') OR list_contains(regexp_extract_all(lower(path), '[a-z0-9_]+'), 'api'))
-SELECT path, dependency_count::BIGINT AS dependencies, dependent_count::BIGINT AS dependents, 0.74::DOUBLE AS confidence FROM (SELECT * FROM m UNION ALL SELECT * FROM t WHERE (SELECT count(*) FROM m) = 0) ORDER BY nth LIMIT 5""")
+SELECT path, dependency_count::BIGINT AS dependencies, dependent_count::BIGINT AS dependents FROM (SELECT * FROM m UNION ALL SELECT * FROM t WHERE (SELECT count(*) FROM m) = 0) ORDER BY nth LIMIT 5""")
 def explained_components(spark, d):
     f, symbols, edges = view(spark, d, "files"), view(spark, d, "symbols"), view(spark, d, "edges")
-    calls = view(spark, d, "calls").limit(0)
-    told = reports.explain(reports.summarize(f, repository.directories(f), symbols, edges, calls), "the core of the API")
-    return spark.createDataFrame([(c["path"], c["dependencies"], c["dependents"], told["confidence"]) for c in told["components"]], "path string, dependencies long, dependents long, confidence double")
+    return reports.components(f, symbols, edges, "the core of the API").drop("pos")
 
 
 @query(duck("files") + """, r AS (SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN path || ':' || (doc_id % 90 + 1) ELSE (SELECT path FROM files WHERE doc_id = 3) END AS place, CASE doc_id % 5 WHEN 0 THEN 'bad ' || doc_id WHEN 1 THEN 'no ' || doc_id WHEN 2 THEN 'x' WHEN 3 THEN 'boom ' || doc_id END AS message FROM files)
@@ -949,4 +967,4 @@ SETUP = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN '
 @query("WITH f AS (" + SETUP + ") SELECT DISTINCT CASE path WHEN 'package.json' THEN 'npm install' WHEN 'go.mod' THEN 'go mod download' ELSE 'make' END AS command FROM f WHERE NOT contains(path, '/')")
 def setup_commands(spark, d):
     f = spark.sql(SETUP.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
-    return spark.createDataFrame([(c,) for c in reports.setup_commands(f)], "command string")
+    return reports.setup_rows(f).select("command")
