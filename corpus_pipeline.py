@@ -73,11 +73,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; folders and checkpoints of the others are deleted on the way."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
-        with passing(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-        if before:
-            remove(spark, f"{at}/{before}")
-        before = name
+    try:
+        for name, stage in STAGES:
+            with passing(spark):
+                stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+            docs = spark.read.parquet(f"{at}/{name}")
+            if before:
+                remove(spark, f"{at}/{before}")
+            before = name
+    except BaseException:  # nothing of a run that failed stays
+        remove(spark, at)
+        raise
     return docs
