@@ -24,9 +24,9 @@ IGNORED = (
     ".git", "node_modules", "venv", ".venv", ".venv313", "target", "dist", "__pycache__", ".mypy_cache", ".pytest_cache",
     ".ruff_cache", "build", ".next", ".nuxt", "coverage", ".cache", "tmp", "egg-info", ".eggs",
 )
-# Languages by extension for scans.
+# Languages for scans, in the alphabetical order of the extensions.
 LANGUAGES = {
-    ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".hpp": "C++", ".go": "Go", ".java": "Java",
+    ".c": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".go": "Go", ".h": "C", ".hpp": "C++", ".java": "Java",
     ".js": "JavaScript", ".jsx": "JavaScript", ".py": "Python", ".rs": "Rust", ".ts": "TypeScript", ".tsx": "TypeScript",
 }
 MAX_ARCHIVE, MAX_UNPACKED = 100 * 1024 * 1024, 1 << 30
