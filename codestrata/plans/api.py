@@ -148,6 +148,17 @@ class Repository:
             raise ValueError("No vectors are stored for this repository")
         return retrieval.retrieve(rows, query, self.embedder([query])[0], self._near(), limit)
 
+    def retrieve_many(self, questions: DataFrame, limit: int = retrieval.LIMIT, vectors: DataFrame | None = None) -> DataFrame:
+        """The best chunks of each question (question_id, query); questions are embedded in tasks."""
+        if not 1 <= limit <= 50:
+            raise ValueError("limit must be from 1 to 50")
+        if self.embedder is None:
+            raise ValueError("no embedder is set")
+        different = questions.filter("query IS NOT NULL").select(F.col("query").alias("id"), F.col("query").alias("content")).distinct()
+        known = chunks.embed(different, self.embedder).select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+        rows = vectors if vectors is not None else self.embeddings()
+        return retrieval.retrieve_many(rows, questions.join(known, "query").select("question_id", "query", "vector"), self._near(), limit)
+
     # analyses
 
     def technical_debt(self) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,38 @@ def chunk_scores(spark, d):
     return retrieval.score(c, WORDS, vector).select("vec_id", F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
+TURNS = """WITH c AS (SELECT vec_id, 'src/p' || (vec_id % 97) || '.py' AS path, embedding::DOUBLE[] AS e, list_distinct(regexp_extract_all(lower('src/p' || (vec_id % 97) || '.py ' || coalesce(text, '')), '[a-z0-9_]+')) AS t FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
+q AS (SELECT conv_id, turn, u.text AS query, v.embedding::DOUBLE[] AS e, list_distinct(regexp_extract_all(lower(u.text), '[a-z0-9_]+')) AS t FROM (
+  SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN 'zz' || conv_id || ' 問' WHEN 2 THEN 'p' || conv_id ELSE text END AS text FROM conversations WHERE role = 'user') u LEFT JOIN embeddings v ON v.vec_id = u.conv_id WHERE trim(u.text) <> ''),
+s AS (SELECT conv_id, turn, vec_id, path, coalesce(least(1, greatest(0, (list_cosine_similarity(c.e, q.e) + 1) / 2)), 0)::DOUBLE AS v, len(list_intersect(q.t, c.t)) / greatest(1, len(q.t)) AS k FROM q, c),
+g AS (SELECT conv_id, turn, path, max(k) AS k, max(v) AS v FROM s GROUP BY ALL),
+m AS (SELECT conv_id, turn, max(k) AS k, max(v) AS v FROM g GROUP BY ALL),
+seed AS (SELECT conv_id, turn, path FROM g JOIN m USING (conv_id, turn) WHERE CASE WHEN m.k > 0 THEN g.k > 0 ELSE abs(g.v - m.v) <= 1e-9 * greatest(g.v, m.v) END),
+e AS (SELECT DISTINCT 'src/p' || (vec_id % 97) || '.py' AS a, 'src/p' || CASE WHEN vec_id % 7 = 0 THEN 0 ELSE (vec_id % 97 + 1) % 97 END || '.py' AS b FROM embeddings),
+near AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+bes AS (SELECT DISTINCT conv_id, turn, a AS path FROM seed JOIN near ON b = path),
+r AS (SELECT s.*, CASE WHEN seed.path IS NOT NULL THEN 1.0 WHEN bes.path IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS gs FROM s LEFT JOIN seed USING (conv_id, turn, path) LEFT JOIN bes USING (conv_id, turn, path)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(0.6 * v + 0.3 * k + 0.1 * gs, 12) DESC, path, vec_id)::INT AS rank FROM r QUALIFY rank <= 10)
+SELECT conv_id, turn, rank, vec_id, path, round(v, 6) AS vector_score, round(k::DOUBLE, 6) AS keyword_score, gs AS graph_score, round(0.6 * v + 0.3 * k + 0.1 * gs, 6) AS score, coalesce(l.related, '') AS related
+FROM o LEFT JOIN (SELECT a AS path, array_to_string(list_sort(list(b))[1:5], ',') AS related FROM near GROUP BY a) l USING (path)"""
+
+
+@query(TURNS)
+def conversation_retrieval(spark, d):
+    """Every user turn as a question, a quarter of them names of files, a quarter without a known word."""
+    vectors, path = table(spark, d, "embeddings"), lambda k: F.concat(F.lit("src/p"), k, F.lit(".py"))
+    at = F.col("vec_id") % 97
+    c = _chunks(spark, d)[0].withColumn("path", path(at))
+    target = F.when(F.col("vec_id") % 7 == 0, 0).otherwise((at + 1) % 97)
+    edges = vectors.select(path(at).alias("source"), path(target).alias("target")).distinct()
+    said = F.when(F.col("conv_id") % 4 == 1, F.concat(F.lit("zz"), "conv_id", F.lit(" 問"))).when(F.col("conv_id") % 4 == 2, F.concat(F.lit("p"), "conv_id")).otherwise(F.col("text"))
+    turns = table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("question_id"), said.alias("query"), F.col("conv_id").alias("vec_id"))
+    questions = turns.join(vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left")
+    out = retrieval.retrieve_many(c, questions, graphs.neighbours(edges.filter("source <> target")))
+    r = lambda x: F.round(x, 6).alias(x)
+    return out.select("question_id.conv_id", "question_id.turn", "rank", F.col("id").alias("vec_id"), "path", r("vector_score"), r("keyword_score"), "graph_score", r("score"), F.array_join("related_paths", ",").alias("related"))
+
+
 @query(EDGES + " SELECT DISTINCT import_name FROM edges WHERE target IS NULL")
 def external_deps(spark, d):
     return graphs.external_names(view(spark, d, "edges"))
