@@ -43,8 +43,8 @@ def _unique(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def identifiers_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fail on labels and relationships that are more than letters, digits and underscores."""
-    bad = lambda x: ~F.rlike(x, F.lit("^[A-Za-z0-9_]+$"))
+    """Fail on labels and relationships that are more than letters and digits of any script and underscores, or these alone."""
+    bad = lambda x: ~F.rlike(x, F.lit(r"^_*[\p{L}\p{N}][\p{L}\p{N}_]*\z"))
     label = F.array_join(F.filter("labels", bad), ",")
     nodes = nodes.withColumn("labels", F.when(F.exists("labels", bad), F.raise_error(F.concat(F.lit("bad label: "), label)).cast("array<string>")).otherwise(F.col("labels")))
     relationship = F.col("relationship")

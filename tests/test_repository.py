@@ -377,6 +377,14 @@ def test_scan_and_graph_stores(spark, tmp_path):
     bad = nodes.withColumn("labels", F.array(F.lit("no good")))
     with pytest.raises(Exception, match="bad label"):
         stores.identifiers_only(bad, edges)[0].collect()
+    odd = spark.createDataFrame([("Größe_1",), ("名",), ("²",), ("__",), ("",), ("a-b",), ("x\n",)], "label string").select(F.col("label").alias("id"), F.array("label").alias("labels"))
+    for row in odd.collect():
+        one = stores.identifiers_only(odd.filter(F.col("id") == row.id), edges)[0]
+        if row.id.replace("_", "").isalnum():
+            assert one.first().labels == [row.id]
+        else:
+            with pytest.raises(Exception, match="bad label"):
+                one.collect()
     more = edges.select("source", "relationship", "target").union(spark.createDataFrame([("file:x", "IMPORTS", "file:y")], "source string, relationship string, target string"))
     assert stores.whole_graph(nodes, more).count() == nodes.count() + 2
     assert stores.write_both(lambda: True, lambda: False, lambda: {"nodes": 1}) == {"nodes": 1, "persisted": False}
