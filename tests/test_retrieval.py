@@ -30,6 +30,8 @@ def test_many_questions_as_one_by_one(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 5)
         monkeypatch.setattr(retrieval, "CELLS", 16)
+        monkeypatch.setattr(retrieval, "FREQUENT", 3)
+        monkeypatch.setattr(retrieval, "MOST_PATHS", 2)
     c, asked, near = tables(spark)
     got = {}
     many = retrieval.retrieve_many(c, spark.createDataFrame([*asked, (30, "  ", [1.0]), (31, None, None)], QUESTION), near, 12)
